@@ -63,3 +63,23 @@ class Stage:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    import pathlib
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="corpuslab-ship-")) / "corpuslab.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(target))
+
+
+_SHIPPED: set[str] = set()
