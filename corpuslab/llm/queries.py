@@ -38,6 +38,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of a group of near-duplicates with the group's smallest row."""
+    from corpuslab.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "combined_complaints"), "row_id", NARRATIVE, k=3, threshold=0.6)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_groups(spark, sf_dir).filter("row_id <> first_row_id").select("first_row_id", "row_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
