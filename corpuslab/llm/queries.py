@@ -38,6 +38,53 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
+def _config(spark: SparkSession, sf_dir: str):
+    return _read(spark, sf_dir, "data_config").filter("is_current").select("split.*").first()
+
+
+def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each complaint with its component and split."""
+    from corpuslab.llm.splits import split_by_components, tie_components
+
+    c = _config(spark, sf_dir)
+    records = _read(spark, sf_dir, "combined_complaints").select("Complaint ID", c.stratify_on)
+    ties = tie_components(records, "Complaint ID", _read(spark, sf_dir, "complaint_entities"), c.group_by.split(","), c.unbound_keys)
+    out = split_by_components(records, "Complaint ID", c.stratify_on, ties, c.train_val_test, c.seed)
+    return out.select(F.col("id").alias("complaint_id"), F.col("component").alias("first_complaint_id"), "label", "split")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_split(spark, sf_dir).filter("complaint_id <> first_complaint_id").select("first_complaint_id", "complaint_id")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each split and the share of each product in it, beside what is wanted."""
+    c = _config(spark, sf_dir)
+    goal = dict(zip(("train", "validation", "test"), c.train_val_test))
+    wanted = F.create_map(*[F.lit(x) for kv in goal.items() for x in kv])
+    n = p3_split(spark, sf_dir).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    of = n.groupBy("label").agg(F.sum("n").alias("total"))
+    return n.join(F.broadcast(of), "label").select("split", "label", "n", (F.col("n") / F.col("total")).alias("share"), wanted[F.col("split")].alias("wanted"))
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from corpuslab.llm.sampling import sample_to_targets
+
+    return sample_to_targets(_read(spark, sf_dir, "combined_complaints"), "Complaint ID", "Product", _read(spark, sf_dir, "sample_targets"))
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir)[0].select("plan_id", F.col("id").alias("complaint_id"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir)[1]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_report(spark, sf_dir).filter("short").select("plan_id", "product")
+
+
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of a group of near-duplicates with the group's smallest row."""
     from corpuslab.llm.neardup import near_duplicates
@@ -57,4 +104,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+_CATEGORY = r"""trim(regexp_replace(lower({}), '[\s\x{{A0}}\x{{2009}}]+', ' ', 'g'))"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+with c as (select distinct "Complaint ID" as id, {_CATEGORY.format('"Product"')} as product from combined_complaints where "Complaint ID" is not null),
+per as (select product, count(*) as n from c group by 1),
+all_n as (select count(distinct "Complaint ID") as n from combined_complaints),
+t as (select plan_id, product, greatest(min_rows, (all_n.n * sample_bp // 10000) * target_bp // 10000) as wanted from sample_targets, all_n)
+select t.plan_id, t.product from t left join per on per.product = {_CATEGORY.format("t.product")} where coalesce(per.n, 0) < t.wanted""",
+}
