@@ -96,6 +96,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_groups(spark, sf_dir).filter("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslab.llm.tokens import encode_corpus
+
+    return encode_corpus(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
