@@ -102,6 +102,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslab.llm.leakage import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).filter("kind = 'verbatim'").select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
