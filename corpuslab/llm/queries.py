@@ -112,6 +112,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).filter("kind = 'verbatim'").select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslab.llm.spans import shared_spans
+
+    return shared_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands elsewhere."""
+    from corpuslab.llm.spans import shared_share
+
+    return shared_share(_read(spark, sf_dir, "documents"), "doc_id", "text", p8_found(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
