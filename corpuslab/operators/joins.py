@@ -20,3 +20,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int, count_
     a = left.join(hot, keys, "inner")
     b = left.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
     return a.unionByName(b)
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
