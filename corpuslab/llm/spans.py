@@ -28,7 +28,7 @@ from corpuslab.llm.wordhash import U
 from corpuslab.session import Stage
 
 #: Characters of the grams among which the minimiser is chosen.
-GRAM = 24
+GRAM = 64
 #: A bucket of more super-k-mers is counted by windows instead.
 HOT = 20_000
 #: Characters handled at once in a bucket task.
@@ -184,8 +184,11 @@ def _bucket(span: int):
         if not len(texts):
             return
         a, b, which = _window_hashes(texts, span, runs)
-        order = np.lexsort((b, a))
+        order = np.argsort(a)
         sa, sb, sd = a[order], b[order], doc[which[order]]
+        if ((sa[1:] == sa[:-1]) & (sb[1:] != sb[:-1])).any():  # the first hash alone doesn't part them
+            order = np.lexsort((b, a))
+            sa, sb, sd = a[order], b[order], doc[which[order]]
         new = np.ones(len(sa), bool)
         new[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
         first = np.flatnonzero(new)
