@@ -7,7 +7,7 @@ fields are sorted before they are hashed. Rows group by root digest, and within
 structure is compared with that of the group's first row.
 
 Defined cases: a null narrative is no copy of anything and gives no row. Empty narratives, and those without any
-letter or digit, are copies of one another. Where two forms are copies by order and others by fields, the relation
+letter or digit, are copies of one another. Rows repeated with id and text are one record. Where two forms are copies by order and others by fields, the relation
 carries over.
 """
 
@@ -56,7 +56,7 @@ def collapse_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.unhex(F.md5(leaf(F.col("t")).cast("binary"))).alias("k1"),
         F.when(is_form(F.col("t")), F.unhex(F.md5(F.concat_ws("\n", F.transform(field_node(F.col("t")), lambda x: F.md5(x.cast("binary")))).cast("binary")))).alias("k2"),
     )
-    keys = stage.put(node, "digests")
+    keys = stage.put(node.distinct(), "digests")
     # root of each ordered digest: the form digest where there is one, so that both kinds of key meet
     forms = keys.filter("k2 is not null").select("k1", "k2").distinct()
     root = forms.groupBy("k1").agg(F.min("k2").alias("root"), F.count(F.lit(1)).alias("n"))
@@ -83,6 +83,8 @@ def _confirm(base: DataFrame, members: DataFrame, stage: Stage) -> DataFrame:
     """Compare the full structure of each row with that of the first row of its ordered digest, and of that row's
     fields with those of the first row of the form digest. A row that only shares a digest stays alone."""
     full = base.join(members, "row_id").select("*", leaf(F.col("t")).alias("flat"), F.when(F.col("k2").isNotNull(), field_node(F.col("t"))).alias("tree")).drop("t")
+    # an id that stands in several rows meets each of its texts; only the one of this digest counts
+    full = full.filter(F.unhex(F.md5(F.col("flat").cast("binary"))) == F.col("k1")).dropDuplicates(["row_id", "k1", "k2"])
     full = stage.put(full, "structures")
     n = full.count()
     heads = full.filter("row_id = lo").select("k1", F.col("flat").alias("head_flat"), "n")

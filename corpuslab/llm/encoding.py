@@ -103,7 +103,8 @@ class _Utf8As:
                     c = raw.decode("utf-8")
                 except UnicodeDecodeError:
                     continue
-                if unicodedata.category(c) not in ("Cc", "Cn", "Co"):
+                # C1 controls are what a second turn of the same damage leaves
+                if "\x80" <= c <= "\x9f" or unicodedata.category(c) not in ("Cc", "Cn", "Co"):
                     return c, used
         return None
 
