@@ -6,10 +6,10 @@ bitmap of SKETCH_BITS in which each (index, value) flips one bit: of two texts t
 XOR tells how many values differ, most precisely where few do. Candidates estimated far above the threshold are
 accepted, far below (more than four standard deviations) rejected, and those between are compared exactly.
 
-No bucket is expanded into all of its pairs at once. Within a bucket each row meets its LAG next neighbours and the
-bucket's first row, which is all pairs for buckets up to LAG + 1 rows. For larger buckets the pairs that are left out
-matter only between rows that did not end up in one group; these are compared in further rounds until none is left (see
-``_close``). A batch sends equal texts to the buckets once.
+No bucket is expanded into all of its pairs at once. The first LAG + 1 rows of a bucket all meet one another; rows beyond meet
+the bucket's first row and their NEAR neighbours. The pairs that this leaves out of a larger bucket matter only between
+rows that did not end up in one group; these are compared in further rounds until none is left (see ``_close``). A batch
+sends equal texts to the buckets once.
 
 Chance of missing a pair whose similarity is the threshold of 0.6: (1 - 0.6**4)**40 = 0.4 %; at 0.7 0.002 %; a miss
 only shows if no other link joins the two groups.
@@ -39,6 +39,10 @@ BANDS = 40
 ROWS = 4
 SKETCH_BITS = 512
 LAG = 16
+#: Neighbours that rows further back in a bucket meet besides its first row.
+NEAR = 2
+#: Rows of a large bucket that one task of a closing round holds.
+BLOCK = 4096
 #: Estimates beyond this distance from the threshold are taken at their word: 4.4 standard deviations of 0.046.
 MARGIN = 0.2
 SEED = 7
@@ -167,19 +171,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = (lengths == -1) | (lengths == 1)
         k, r, sh = np.concatenate([tail_k, key[b]]), np.concatenate([tail_r, row[b]]), np.concatenate([tail_short, lengths[b] == 1])
         old = len(tail_k)
-        for lag in range(1, LAG + 1):
-            if lag >= len(k):
-                break
-            hit = (k[lag:] == k[:-lag]) & (np.arange(lag, len(k)) >= old)
-            if not hit.any():
-                continue
-            at = np.flatnonzero(hit)
-            out_k.append(np.where(sh[at + lag], COPY, PAIR).astype(np.int8))
-            out_i.append(r[at])
-            out_j.append(r[at + lag])
-        # place of each row within its bucket
         nk, nr, ns = k[old:], r[old:], sh[old:]
         if len(nk):
+            # place of each row within its bucket, and the bucket's first row
             new = np.ones(len(nk), bool)
             new[1:] = nk[1:] != nk[:-1]
             goes_on = head_key is not None and nk[0] == head_key
@@ -187,9 +181,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new[0] = False
             begin = np.flatnonzero(new)
             which = np.cumsum(new) - 1
-            heads = np.where(which >= 0, nr[begin[np.maximum(which, 0)]] if len(begin) else 0, head_row)
-            place = np.arange(len(nk)) - (begin[np.maximum(which, 0)] if len(begin) else 0)
-            place = np.where(which >= 0, place, np.arange(len(nk)) + head_n)
+            at = begin[np.maximum(which, 0)] if len(begin) else np.zeros(len(nk), np.int64)
+            heads = np.where(which >= 0, nr[at], head_row)
+            place = np.where(which >= 0, np.arange(len(nk)) - at, np.arange(len(nk)) + head_n)
+            for lag in range(1, LAG + 1):
+                if lag >= len(k):
+                    break
+                hit = (k[lag:] == k[:-lag]) & (np.arange(lag, len(k)) >= old)
+                if not hit.any():
+                    continue
+                x = np.flatnonzero(hit)
+                if lag > NEAR:
+                    x = x[place[x + lag - old] <= LAG]
+                out_k.append(np.where(sh[x + lag], COPY, PAIR).astype(np.int8))
+                out_i.append(r[x])
+                out_j.append(r[x + lag])
             far = (place > LAG) & ~ns
             out_k.append(np.full(int(far.sum()), PAIR, np.int8))
             out_i.append(heads[far])
@@ -282,17 +288,25 @@ def _passing(bits: np.ndarray):
 
 
 def _close(large: DataFrame, comp: DataFrame, sketches: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
-    """Pairs within large buckets whose rows are in different groups and whose sketches come near the threshold."""
+    """Pairs within large buckets whose rows are in different groups and whose sketches come near the threshold.
+
+    Of a bucket whose rows are in several groups, the rows outside its largest group meet all of its rows, in blocks of
+    BLOCK rows. Distance to the bucket's first row rules out most before sketches are compared: two rows as
+    near as the threshold can't differ by more than that in their distance to a third."""
     here = large.join(comp, F.col("row_id") == F.col("node"), "left").select("key", "row_id", F.coalesce("component", "row_id").alias("c"))
-    split = here.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("key")
-    here = here.join(split, "key", "left_semi").join(sketches, "row_id")
-    # blocks of a bucket meet blocks, so that no task holds a whole bucket
-    blocks = 16
-    x = here.withColumn("bx", F.pmod(F.hash("row_id"), F.lit(blocks)))
-    left = x.select("key", F.col("bx"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("by"), F.col("row_id").alias("i"), F.col("c").alias("ci"), F.col("sketch").alias("si"))
-    right = x.select("key", F.col("bx").alias("by"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bx"), F.col("row_id").alias("j"), F.col("c").alias("cj"), F.col("sketch").alias("sj"))
-    met = left.join(right, ["key", "bx", "by"]).filter((F.col("i") < F.col("j")) & (F.col("ci") != F.col("cj")) & (estimate(F.col("si"), F.col("sj")) >= threshold - MARGIN))
-    return met.select("i", "j").distinct().join(done, ["i", "j"], "left_anti")
+    sizes = here.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("lo"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("s"), F.sum("n").alias("n"), F.min("lo").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    split = split.select("key", F.col("s.c").alias("main"), "n", "first")
+    first = split.join(sketches, F.col("first") == F.col("row_id")).select("key", "main", "n", F.col("sketch").alias("fs"))
+    x = here.join(first, "key").join(sketches, "row_id").withColumn("d", 1 - estimate(F.col("sketch"), F.col("fs"))).drop("fs")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = x.filter("c <> main").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), F.col("row_id").alias("i"), F.col("c").alias("ci"), F.col("d").alias("di"), F.col("sketch").alias("si"))
+    right = x.select("key", F.pmod(F.hash("row_id"), blocks).alias("b"), F.col("row_id").alias("j"), F.col("c").alias("cj"), F.col("d").alias("dj"), "main", F.col("sketch").alias("sj"))
+    near = F.abs(F.col("di") - F.col("dj")) <= 1 - threshold + 2 * MARGIN
+    met = left.join(right, ["key", "b"]).filter(
+        (F.col("ci") != F.col("cj")) & ((F.col("cj") == F.col("main")) | (F.col("i") < F.col("j"))) & near & (estimate(F.col("si"), F.col("sj")) >= threshold - MARGIN)
+    )
+    return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().join(done, ["i", "j"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
