@@ -133,13 +133,54 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-_CATEGORY = r"""trim(regexp_replace(lower({}), '[\s\x{{A0}}\x{{2009}}]+', ' ', 'g'))"""
+_CATEGORY = r"""trim(regexp_replace(lower({}), '[\s\p{{Z}}]+', ' ', 'g'))"""
+_TRIM = r"""lower(regexp_replace(regexp_replace({}, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', ''))"""
+_LEAF = r"""regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"""
+_WORDS = r"""regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"""
+#: Rows of ``reach`` (a, b) are every node and what it reaches along ``sym``.
+_REACH = "reach(a, b) as (select a, a from sym union select reach.a, sym.b from reach join sym on reach.b = sym.a), root as (select a, min(b) as lo from reach group by 1)"
 
 SQL: dict[str, str] = {
+    "p2_found": rf"""
+with recursive c as (select row_id, "{NARRATIVE}" as t from combined_complaints where "{NARRATIVE}" is not null),
+parts as (select row_id, list_filter(regexp_split_to_array(t, '[\n\r;|]+'), lambda p: not regexp_matches(p, '^[\s\p{{Z}}]*$')) as ps from c),
+forms as (select row_id, list_sort(list_filter(list_transform(ps, lambda p: {_LEAF.format("p")}), lambda p: p <> '')) as k from parts where len(ps) > 1 and len(list_filter(ps, lambda p: not regexp_matches(p, '^[^:]*[\p{{L}}\p{{N}}][^:]*:'))) = 0),
+keys as (select row_id, md5({_LEAF.format("t")}) as k from c union all select row_id, 'form' || md5(array_to_string(k, chr(10))) from forms),
+heads as (select k, min(row_id) as h from keys group by 1 having count(*) > 1),
+sym as (select row_id as a, h as b from keys join heads using (k) union select h, row_id from keys join heads using (k)), {_REACH}
+select lo as first_row_id, a as row_id from root where lo <> a""",
+    "p3_found": f"""
+with recursive cfg as (select split.group_by as kinds, split.unbound_keys as skip from data_config where is_current),
+e as (select distinct "Complaint ID" as id, {_TRIM.format("entity_kind")} as kind, {_TRIM.format("entity_key")} as key from complaint_entities),
+f as (select e.* from e, cfg where list_contains(list_transform(string_split(kinds, ','), lambda q: lower(trim(q))), kind) and key is not null and key <> '' and not list_contains(list_transform(coalesce(skip, []), lambda q: lower(trim(q))), key) and id in (select "Complaint ID" from combined_complaints)),
+heads as (select kind, key, min(id) as h from f group by all having count(*) > 1),
+sym as (select id as a, h as b from f join heads using (kind, key) union select h, id from f join heads using (kind, key)), {_REACH}
+select lo as first_complaint_id, a as complaint_id from root where lo <> a""",
     "p4_found": f"""
 with c as (select distinct "Complaint ID" as id, {_CATEGORY.format('"Product"')} as product from combined_complaints where "Complaint ID" is not null),
 per as (select product, count(*) as n from c group by 1),
 all_n as (select count(distinct "Complaint ID") as n from combined_complaints),
 t as (select plan_id, product, greatest(min_rows, (all_n.n * sample_bp // 10000) * target_bp // 10000) as wanted from sample_targets, all_n)
 select t.plan_id, t.product from t left join per on per.product = {_CATEGORY.format("t.product")} where coalesce(per.n, 0) < t.wanted""",
+    "p5_found": f"""
+with recursive c as (select row_id, "{NARRATIVE}" as t, {_WORDS.format(f'"{NARRATIVE}"')} as ws from combined_complaints where "{NARRATIVE}" is not null),
+s as (select distinct row_id, hash(ws[i], ws[i + 1], ws[i + 2]) as g from (select row_id, ws, unnest(range(1, len(ws) - 1)) as i from c)),
+n as (select row_id, count(*) as n from s group by 1),
+common as (select x.row_id as a, y.row_id as b, count(*) as k from s x join s y on x.g = y.g and x.row_id < y.row_id group by all),
+near as (select a, b from common join n na on na.row_id = a join n nb on nb.row_id = b where k >= 0.6 * (na.n + nb.n - k) - 1e-9),
+heads as (select t, min(row_id) as h from c group by 1 having count(*) > 1),
+links as (select a, b from near union select h, row_id from c join heads using (t)),
+sym as (select a, b from links union select b, a from links), {_REACH}
+select lo as first_row_id, a as row_id from root where lo <> a""",
+    "p7_found": f"""
+with d as (select doc_id, {_WORDS.format("text")} as ws from documents where text is not null), i as (select item_id, {_WORDS.format("text")} as ws from benchmark where text is not null),
+dw as (select doc_id, ws[p : p + 12] as w from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from d)),
+iw as (select item_id, ws[p : p + 12] as w from (select item_id, ws, unnest(range(1, len(ws) - 11)) as p from i))
+select distinct doc_id, item_id from dw join iw using (w)""",
+    "p8_found": """
+with w as (select doc_id, p, substr(text, p, 240) as s from (select doc_id, text, unnest(range(1, length(text) - 238)) as p from documents where length(text) >= 240)),
+many as (select s from w group by 1 having min(doc_id) <> max(doc_id)),
+hit as (select doc_id, p from w semi join many using (s)),
+runs as (select *, sum(case when p <= before + 240 then 0 else 1 end) over (partition by doc_id order by p) as run from (select *, lag(p) over (partition by doc_id order by p) as before from hit))
+select doc_id, min(p) as span_start, max(p) + 240 - min(p) as span_len from runs group by doc_id, run""",
 }
