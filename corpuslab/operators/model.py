@@ -7,11 +7,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.functions.labels import ranked_classes
 from corpuslab.operators import tfidf
 from corpuslab.operators.joins import small
 from corpuslab.operators.vocab import ranked
@@ -49,6 +51,16 @@ class TextClassifier:
     def predict(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         return self.model.transform(self.vectors(docs, key, text)).select(key, F.col("prediction").cast("int").alias("y_pred"))
 
+    def probabilities(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """``(key, classes)``: class and probability, the likeliest first."""
+        p = self.model.transform(self.vectors(docs, key, text)).select(key, vector_to_array("probability").alias("p"))
+        return p.select(key, ranked_classes(F.col("p")).alias("classes"))
+
+    def predict_text(self, spark: SparkSession, text: str) -> list[tuple[int, float]]:
+        """Classes and probabilities of one text."""
+        r = self.probabilities(spark.createDataFrame([(0, text)], "k long, t string"), "k", "t").first()
+        return [(c.class_id, c.score) for c in r.classes]
+
     def top_features(self, spark: SparkSession, k: int) -> DataFrame:
         """``(class_id, rank, term, coef)``: the k largest coefficients of each class."""
         m = self.model.coefficientMatrix.toArray()

@@ -69,10 +69,10 @@ def parameter_consistency(df: DataFrame) -> DataFrame:
     return df.groupBy("experiment").agg(F.count_distinct("parameter_count").alias("counts")).filter("counts <> 1")
 
 
-def deltas(df: DataFrame, baseline: str = "M0", skip_missing: bool = False) -> DataFrame:
+def deltas(df: DataFrame, baseline: str = "M0", skip_missing: bool = False, metric: str = "macro_f1") -> DataFrame:
     """``(experiment, ord, mean, vs_previous, vs_baseline)``, unrounded; null without the other. The previous experiment
     is the predecessor on the ladder, or with ``skip_missing`` the nearest one before that has runs."""
-    m = seed_statistics(df, ["experiment"], "macro_f1").select("experiment", "mean", "std", "n", "spread")
+    m = seed_statistics(df, ["experiment"], metric).select("experiment", "mean", "std", "n", "spread")
     lad = F.broadcast(ladder(df))  # eight rows
     at = m.join(lad, "experiment")
     if skip_missing:
@@ -89,13 +89,13 @@ def classify_delta(delta, spread):
     return F.when(delta.isNull() | spread.isNull(), None).when(r < 1.0, "within spread").when(r < 1.5, "borderline").otherwise("beyond spread")
 
 
-def comparison(df: DataFrame, descriptions: dict[str, str] | None = None) -> DataFrame:
-    """One formatted row per experiment, in ladder order."""
-    acc = seed_statistics(df, ["experiment"], "accuracy").select("experiment", F.col("mean").alias("am"), F.col("std").alias("as"))
+def comparison(df: DataFrame, descriptions: dict[str, str] | None = None, metric: str = "macro_f1", second: str = "accuracy") -> DataFrame:
+    """One formatted row per experiment, in ladder order. For a registry of validation scores name its metrics."""
+    acc = seed_statistics(df, ["experiment"], second).select("experiment", F.col("mean").alias("am"), F.col("std").alias("as"))
     rest = df.groupBy("experiment").agg(
         F.count(F.lit(1)).alias("runs"), F.min("best_epoch").alias("lo"), F.max("best_epoch").alias("hi"), F.avg("train_time").alias("tm"), F.stddev_samp("train_time").alias("ts"), F.min("parameter_count").alias("pc")
     )
-    j = deltas(df).join(acc, "experiment").join(rest, "experiment")
+    j = deltas(df, metric=metric).join(acc, "experiment").join(rest, "experiment")
     names = F.create_map(*[F.lit(x) for kv in (descriptions or {"": ""}).items() for x in kv])
     return j.select(
         "ord",

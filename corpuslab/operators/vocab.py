@@ -112,3 +112,27 @@ def log_odds(counts: DataFrame, label: str, k: int) -> DataFrame:
     scored = pairs.withColumn("score", F.round(score, 6))
     w = Window.partitionBy(label).orderBy(F.desc("score"), "word")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(label, "word", "score", "rank")
+
+
+class WordTokenizer:
+    """A fitted vocabulary. ``fit`` sees the rows it is given and no others; capping happens on use, so the index stays whole."""
+
+    def __init__(self, index: DataFrame, cap: int | None = None, oov: bool = True):
+        self.index, self.cap, self.oov = index, cap, oov
+
+    @classmethod
+    def fit(cls, df: DataFrame, key: str, words: str, cap: int | None = None, oov: bool = True) -> WordTokenizer:
+        return cls(word_index(word_counts(df, key, words), oov), cap, oov)
+
+    def transform(self, df: DataFrame, key: str, words: str) -> DataFrame:
+        return to_sequences(df, key, words, self.index, self.cap, self.oov)
+
+    def save(self, path: str) -> None:
+        meta = F.struct(F.lit(self.cap).cast("int").alias("cap"), F.lit(self.oov).alias("oov"))
+        self.index.withColumn("meta", meta).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> WordTokenizer:
+        df = spark.read.parquet(path)
+        m = df.select("meta.*").first()
+        return cls(df.drop("meta"), m.cap if m else None, m.oov if m else True)

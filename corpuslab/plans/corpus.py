@@ -172,3 +172,49 @@ def combine_invariants(spark, sf_dir):
     c = complaints(spark, sf_dir)
     ids = c.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("text").isNull()).alias("t"), F.count_if(F.col("Product").isNull()).alias("p"))
     return ids.agg(F.sum("k").alias("n"), (F.sum("k") == F.count(F.lit(1))).alias("unique_ids"), (F.sum("t") == 0).alias("no_null_text"), (F.sum("p") == 0).alias("no_null_label"))
+
+
+@query("select d.row_id, l.class_id, l.short_name from d join l on l.lkey = d.pkey where l.class_id is not null")
+def class_ids(spark, sf_dir):
+    from corpuslab.functions.labels import class_ids as ids
+
+    names = table(spark, sf_dir, "labels")
+    d = labelled(spark, sf_dir).select("row_id", "label", "short_name")
+    return ids(d, "label", names).select("row_id", "class_id", "short_name")
+
+
+@query(", n as (select label, count(*) as n from x group by 1) select max(n) as largest, min(n) as smallest, round(max(n) / min(n), 6) as ratio from n")
+def class_ratio(spark, sf_dir):
+    n = labelled(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.max("n").alias("largest"), F.min("n").alias("smallest"), F.round(F.try_divide(F.max("n"), F.min("n")), 6).alias("ratio"))
+
+
+@query("select row_id from d order by md5(row_id || '-42'), row_id limit 100")
+def hash_sample(spark, sf_dir):
+    """A sample of fixed size in the order of a hash, the same on every run."""
+    return first_rows(spark, sf_dir).select("row_id").orderBy(F.md5(F.concat(F.col("row_id").cast("string"), F.lit("-42")).cast("binary")), "row_id").limit(100)
+
+
+@query(", r as (select row_id, label, row_number() over (partition by label order by md5(row_id || '-7')) - 1 as r, count(*) over (partition by label) as n from x) select row_id, label, case when r < floor(n * 0.8) then 'train' else 'test' end as part from r")
+def stratified_split(spark, sf_dir):
+    """Four fifths of each class by hash, without groups."""
+    from corpuslab.operators.vocab import ranked
+
+    x = labelled(spark, sf_dir).select("row_id", "label").withColumn("h", F.md5(F.concat(F.col("row_id").cast("string"), F.lit("-7")).cast("binary")))
+    r = ranked(x, [F.asc("label"), F.asc("h")])
+    n = r.groupBy("label").agg(F.min("rank").alias("lo"), F.count(F.lit(1)).alias("n"))
+    return r.join(small(n), "label").select("row_id", "label", F.when(F.col("rank") - F.col("lo") < F.floor(F.col("n") * 0.8), "train").otherwise("test").alias("part"))
+
+
+@query("select d.row_id, d.text = c.text as same from d join c using (row_id) where d.row_id in (select row_id from x)")
+def positional_select(spark, sf_dir):
+    """Rows by their ids, as a join with the table of ids."""
+    ids = labelled(spark, sf_dir).select("row_id")
+    a = first_rows(spark, sf_dir).join(ids, "row_id", "left_semi").select("row_id", F.col("text").alias("a"))
+    return a.join(complaints(spark, sf_dir).select("row_id", F.col("text").alias("b")), "row_id").select("row_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("select 'raw' as part, pkey as product, count(*) as n from c group by all union all select 'dedup', pkey, count(*) from d group by all")
+def keyed_union(spark, sf_dir):
+    n = lambda df: df.groupBy(F.col("pkey").alias("product")).agg(F.count(F.lit(1)).alias("n"))
+    return profile.union_all([n(complaints(spark, sf_dir)), n(first_rows(spark, sf_dir))], "part", ["raw", "dedup"])

@@ -122,3 +122,25 @@ def dataset_fingerprint(spark, sf_dir):
 @query("""select "Product" as product, count(*) as n, round(count(*) / sum(count(*)) over (), 4) as ratio from c where "Product" is not null group by 1""")
 def fingerprint_classes(spark, sf_dir):
     return fingerprint.class_distribution(complaints(spark, sf_dir).select(F.col("Product").alias("product")), "product")
+
+
+@query(
+    _LAST
+    + ", v as (select dataset_version as want from r order by logged_at desc limit 1), e as (select experiment, seed, unnest([case when dataset_version is distinct from want then 'other dataset_version' end, case when checkpoint_path is distinct from 'ckpt/' || experiment || '_' || seed || '.weights' then 'no checkpoint record' end]) as error from r, v) select * from e where error is not null",
+    views=False,
+)
+def run_traceability(spark, sf_dir):
+    """Runs that can't be traced to the newest dataset version and to a checkpoint of their own."""
+    r = _runs(spark, sf_dir)
+    want = r.orderBy(F.desc("logged_at")).select("dataset_version").first()
+    own = F.concat(F.lit("ckpt/"), F.col("experiment"), F.lit("_"), F.col("seed").cast("string"), F.lit(".weights"))
+    kept = r.filter(F.col("checkpoint_path") == own).select("experiment", "seed", F.lit("val_macro_f1").alias("monitor_metric"))
+    return runs.traceability(r, want.dataset_version if want else "", kept)
+
+
+@query("with e as (select run, epoch, max(val_macro_f1) as v from epoch_history group by all), b as (select run, epoch, v from e where v is not null qualify row_number() over (partition by run order by v desc, epoch) = 1), r as (select * from run_registry qualify row_number() over (partition by experiment, seed order by logged_at desc) = 1) select experiment, seed, b.epoch = best_epoch as epoch_agrees, abs(b.v - macro_f1) <= 0.001 as value_agrees from r join b on b.run = experiment || '_seed' || seed", views=False)
+def history_agreement(spark, sf_dir):
+    """Whether the registry's best epoch and score are those of the run's history."""
+    b = dynamics.best_epoch(dynamics.clean(table(spark, sf_dir, "epoch_history"))).select("run", F.col("best_epoch").alias("e"), "best")
+    r = _runs(spark, sf_dir).withColumn("run", F.concat(F.col("experiment"), F.lit("_seed"), F.col("seed").cast("string")))
+    return r.join(b, "run").select("experiment", "seed", (F.col("e") == F.col("best_epoch")).alias("epoch_agrees"), (F.abs(F.col("best") - F.col("macro_f1")) <= 0.001).alias("value_agrees"))

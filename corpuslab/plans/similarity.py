@@ -134,3 +134,38 @@ def top_terms_by_class(spark, sf_dir):
     x = labelled(spark, sf_dir)
     n = x.select("label", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term"))).filter("rank <= 12")
+
+
+_BEST = _PAIRS.replace(">= 0.7)", ">= 0.5)") + ", best as (select q, max(cos) as best from (select a as q, cos from pairs union all select b, cos from pairs) group by 1)"
+
+
+@query(_BEST + ", e as (select d.row_id, d.pkey as product, coalesce(best, 0) as best from d left join best on q = d.row_id) select product, count(*) as n, round(100.0 * count(*) filter (best >= 0.7) / count(*), 4) as rate_pct from e group by 1")
+def near_dup_rate_by_class(spark, sf_dir):
+    return _best(spark, sf_dir).groupBy(F.col("pkey").alias("product")).agg(F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(F.col("best") >= 0.7) / F.count(F.lit(1)), 4).alias("rate_pct"))
+
+
+def _best(spark, sf_dir):
+    """First rows with the cosine of their nearest other row, 0 if below 0.5."""
+    p = tfidf.similar_pairs(_postings(spark, sf_dir), 0.5, 0.3)
+    best = p.select(F.explode(F.array("a", "b")).alias("row_id"), "cos").groupBy("row_id").agg(F.max("cos").alias("best"))
+    return first_rows(spark, sf_dir).select("row_id", "pkey").join(best, "row_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+
+
+@query(
+    _BEST
+    + """, p0 as (select * from predictions qualify row_number() over (partition by experiment, seed, test_idx order by logged_at desc, y_true desc, y_pred desc nulls last) = 1),
+e as (select p0.experiment, p0.seed, y_true, y_pred, case when b >= 0.9 then '0.9-1.0' when b >= 0.8 then '0.8-0.9' when b >= 0.7 then '0.7-0.8' when b >= 0.6 then '0.6-0.7' when b >= 0.5 then '0.5-0.6' else 'below 0.5' end as band from p0 join (select d.row_id, coalesce(best, 0) as b from d left join best on q = d.row_id) on row_id = test_idx where y_pred is not null),
+ids as (select unnest(range(5))::int as i), pc as (select experiment, seed, band, i, count(*) filter (y_true = i) as s, count(*) filter (y_pred = i) as q, count(*) filter (y_true = i and y_pred = i) as tp from e, ids group by all)
+select experiment, seed, band, sum(s)::bigint as n, round(avg(2.0::double * tp / (s + q)) filter (s + q > 0), 9) as macro_f1 from pc group by all"""
+)
+def similarity_bands(spark, sf_dir):
+    """Macro-F1 of test rows by the cosine of the nearest other text."""
+    from corpuslab.operators import evaluate
+
+    b = F.col("best")
+    band = F.when(b >= 0.9, "0.9-1.0").when(b >= 0.8, "0.8-0.9").when(b >= 0.7, "0.7-0.8").when(b >= 0.6, "0.6-0.7").when(b >= 0.5, "0.5-0.6").otherwise("below 0.5")
+    p = evaluate.latest(table(spark, sf_dir, "predictions"), ["experiment", "seed", "test_idx"], ["logged_at"]).filter("y_pred is not null")
+    e = p.join(_best(spark, sf_dir).select(F.col("row_id").alias("test_idx"), band.alias("band")), "test_idx")
+    by = ["experiment", "seed", "band"]
+    m = evaluate.macro(evaluate.per_class(evaluate.confusion(e, by, 5), by), by)
+    return m.select(*by, "n", F.round("macro_f1", 9).alias("macro_f1"))

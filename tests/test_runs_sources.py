@@ -122,3 +122,57 @@ def test_config(spark, data):
     with pytest.raises(ValueError, match="missing sections"):
         config.from_document({})
     assert config.environment(spark)["spark"] == spark.version
+
+
+def test_frozen_dataset_is_checked(spark, tmp_path):
+    from corpuslab.operators import frozen
+
+    rows = spark.createDataFrame([(i, f"t{i}", "AB"[i % 2]) for i in range(10)] + [(50, "t1", "B")], "row_id long, text string, label string")
+    s = spark.createDataFrame([(i, "train" if i < 8 else "test") for i in range(10)], "row_id long, split string")
+    sp, mp = str(tmp_path / "split"), str(tmp_path / "m.json")
+    sinks.write_split(s, sp)
+    cols = ["row_id", "text", "label"]
+    fingerprint.save(fingerprint.split(rows.filter("row_id < 10").join(s, "row_id"), "row_id", "label", cols), mp)
+    assert frozen.load_frozen(spark, rows, sp, mp, "row_id", "text", "label", cols).count() == 10
+    with pytest.raises(ValueError, match="expected"):
+        frozen.load_frozen(spark, rows.replace("t3", "x", "text"), sp, mp, "row_id", "text", "label", cols)
+
+
+def test_checkpoint_and_run_errors(tmp_path):
+    from corpuslab.operators import frozen
+
+    f = tmp_path / "c"
+    f.write_bytes(b"w")
+    good = {"monitor_metric": "val_macro_f1", "best_epoch": 2, "best_value": 0.8}
+    assert frozen.checkpoint_errors(good, str(f)) == []
+    assert len(frozen.checkpoint_errors({"monitor_metric": "loss", "best_epoch": 0, "best_value": 2}, str(tmp_path / "no"))) == 4
+    run = {"dataset_version": "v", "best_epoch": 2, "epochs_run": 4, "val_macro_f1": 0.8}
+    assert frozen.run_errors(run, {"dataset_content_sha256": "v"}, 0.8005, 10, [str(f)]) == []
+    assert len(frozen.run_errors(run, {"dataset_content_sha256": "w"}, 0.9, 3, ["/no"])) == 4
+
+
+def test_labels(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslab.functions.labels import class_ids, first_max, ranked_classes
+
+    names = spark.createDataFrame([("Credit card", 1), ("Other", None)], "label string, class_id int")
+    df = spark.createDataFrame([(" credit  CARD",)], "p string")
+    assert class_ids(df, "p", names).first().class_id == 1
+    bad = spark.createDataFrame([("Other",)], "p string")
+    assert class_ids(bad, "p", names, strict=False).first().class_id is None
+    with pytest.raises(Exception, match="unknown label"):
+        class_ids(bad, "p", names).collect()
+    r = spark.createDataFrame([([0.2, 0.5, 0.5],)], "s array<double>").select(first_max(F.col("s")).alias("m"), ranked_classes(F.col("s")).alias("c")).first()
+    assert r.m == 1 and [x.class_id for x in r.c] == [1, 2, 0]
+
+
+def test_word_tokenizer_roundtrip(spark, tmp_path):
+    from corpuslab.operators.vocab import WordTokenizer
+
+    df = spark.createDataFrame([(0, ["a", "a", "b"]), (1, [])], "k long, ws array<string>")
+    t = WordTokenizer.fit(df, "k", "ws", cap=3)
+    t.save(str(tmp_path / "t"))
+    u = WordTokenizer.load(spark, str(tmp_path / "t"))
+    get = lambda x: {r.k: r.seq for r in x.transform(df, "k", "ws").collect()}
+    assert get(t) == get(u) == {0: [2, 2, 1], 1: []} and u.cap == 3
