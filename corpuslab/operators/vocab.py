@@ -19,8 +19,8 @@ def exploded(df: DataFrame, key: str, words: str) -> DataFrame:
 def word_counts(df: DataFrame, key: str, words: str) -> DataFrame:
     """``(word, n, docs, first)``: occurrences, documents and the first place (id, position) of each word. Each document is
     reduced to its distinct words before the shuffle."""
-    per = exploded(df, key, words).groupBy(key, "word").agg(F.count(F.lit(1)).alias("k"), F.min("pos").alias("pos"))
-    return per.groupBy("word").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col(key).alias("key"), "pos")).alias("first"))
+    per = exploded(df, key, words).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_k"), F.min("pos").alias("pos"))
+    return per.groupBy("word").agg(F.sum("_k").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col(key).alias("key"), "pos")).alias("first"))
 
 
 def ranked(counts: DataFrame, order: list, name: str = "rank") -> DataFrame:
@@ -49,7 +49,7 @@ def to_sequences(df: DataFrame, key: str, words: str, index: DataFrame, cap: int
     known = index.filter(F.col("idx") < cap) if cap else index
     hit = exploded(df, key, words).join(small(known.select("word", "idx")), "word", "left")
     hit = hit.withColumn("idx", F.coalesce("idx", F.lit(1 if oov else None).cast("int"))).filter("idx is not null")
-    seq = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("s")).select(key, F.transform("s", lambda x: x["idx"]).alias("seq"))
+    seq = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_s")).select(key, F.transform("_s", lambda x: x["idx"]).alias("seq"))
     return df.select(key).join(seq, key, "left").select(key, F.coalesce("seq", F.array().cast("array<int>")).alias("seq"))
 
 
