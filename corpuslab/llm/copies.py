@@ -83,9 +83,10 @@ def _confirm(base: DataFrame, members: DataFrame, stage: Stage) -> DataFrame:
     """Compare the full structure of each row with that of the first row of its ordered digest, and of that row's
     fields with those of the first row of the form digest. A row that only shares a digest stays alone."""
     full = base.join(members, "row_id").select("*", leaf(F.col("t")).alias("flat"), F.when(F.col("k2").isNotNull(), field_node(F.col("t"))).alias("tree")).drop("t")
-    # an id that stands in several rows meets each of its texts; only the one of this digest counts
-    full = full.filter(F.unhex(F.md5(F.col("flat").cast("binary"))) == F.col("k1")).dropDuplicates(["row_id", "k1", "k2"])
     full = stage.put(full, "structures")
+    # an id that stands in several rows meets each of its texts; only the one of this digest counts. Read back first,
+    # or the comparison would become a join key and every text of the table would be normalised again
+    full = full.filter(F.unhex(F.md5(F.col("flat").cast("binary"))) == F.col("k1")).dropDuplicates(["row_id", "k1", "k2"])
     n = full.count()
     heads = full.filter("row_id = lo").select("k1", F.col("flat").alias("head_flat"), "n")
     same = lookup(full, heads, ["k1"], n, "n").withColumn("ok1", F.col("flat") == F.col("head_flat"))
