@@ -83,7 +83,11 @@ class _Utf8As:
         return "".join(out) if hit else None
 
     def _unit(self, run: str, i: int) -> tuple[str, int] | None:
-        for lead in self.of.get(run[i], ()):
+        """The character whose bytes stand at i, and how many symbols they take. Complete readings go before cut ones, those of
+        the page's own case before others; a C1 control is what a second turn of the same damage leaves."""
+        found = []
+        for n, lead in enumerate(self.of.get(run[i], ())):
+            other = n > 0  # the first is the page's own byte for this character
             need = 1 if 0xC2 <= lead <= 0xDF else 2 if 0xE0 <= lead <= 0xEF else 3 if 0xF0 <= lead <= 0xF4 else 0
             if not need:
                 continue
@@ -93,20 +97,18 @@ class _Utf8As:
                 if b is None:
                     break
                 tail.append(b)
-            tries = []
-            if len(tail) == need:
-                tries.append((bytes([lead, *tail]), 1 + need))
-            if need == 2 and len(tail) >= 1:  # the last byte has no character in this page and was dropped
-                tries += [(bytes([lead, tail[0], u]), 2) for u in self.undefined[::-1] if u <= 0xBF]
-            for raw, used in tries:
+            tries = [(False, bytes([lead, *tail]), 1 + need)] if len(tail) == need else []
+            if need == 2 and tail:  # the last byte has no character in this page and was dropped
+                tries += [(True, bytes([lead, tail[0], u]), 2) for u in self.undefined[::-1] if u <= 0xBF]
+            for cut, raw, used in tries:
                 try:
                     c = raw.decode("utf-8")
                 except UnicodeDecodeError:
                     continue
-                # C1 controls are what a second turn of the same damage leaves
-                if "\x80" <= c <= "\x9f" or unicodedata.category(c) not in ("Cc", "Cn", "Co"):
-                    return c, used
-        return None
+                control = "\x80" <= c <= "\x9f"
+                if control or unicodedata.category(c) not in ("Cc", "Cn", "Co"):
+                    found.append(((cut or control, other, cut), c, used))
+        return min(found, key=lambda x: x[0])[1:] if found else None
 
 
 class _PageAs:
@@ -169,23 +171,31 @@ def readings(run: str) -> tuple[tuple[int, str], ...]:
 
 
 class Model:
-    """Bigram counts and cipher weights."""
+    """Bigram counts, smoothed by how many kinds of successors a symbol has (Witten-Bell), and cipher weights."""
 
     def __init__(self, pairs: dict[tuple[str, str], float], weights: dict[tuple[str, int], float]):
         self.pairs, self.weights = pairs, weights
         self.first: dict[str, float] = defaultdict(float)
-        for (a, _), n in pairs.items():
+        self.kinds: dict[str, float] = defaultdict(lambda: 1.0)
+        second: dict[str, float] = defaultdict(float)
+        for (a, b), n in pairs.items():
             self.first[a] += n
-        self.size = len({b for _, b in pairs}) + 1
+            self.kinds[a] += n > 0.5
+            second[b] += n
+        total = sum(second.values()) + SMOOTH * (len(second) + 1)
+        self.unseen = math.log(SMOOTH / total)
+        self.alone = {b: (n + SMOOTH) / total for b, n in second.items()}
         self.cache: dict = {}
 
+    def _joint(self, a: str, b: str) -> float:
+        return self.pairs.get((a, b), 0.0) + self.kinds[a] * self.alone.get(b, math.exp(self.unseen))
+
     def log_p(self, left: str, run: str, right: str) -> float:
         """Log probability of the run and what follows, up to a constant of the left context."""
-        a = symbol(left)
-        s = math.log(self.pairs.get((a, symbol(run[0])), 0.0) + SMOOTH)
+        s = math.log(self._joint(symbol(left), symbol(run[0])))
         for x, y in zip(run, run[1:] + right if right else (*run[1:], "")):
             x, y = symbol(x), symbol(y)
-            s += math.log((self.pairs.get((x, y), 0.0) + SMOOTH) / (self.first.get(x, 0.0) + SMOOTH * self.size))
+            s += math.log(self._joint(x, y) / (self.first.get(x, 0.0) + self.kinds[x]))
         return s
 
     def weight(self, source: str, k: int) -> float:
