@@ -38,7 +38,7 @@ MINHASHES = 256
 BANDS = 40
 ROWS = 4
 SKETCH_BITS = 512
-LAG = 16
+LAG = 8
 #: Neighbours that rows further back in a bucket meet besides its first row.
 NEAR = 2
 #: Rows of a large bucket that one task of a closing round holds.
@@ -189,7 +189,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
                 hit = (k[lag:] == k[:-lag]) & (np.arange(lag, len(k)) >= old)
                 if not hit.any():
-                    continue
+                    break  # a farther pair would have nearer ones within it
                 x = np.flatnonzero(hit)
                 if lag > NEAR:
                     x = x[place[x + lag - old] <= LAG]

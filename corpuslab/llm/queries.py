@@ -184,3 +184,12 @@ hit as (select doc_id, p from w semi join many using (s)),
 runs as (select *, sum(case when p <= before + 240 then 0 else 1 end) over (partition by doc_id order by p) as run from (select *, lag(p) over (partition by doc_id order by p) as before from hit))
 select doc_id, min(p) as span_start, max(p) + 240 - min(p) as span_len from runs group by doc_id, run""",
 }
+
+_P2, _P5, _P8 = (SQL[k].rpartition("\nselect")[0] for k in ("p2_found", "p5_found", "p8_found"))
+SQL |= {
+    "p2_collapsed": _P2 + """, k as (select lo, count(*) as n from root group by 1)
+select c.row_id, coalesce(k.n, 1) as copies from c left join root on root.a = c.row_id left join k on k.lo = c.row_id where root.a is null or root.lo = c.row_id""",
+    "p5_groups": _P5 + "\nselect a as row_id, lo as first_row_id from root",
+    "p8_share": _P8 + """, spans as (select doc_id, max(p) + 240 - min(p) as n from runs group by doc_id, run), d as (select doc_id, max(length(text)) as chars from documents where text is not null group by 1)
+select d.doc_id, chars, coalesce(sum(n), 0)::bigint as shared_chars, coalesce(sum(n), 0) / nullif(chars, 0) as share from d left join spans using (doc_id) group by all""",
+}
