@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_ROOTS: dict[str, list] = {}
 
 
 def get_session(app: str = "corpuslab", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -46,6 +47,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
@@ -60,9 +62,20 @@ class Stage:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_stage_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete all stage tables of this application, once the results that were read from them are written. Returns how many
+    folders there were."""
+    stages = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for s in stages:
+        s._delete(s.root)
+    return len(stages)
 
 
 def ship(spark: SparkSession) -> None:

@@ -73,3 +73,15 @@ def test_quota_is_exact(spark, n, take, buckets):
     quota = spark.createDataFrame([("a", take)], "g string, take long")
     got = [r.id for r in take_quota(rows, quota, ["g"], ["id"], 3, buckets).collect()]
     assert len(got) == len(set(got)) == min(n, take)
+
+
+def test_stages_can_be_dropped(spark):
+    import pathlib
+
+    from corpuslab.session import Stage, drop_stages
+
+    st = Stage(spark, "x")
+    t = st.put(spark.range(3).toDF("a"))
+    where = pathlib.Path(st.root.removeprefix("file://"))
+    assert t.count() == 3 and where.exists()
+    assert drop_stages(spark) >= 1 and not where.exists()
