@@ -191,5 +191,5 @@ SQL |= {
 select c.row_id, coalesce(k.n, 1) as copies from c left join root on root.a = c.row_id left join k on k.lo = c.row_id where root.a is null or root.lo = c.row_id""",
     "p5_groups": _P5 + "\nselect a as row_id, lo as first_row_id from root",
     "p8_share": _P8 + """, spans as (select doc_id, max(p) + 240 - min(p) as n from runs group by doc_id, run), d as (select doc_id, max(length(text)) as chars from documents where text is not null group by 1)
-select d.doc_id, chars, coalesce(sum(n), 0)::bigint as shared_chars, coalesce(sum(n), 0) / nullif(chars, 0) as share from d left join spans using (doc_id) group by all""",
+select d.doc_id, chars, coalesce(k, 0)::bigint as shared_chars, coalesce(k, 0) / nullif(chars, 0) as share from d left join (select doc_id, sum(n) as k from spans group by 1) using (doc_id)""",
 }
