@@ -102,7 +102,7 @@ def log_odds(counts: DataFrame, label: str, k: int) -> DataFrame:
     per = counts.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("m"))  # one entry per label
     sums = counts.groupBy(label).agg(F.sum("n").alias("s")).limit(MAX_LABELS + 1).collect()
     if not sums:
-        return counts.select(label, "word", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return counts.select(label, "word", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
     if len(sums) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
     grand = sum(r["s"] for r in sums)
@@ -111,7 +111,7 @@ def log_odds(counts: DataFrame, label: str, k: int) -> DataFrame:
     score = F.log((F.col("n") + 1) / (F.col("inside_sum") + 1)) - F.log((F.col("all") - F.col("n") + 1) / (F.col("grand") - F.col("inside_sum") + 1))
     scored = pairs.withColumn("score", F.round(score, 6))
     w = Window.partitionBy(label).orderBy(F.desc("score"), "word")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(label, "word", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(label, "word", "score", "rank")
 
 
 class WordTokenizer:

@@ -121,7 +121,7 @@ def artifact_counts(spark, sf_dir):
 @query(r"select row_id, len(regexp_extract_all(text, '\bX{2,}\b')) as redactions, len(regexp_extract_all(text, '\{\$[\d.,]+\}')) as amounts from d")
 def pattern_counts(spark, sf_dir):
     d = first_rows(spark, sf_dir)
-    return d.select("row_id", F.regexp_count("text", F.lit(T.ARTIFACTS["XXXX redaction"])).alias("redactions"), F.regexp_count("text", F.lit(T.ARTIFACTS["{$...} amount"])).alias("amounts"))
+    return d.select("row_id", *[F.regexp_count("text", F.lit(T.ARTIFACTS[k])).cast("long").alias(a) for k, a in (("XXXX redaction", "redactions"), ("{$...} amount", "amounts"))])
 
 
 @query(r", r as (select x.label, len(regexp_extract_all(text, '\bX{2,}\b')) as k, len(words) as n from x join w using (row_id)) select label, round(100.0 * avg((k > 0)::int), 4) as has_pct, round(avg(k), 4) as mean, round(quantile_cont(k, 0.5), 4) as median, round(quantile_cont(100.0::double * k / nullif(n, 0), 0.5), 4) as median_density from r group by 1")

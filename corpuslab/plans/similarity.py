@@ -133,7 +133,7 @@ def top_terms_by_class(spark, sf_dir):
     """The k most frequent terms of each class."""
     x = labelled(spark, sf_dir)
     n = x.select("label", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term"))).filter("rank <= 12")
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term")).cast("long")).filter("rank <= 12")
 
 
 _BEST = _PAIRS.replace(">= 0.7)", ">= 0.5)") + ", best as (select q, max(cos) as best from (select a as q, cos from pairs union all select b, cos from pairs) group by 1)"
