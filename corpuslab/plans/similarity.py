@@ -146,7 +146,7 @@ def near_dup_rate_by_class(spark, sf_dir):
 
 def _best(spark, sf_dir):
     """First rows with the cosine of their nearest other row, 0 if below 0.5."""
-    p = tfidf.similar_pairs(_postings(spark, sf_dir), 0.5, 0.3)
+    p = tfidf.similar_pairs(_postings(spark, sf_dir), 0.5, 0.35)
     best = p.select(F.explode(F.array("a", "b")).alias("row_id"), "cos").groupBy("row_id").agg(F.max("cos").alias("best"))
     return first_rows(spark, sf_dir).select("row_id", "pkey").join(best, "row_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 

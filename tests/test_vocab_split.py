@@ -102,7 +102,9 @@ def test_prefix_filter_is_exact(spark, data):
     p = tfidf.weigh(c, tfidf.fit(c, d.count()))
     a, b = p.select(F.col("doc").alias("a"), "term", F.col("w").alias("x")), p.select(F.col("doc").alias("b"), "term", F.col("w").alias("y"))
     plain = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("c")).filter("c >= 0.5")
-    assert {(r.a, r.b) for r in tfidf.similar_pairs(p, 0.5).collect()} == {(r.a, r.b) for r in plain.collect()}
+    want = {(r.a, r.b) for r in plain.collect()}
+    for rare in (1, 8, 400):
+        assert {(r.a, r.b) for r in tfidf.similar_pairs(p, 0.5, 0.4, rare).collect()} == want
 
 
 def grouped(spark):
