@@ -3,8 +3,10 @@
 Words are canonicalised into templates: numbers, names and units become typed placeholders. Windows of ``k`` canonical words
 of the items and the corpus are joined by hash, and each hit is settled by its slots. Equal slots are a verbatim
 passage; slots that can be mapped one to one, item to document, are the same question with other parameters. What a word
-becomes in its template depends on the lower-cased word alone, so a verbatim passage always has its item's template;
-of the corpus, windows are also read with capitalised words as names, so that names the items don't have count as names.
+becomes in its strict template depends on the lower-cased word alone, so a verbatim passage always has its item's template.
+Windows are also read with capitalised words as names, so that names the items don't have count as names: those that stand
+within a sentence, all of them, and of the corpus those that no item has. The first two are read so on both sides, as a
+capitalised word that starts a sentence would otherwise be a name on one side only.
 
 Defined cases: null and short texts (fewer than ``k`` words) match nothing. Repeated rows count once. Items that overlap
 are each reported.
@@ -26,6 +28,8 @@ from corpuslab.session import Stage
 
 #: Item windows up to this number are broadcast to the join; beyond it the join is shuffled.
 BROADCAST_WINDOWS = 1_000_000
+#: Distinct words of the items, which are collected; more is an error.
+MAX_WORDS = 8_000_000
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Words of measure whose change does not make another question.
 UNITS = ("second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "pound", "pounds", "cent", "cents", "percent", "points", "pages", "miles", "km", "kg", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -55,8 +59,19 @@ def _in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[at] == x
 
 
-def classify(texts: list[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class by word, class by word and case, start, end, first word of each text) of the words of the texts."""
+def _inner(cp: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether the words at ``at``, in texts that begin at ``start``, stand within a sentence."""
+    ends = [ord(c) for c in ".!?:\n“\""]
+    out = at > start
+    for n in (1, 2):
+        out &= ~((at - n >= start) & np.isin(cp[np.maximum(at - n, 0)], ends))
+    return out
+
+
+def classify(texts: list[str], names: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, readings, start, end, first word of each text) of the words of the texts. A reading has each word's class: by
+    the word alone; capitalised words as names where they stand within a sentence; wherever they stand; where they are not
+    ``known``, the words of the items."""
     h, a, b, first = wordhash.words(texts)
     cp, starts = wordhash.code_points(texts)
     base = np.repeat(starts[:-1], np.diff(first))
@@ -71,9 +86,8 @@ def classify(texts: list[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarra
     x = np.zeros(len(cp) + 1, np.int64)
     np.cumsum((cp == 88) | (cp == 120), out=x[1:])
     strict[(x[b + base] - x[a + base] == b - a) & (b - a > 1)] = NUMBER
-    loose = strict.copy()
-    loose[(loose == 0) & upper[cp[a + base]]] = NAME
-    return h, strict, loose, a, b, first
+    cap = (strict == 0) & upper[cp[a + base]]
+    return h, [strict, *(np.where(cap & x, np.int8(NAME), strict) for x in (_inner(cp, a + base, base), True, ~_in(known, h)))], a, b, first
 
 
 def _windows(h: np.ndarray, kind: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,42 +97,39 @@ def _windows(h: np.ndarray, kind: np.ndarray, first: np.ndarray, k: int) -> tupl
     return wordhash.shingles(canon, first, k)
 
 
-_WIN = "id long, t long, slots array<string>, kinds array<byte>"
-
-
-def _emit(ids, texts, h, strict, loose, a, b, first, k, sel_s, sel_l) -> Iterator[tuple]:
-    """Rows for the chosen windows: sel_s and sel_l list (text, offset) read strictly and loosely."""
-    for sel, kind in ((sel_s, strict), (sel_l, loose)):
-        for i, at, t in sel:
-            p = first[i] + at
-            yield ids[i], t, [texts[i][a[q] : b[q]].lower() for q in range(p, p + k)], [int(x) for x in kind[p : p + k]]
+_WIN = "id long, t long, s long, slots array<string>, kinds array<byte>"
 
 
-def _scan(k: int, names: np.ndarray, bits: tuple[np.ndarray, int] | None):
-    """Windows of a table of texts; with ``bits`` only those whose template may be an item's."""
+def _scan(k: int, names: np.ndarray, known: np.ndarray, bits: tuple[np.ndarray, int] | None):
+    """Windows of a table of texts in each reading, ``s`` the strict template's hash; with ``bits`` only those whose template
+    may be an item's, without it (the items) readings other than the strict one only if half the words are no slots."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in wordhash.groups(np.fromiter(map(len, all_texts), np.int64, len(all_texts))):
                 ids, texts = all_ids[lo:hi], all_texts[lo:hi]
-                h, strict, loose, a, b, first = classify(texts, names)
-                chosen = []
-                for n, kind in enumerate((strict, loose)):
+                h, readings, a, b, first = classify(texts, names, known)
+                rows, seen = [], []
+                for kind in readings:
                     t, off = _windows(h, kind, first, k)
-                    if bits is None:
-                        pos = np.arange(len(t)) if n == 0 else np.empty(0, np.int64)
+                    at = np.arange(len(t)) + np.repeat(first[:-1] - off[:-1], np.diff(off))
+                    if bits is not None:
+                        keep = bitmap.hit(bits[0], t & U((1 << bits[1]) - 1))
                     else:
-                        pos = np.flatnonzero(bitmap.hit(bits[0], t & U((1 << bits[1]) - 1)))
+                        slots = np.zeros(len(h) + 1, np.int64)
+                        np.cumsum(kind > 0, out=slots[1:])
+                        keep = np.full(len(t), True) if not seen else 2 * (slots[at + k] - slots[at]) <= k
+                    for other in seen:
+                        keep &= t != other
+                    seen.append(t)
+                    pos = np.flatnonzero(keep)
                     text = np.searchsorted(off, pos, side="right") - 1
-                    chosen.append([(int(i), int(p - off[i]), int(t[p : p + 1].view(np.int64)[0])) for i, p in zip(text, pos)])
-                if bits is not None:
-                    same = {(i, at, t) for i, at, t in chosen[0]}
-                    chosen[1] = [x for x in chosen[1] if x not in same]
-                rows = list(_emit(ids, texts, h, strict, loose, a, b, first, k, *chosen))
+                    for i, p, x, y in zip(text, at[pos], t[pos].view(np.int64), seen[0][pos].view(np.int64)):
+                        rows.append((ids[i], int(x), int(y), [texts[i][a[q] : b[q]].lower() for q in range(p, p + k)], [int(c) for c in kind[p : p + k]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.int8()))],
-                    names=["id", "t", "slots", "kinds"],
+                    [pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int8())))],
+                    names=["id", "t", "s", "slots", "kinds"],
                 )
 
     return work
@@ -128,10 +139,8 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per word: how often it stands capitalised within a sentence, and how often otherwise."""
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        h, _, loose, a, b, first = classify(texts, np.empty(0, U))
-        text = np.repeat(np.arange(len(texts)), np.diff(first))
-        inner = np.array([at > 0 and not set(texts[i][max(0, at - 2) : at]) & set(".!?:\n“\"") for i, at in zip(text, a)], bool)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(((loose == NAME) & inner).astype(np.int64)), pa.array(((loose != NAME)).astype(np.int64))], names=["h", "cap", "low"])
+        h, (_, inner, loose, _), *_ = classify(texts, np.empty(0, U), np.empty(0, U))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((inner == NAME).astype(np.int64)), pa.array(((loose != NAME)).astype(np.int64))], names=["h", "cap", "low"])
 
 
 def _bits_of(windows: DataFrame, count: int) -> tuple[np.ndarray, int]:
@@ -152,12 +161,16 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     named = it.select("text").mapInArrow(_names, "h long, cap long, low long").groupBy("h").agg(F.sum("cap").alias("cap"), F.sum("low").alias("low"))
     got = named.filter("cap > 0 and low = 0").select("h").limit(BROADCAST_WINDOWS).toPandas()
     names = np.sort(got["h"].to_numpy(np.int64).view(U))
-    own = stage.put(it.mapInArrow(_scan(k, names, None), _WIN).distinct(), "items")
+    got = named.select("h").limit(MAX_WORDS + 1).toPandas()
+    if len(got) > MAX_WORDS:
+        raise ValueError(f"items have more than {MAX_WORDS} distinct words")
+    known = np.sort(got["h"].to_numpy(np.int64).view(U))
+    own = stage.put(it.mapInArrow(_scan(k, names, known, None), _WIN).distinct(), "items")
     count = own.count()
     bits = _bits_of(own, count)
     d = docs.filter(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text"))
-    seen = d.mapInArrow(_scan(k, names, bits), _WIN).select(F.col("id").alias("doc"), "t", F.col("slots").alias("ds"), F.col("kinds").alias("dk"))
-    right = own.select(F.col("id").alias("item"), "t", F.col("slots").alias("is"), F.col("kinds").alias("ik"))
+    seen = d.mapInArrow(_scan(k, names, known, bits), _WIN).select(F.col("id").alias("doc"), "t", F.col("slots").alias("ds"), F.col("kinds").alias("dk"))
+    right = own.select(F.col("id").alias("item"), "t", "s", F.col("slots").alias("is"), F.col("kinds").alias("ik"))
     met = seen.join(F.broadcast(right) if count <= BROADCAST_WINDOWS else right, "t")
     # the fixed words of both are equal, kinds of slots as well, and slots map one to one
     pairs = F.arrays_zip("ik", "dk", "is", "ds")
@@ -165,5 +178,5 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     slot = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["ik"] > 0), lambda p: F.struct(p["is"].alias("a"), p["ds"].alias("b"))))
     one_to_one = (F.size(F.array_distinct(F.transform(slot, lambda p: p["a"]))) == F.size(slot)) & (F.size(F.array_distinct(F.transform(slot, lambda p: p["b"]))) == F.size(slot))
     judged = met.withColumn("verbatim", F.col("is") == F.col("ds")).filter(F.col("verbatim") | (fits & one_to_one))
-    found = judged.groupBy("doc", "item").agg(F.max("verbatim").alias("v"), F.count_distinct("t").alias("windows"))
+    found = judged.groupBy("doc", "item").agg(F.max("verbatim").alias("v"), F.count_distinct("s").alias("windows"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.when(F.col("v"), "verbatim").otherwise("template").alias("kind"), "windows")

@@ -41,6 +41,31 @@ def test_slots_must_agree(spark):
     assert got == {(1, 1): "template"}
 
 
+NAMED = "The agent of Zelmax told us in april that it was late today."
+
+
+@pytest.mark.parametrize(
+    "item,doc",
+    [
+        (NAMED, NAMED.replace("Zelmax", "Ostbank")),
+        # the new name is a word of the items, and a sentence starts within the window
+        ("A rose is here. " + NAMED, "So it is. " + NAMED.replace("Zelmax", "Rose")),
+        # capitals at the start differ
+        (NAMED, NAMED.replace("Zelmax", "Ostbank").replace("that it", "that: It")),
+        (NAMED, NAMED.replace("Zelmax", "Ostbank").upper()),
+    ],
+)
+def test_new_name_beside_other_capitals(spark, item, doc):
+    got = leaks(spark, [(1, doc), (2, doc.replace("late", "early").replace("LATE", "EARLY"))], [(7, item), (8, "WE GOT NO REPLY " * 9)])
+    assert got == {(1, 7): "template"}
+    assert leaks(spark, [(1, "NO ONE TOLD ME A THING ABOUT THIS OLD LOAN OF MINE")], [(8, NAMED.upper())], 10) == {}
+
+
+def test_windows_are_counted_once_over_readings(spark):
+    d = spark.createDataFrame([(1, NAMED + " My friend saw it.")], "doc_id long, text string")
+    assert [tuple(r) for r in find_leaks(d, "doc_id", "text", d, "doc_id", "text").collect()] == [(1, 1, "verbatim", 5)]
+
+
 def brute_leaks(docs, items, k=13):
     idx = {}
     for i, t in items:
