@@ -8,6 +8,10 @@ read literally or as each cipher would have it, in proportion to the bigram prob
 context and to the cipher's weight in the row's source; in the M step bigrams and weights are counted anew by
 these proportions. A row is damaged if, under some cipher, its runs together are likelier decoded than literal.
 
+Swaps among the listed code pages follow by rule, and UTF-8 read as other pages that Python knows. For runs within
+words that none of these explains, the EM also learns a table per source, from the run to the letter it stands for: each
+letter the bigrams know is a candidate, its weight the share of the run's occurrences that it is expected to explain.
+
 Defined cases: a null text is never damaged. U+FFFD counts as damage that cannot be undone. Text that is as a whole
 (white space aside) the printed form of a byte string is damaged and restored by evaluating its escapes. Doubly
 swapped text is undone in turns. Empty text, ASCII text and correct foreign text are not damaged.
@@ -35,12 +39,20 @@ PRIOR = 0.02
 SMOOTH = 0.05
 #: Log odds, for each byte beyond a character's first, that symbols forming valid UTF-8 aren't there by chance.
 VALID = math.log(20)
+#: The same where a character may be several bytes; a third of the second bytes would do.
+WIDE_VALID = math.log(3)
 EM_ROUNDS = 5
 SOURCE_BUCKETS = 64
 RUN = re.compile(r"[^\x00-\x7f]+")
 BYTES = re.compile(r"(?s)\A\s*b(['\"])(.*)\1\s*\Z")
 BYTES_JAVA = r"(?s)\A[\s\p{Z}]*b(?:'.*'|" + '".*")' + r"[\s\p{Z}]*\z"
 RUN_LIMIT = 64
+#: Pages that UTF-8 may have been read as, besides CODE_PAGES; the whole run must be valid UTF-8 then.
+OTHER_PAGES = ("cp1255", "cp1256", "cp1258", "cp874", "cp737", "cp775", "cp855", "cp857", "cp858", "cp860", "cp861", "cp862", "cp863", "cp864", "cp865", "cp869", "cp1125", "iso8859_3", "iso8859_4", "iso8859_5", "iso8859_6", "iso8859_7", "iso8859_8", "iso8859_9", "iso8859_10", "iso8859_11", "iso8859_13", "iso8859_14", "iso8859_15", "iso8859_16", "koi8_u", "koi8_t", "kz1048", "ptcp154", "hp_roman8", "mac_cyrillic", "mac_greek", "mac_iceland", "mac_latin2", "mac_turkish")
+WIDE_PAGES = ("gb18030", "cp932", "cp949", "cp950", "big5hkscs", "euc_jp", "euc_kr", "johab")
+#: A learned run has at most so many symbols, an entry so many contexts and this weight at least; so many entries are kept.
+LEARNED_LEN, LEARNED_CONTEXTS, LEARNED_WEIGHT, LEARNED_ENTRIES = 6, 2, 0.8, 200_000
+LEARNED = -1
 
 
 def _byte_chars(page: str) -> dict[int, str]:
@@ -54,6 +66,14 @@ def _byte_chars(page: str) -> dict[int, str]:
     return out
 
 
+def _valid(run: str, decoded: str) -> float:
+    return VALID * (len(run) - len(decoded))
+
+
+def _valid_wide(run: str, decoded: str) -> float:
+    return WIDE_VALID * sum(len(c.encode("utf-8")) - 1 for c in decoded)
+
+
 class _Utf8As:
     """UTF-8 bytes that were read as a code page, perhaps with the case of the result changed later."""
 
@@ -67,6 +87,7 @@ class _Utf8As:
             for v in (c.lower(), c.upper()):
                 if len(v) == 1 and b not in self.of[v] and ord(v) > 127:
                     self.of[v].append(b)
+        self.valid = _valid
         self.undefined = [b for b in range(0x80, 0x100) if not _defined(page, b)]
 
     def __call__(self, run: str) -> str | None:
@@ -111,11 +132,27 @@ class _Utf8As:
         return min(found, key=lambda x: x[0])[1:] if found else None
 
 
+class _WholeUtf8As:
+    """UTF-8 bytes that were read as a page of one or more bytes a character, which may have taken in an ASCII letter."""
+
+    def __init__(self, page: str):
+        self.name, self.page = f"utf8>{page}", page
+        self.valid = _valid_wide if page in WIDE_PAGES else _valid
+
+    def __call__(self, run: str) -> str | None:
+        try:
+            out = run.encode(self.page).decode("utf-8")
+        except UnicodeError:
+            return None
+        fit = all(c >= "\x80" or c.isalnum() for c in out) and any(c >= "\x80" for c in out)
+        return out if fit and out != run and not any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Mn") for c in out) else None
+
+
 class _PageAs:
     """Text of one code page that was read as another one."""
 
     def __init__(self, real: str, read: str):
-        self.name = f"{real}>{read}"
+        self.name, self.valid = f"{real}>{read}", _valid
         a, b = _byte_chars(real), _byte_chars(read)
         self.table = {ord(b[x]): a[x] for x in range(0x80, 0x100) if a[x] != b[x] and b[x] > "\x9f" and a[x] > "\x9f"}
 
@@ -145,6 +182,7 @@ def ciphers() -> tuple:
                 if c.table and k not in seen:
                     seen.add(k)
                     found.append(c)
+    found += [_WholeUtf8As(p) for p in (*OTHER_PAGES, *WIDE_PAGES)]
     return tuple(found)
 
 
@@ -166,15 +204,33 @@ def symbol(c: str) -> str:
 
 @functools.lru_cache(200_000)
 def readings(run: str) -> tuple[tuple[int, str], ...]:
-    """(cipher, decoded) for each cipher that changes the run."""
-    return tuple((k, d) for k, c in enumerate(ciphers()) if (d := c(run)) is not None)
+    """(cipher, decoded) for each cipher that changes the run; of OTHER_PAGES and WIDE_PAGES the first that reads it as no other does."""
+    found: dict[int, str] = {}
+    for k, c in enumerate(ciphers()):
+        d = c(run)
+        if d is not None and not (isinstance(c, _WholeUtf8As) and d in found.values()):
+            found[k] = d
+    return tuple(found.items())
+
+
+def learnable(left: str, run: str, right: str) -> bool:
+    """Whether the run stands at an ASCII letter and has a symbol from outside the pages, so that it may need a learned entry."""
+    return len(run) <= LEARNED_LEN and "�" not in run and any(c and c < "\x80" and c.isalpha() for c in (left, right)) and any(c not in repertoire() and c.isalpha() for c in run)
 
 
 class Model:
     """Bigram counts, smoothed by how many kinds of successors a symbol has (Witten-Bell), and cipher weights."""
 
-    def __init__(self, pairs: dict[tuple[str, str], float], weights: dict[tuple[str, int], float]):
-        self.pairs, self.weights = pairs, weights
+    def __init__(self, pairs: dict[tuple[str, str], float], weights: dict[tuple[str, int], float], table: dict[tuple[str, str], dict[str, float]] | None = None):
+        self.pairs, self.weights, self.table = pairs, weights, table
+        self.after: dict[str, set] = defaultdict(set)
+        self.before: dict[str, set] = defaultdict(set)
+        for a, b in pairs:
+            # letters of a known script, and the apostrophe within words
+            if len(b) == 1 and b > "\x7f" and (b.isalpha() or b == "’"):
+                self.after[a].add(b)
+            if len(a) == 1 and a > "\x7f" and (a.isalpha() or a == "’"):
+                self.before[b].add(a)
         self.first: dict[str, float] = defaultdict(float)
         self.kinds: dict[str, float] = defaultdict(lambda: 1.0)
         second: dict[str, float] = defaultdict(float)
@@ -194,6 +250,9 @@ class Model:
         """Log probability of the run and what follows, up to a constant of the left context."""
         s = math.log(self._joint(symbol(left), symbol(run[0])))
         for x, y in zip(run, run[1:] + right if right else (*run[1:], "")):
+            if x < "\x80" and y < "\x80":  # such pairs aren't counted
+                s += math.log(self.alone.get(symbol(y), math.exp(self.unseen)))
+                continue
             x, y = symbol(x), symbol(y)
             s += math.log(self._joint(x, y) / (self.first.get(x, 0.0) + self.kinds[x]))
         return s
@@ -209,9 +268,33 @@ class Model:
                 self.cache.clear()
             got = readings(run)
             plain = self.log_p(left, run, right) if got else 0.0
-            self.cache[key] = tuple((k, d, self.log_p(left, d, right) - plain + VALID * (len(run) - len(d))) for k, d in got)
+            self.cache[key] = tuple((k, d, self.log_p(left, d, right) - plain + ciphers()[k].valid(run, d)) for k, d in got)
         return self.cache[key]
 
+    def letters(self, source: str, left: str, run: str, right: str) -> list[tuple[str, float, float]]:
+        """(letter, weight, log-likelihood ratio) of the letters that a run may stand for in a source."""
+        if not learnable(left, run, right) or any(self.weight(source, k) * math.exp(min(60.0, g)) > 1 for k, _, g in self.gains(left, run, right)):
+            return []
+        if self.table is None:
+            some = (self.after[symbol(left)] | self.before[symbol(right)]) - set(run)
+            weights = {x: PRIOR / len(some) for x in some}
+        else:
+            weights = self.table.get((source, run), {})
+        plain = self.log_p(left, run, right) if weights else 0.0
+        return [(x, w, self.log_p(left, x, right) - plain) for x, w in weights.items()]
+
+    def learned(self, source: str, left: str, run: str, right: str) -> tuple[str, float] | None:
+        """The letters a run stands for by the table, whole or in parts, and their log-likelihood ratio."""
+        ways: list[str | None] = ["", *[None] * len(run)]
+        for j in range(1, len(run) + 1):
+            for i in range(max(0, j - LEARNED_LEN), j):
+                x = (self.table or {}).get((source, run[i:j]))
+                if x and ways[i] is not None:
+                    ways[j] = ways[i] + max(x, key=x.get)
+                    break
+        out = ways[-1]
+        return (out, self.log_p(left, out, right) - self.log_p(left, run, right)) if out else None
+
 
 def _pieces(text: str) -> Iterator[tuple[int, str, str, str]]:
     """(start, left, run, right) of each run of non-ASCII characters; runs beyond RUN_LIMIT come in pieces."""
@@ -249,37 +332,67 @@ def _expect(model: Model | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: dict = defaultdict(float)
         ciph: dict = defaultdict(float)
+        learned: dict = defaultdict(float)
         for batch in batches:
             for s, left, run, right, n in zip(*(c.to_pylist() for c in batch.columns)):
                 rest = 1.0
                 if model is not None and "�" not in run:
                     odds = [(k, d, model.weight(s, k) * math.exp(min(60.0, g))) for k, d, g in model.gains(left, run, right)]
-                    total = 1.0 + sum(o for *_, o in odds)
+                    table = [(x, w * math.exp(min(60.0, g))) for x, w, g in model.letters(s, left, run, right)]
+                    total = 1.0 + sum(o for *_, o in odds) + sum(o for _, o in table)
                     rest = 1.0 / total
                     for k, d, o in odds:
                         if o / total > 1e-4:
                             _count_bigrams(pairs, left, d, right, n * o / total)
                             ciph[s, str(k)] += n * o / total
+                    for x, o in table:
+                        if o / total > 1e-3:
+                            _count_bigrams(pairs, left, x, right, n * o / total)
+                            learned[f"{s}\t{run}", x] += n * o / total
+                    if table:
+                        learned[f"{s}\t{run}", "all"] += n
+                        learned[f"{s}\t{run}", "contexts"] += 1
                     ciph[s, "all"] += n
                 _count_bigrams(pairs, left, run, right, n * rest)
-        rows = [("p", a, b, w) for (a, b), w in pairs.items()] + [("c", a, b, w) for (a, b), w in ciph.items()]
+        rows = [("p", a, b, w) for (a, b), w in pairs.items()] + [("c", a, b, w) for (a, b), w in ciph.items()] + [("t", a, b, w) for (a, b), w in learned.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)] + [pa.array([r[3] for r in rows], pa.float64())], names=["kind", "a", "b", "w"])
 
     return work
 
 
+def _table(entries: list) -> dict[tuple[str, str], dict[str, float]]:
+    """The M step of the table: a letter's share in a run's occurrences in a source, drawn towards that over all sources."""
+    here: dict = defaultdict(dict)
+    for r in entries:
+        here[tuple(r.a.split("\t", 1))][r.b] = r.w
+    every: dict = defaultdict(lambda: defaultdict(float))
+    for (_, run), x in here.items():
+        for b, w in x.items():
+            every[run][b] += w
+    out = {}
+    for (s, run), x in here.items():
+        n, of = x.get("all", 0.0), every[run]
+        if n and of["contexts"] >= LEARNED_CONTEXTS:
+            out[s, run] = {b: w for b in of if b not in ("all", "contexts") and (w := (x.get(b, 0.0) + 2 * of[b] / of["all"]) / (n + 2)) > 1e-3}
+    return out
+
+
 def learn(docs: DataFrame, text: str, source: str | None, stage: Stage, rounds: int = EM_ROUNDS) -> Model:
     """Fit bigrams and cipher weights over all runs of non-ASCII characters of the corpus. What reaches the driver
-    is at most the square of the symbol alphabet plus ciphers times SOURCE_BUCKETS numbers."""
+    is at most the square of the symbol alphabet plus ciphers times SOURCE_BUCKETS numbers, and LEARNED_ENTRIES of the table."""
     src = F.lit("") if source is None else F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(F.col(source).cast("string"), F.lit(""))))), F.lit(SOURCE_BUCKETS)).cast("string")
     some = docs.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(src.alias("source"), F.col(text).alias("text"))
     runs = some.mapInArrow(_extract, _RUNS).groupBy("source", "l", "run", "r").agg(F.sum("n").alias("n"))
     runs = stage.put(runs, "runs")
     model = None
     for _ in range(rounds + 1):
-        got = runs.mapInArrow(_expect(model), _STATS).groupBy("kind", "a", "b").agg(F.sum("w").alias("w")).collect()
+        stats = stage.put(runs.mapInArrow(_expect(model), _STATS).groupBy("kind", "a", "b").agg(F.sum("w").alias("w")), "stats")
+        got = stats.filter("kind <> 't'").collect()
+        entries = stats.filter("kind = 't'").orderBy(F.desc("w"), "a", "b").limit(LEARNED_ENTRIES).collect() if model is not None else []
+        stage.drop(stats)
         pairs = {(r.a, r.b): r.w for r in got if r.kind == "p"}
         weights = {}
+        table = None if model is None else _table(entries)
         if model is not None:
             # a cipher's weight in a source, drawn towards its weight over all sources
             every: dict = defaultdict(float)
@@ -293,7 +406,9 @@ def learn(docs: DataFrame, text: str, source: str | None, stage: Stage, rounds:
                 for k in range(len(ciphers())):
                     base = (every[k] + 100 * PRIOR) / (total + 100)
                     weights[s, k] = max((hits.get((s, k), 0.0) + 200 * base) / (n + 200), PRIOR / 4)
-        model = Model(pairs, weights)
+        model = Model(pairs, weights, table)
+    if model.table:
+        model.table = {u: x for u, x in model.table.items() if max(x.values()) >= LEARNED_WEIGHT}
     stage.drop(runs)
     return model
 
@@ -322,6 +437,8 @@ def judge(text: str, source: str, model: Model, turns: int = 3) -> tuple[str, st
         options = []
         for i, left, run, right in parts:
             got = {k: (d, g + math.log(model.weight(source, k))) for k, d, g in model.gains(left, run, right) if "�" not in run}
+            if not any(g > 0 for _, g in got.values()) and (more := model.learned(source, left, run, right)) and more[1] > 0:
+                got[LEARNED] = more
             options.append(got)
             for k, (_, g) in got.items():
                 if g > 0:
@@ -337,10 +454,12 @@ def judge(text: str, source: str, model: Model, turns: int = 3) -> tuple[str, st
             k = best if best in got and got[best][1] > -1.0 else max(got, key=lambda x: got[x][1], default=None)
             out.append(got[k][0] if k is not None and (got[k][1] > 0 or k == best and got[k][1] > -1.0) else run)
         text = "".join(out) + text[at:]
-        kinds.append(ciphers()[best].name)
+        kinds.append("learned" if best == LEARNED else ciphers()[best].name)
     if not kinds and not lost:
         return None
-    return ("+".join(kinds) or "lost", text, not lost)
+    # beside learned runs, one that no entry explains may be damaged as well
+    unsure = "learned" in kinds and any(learnable(left, run, right) for _, left, run, right in _pieces(text))
+    return ("+".join(kinds) or "lost", text, not lost and not unsure)
 
 
 _OUT = "row_id long, kind string, restored string, complete boolean"

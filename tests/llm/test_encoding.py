@@ -67,3 +67,25 @@ def test_tables_follow_from_code_pages():
     names = [c.name for c in encoding.ciphers()]
     assert len(names) == len(set(names)) and "utf8>cp1252" in names and "cp1252>mac_roman" in names
     assert all(len(encoding.symbol(c)) <= 4 for c in ["a", "é", "中", "", " "])
+
+
+@pytest.mark.parametrize("page", ["gbk", "cp932", "cp949", "cp1255", "cp874"])
+def test_utf8_as_other_pages_is_restored(spark, page):
+    text = "El señor Ibrañez perdió £45 según la carta."
+    got = found(corpus(spark, [text.encode("utf-8").decode(page)], n=200))
+    assert set(got) == {1000} and got[1000].restored == text and got[1000].complete
+    if page in ("gbk", "cp932"):
+        text = "The bank’s clerk can’t explain the fee."
+        assert found(corpus(spark, [text.encode("utf-8").decode(page)], n=200))[1000].restored == text
+
+
+def test_table_of_an_unknown_page_is_learned(spark):
+    # symbols that no code page gives for these letters
+    page = str.maketrans({"é": "ᚠ", "ñ": "ᛗ", "ó": "ᚦ"})
+    words = ["perdió", "cerró", "dañó", "retiró", "pagó", "señora", "señor", "Ibrañez", "pequeño", "año", "compañía", "bebé", "pagué", "llamé", "también", "café"]
+    clean = [(i, f"El {w} de la carta {i}.", "Web") for i, w in enumerate(words * 20)]
+    bad = [(1000 + i, f"El {w} de la carta.".translate(page), "Fax") for i, w in enumerate(words) if w != "compañía"]
+    right = [(2000, "La ᚠᛗᚦ de 中文 y 😡 o ᛗ.", "Fax")]
+    got = found(spark.createDataFrame(clean + bad + right, "row_id long, t string, src string"))
+    assert {k: r.restored for k, r in got.items()} == {i: f"El {words[i - 1000]} de la carta." for i, *_ in bad}
+    assert {r.kind for r in got.values()} == {"learned"}
