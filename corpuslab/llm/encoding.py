@@ -202,8 +202,12 @@ def symbol(c: str) -> str:
     return c if c in repertoire() else "" + unicodedata.category(c)
 
 
-@functools.lru_cache(200_000)
 def readings(run: str) -> tuple[tuple[int, str], ...]:
+    return _readings(run) if len(run) <= RUN_LIMIT else _readings.__wrapped__(run)
+
+
+@functools.lru_cache(200_000)
+def _readings(run: str) -> tuple[tuple[int, str], ...]:
     """(cipher, decoded) for each cipher that changes the run; of OTHER_PAGES and WIDE_PAGES the first that reads it as no other does."""
     found: dict[int, str] = {}
     for k, c in enumerate(ciphers()):
@@ -263,13 +267,16 @@ class Model:
     def gains(self, left: str, run: str, right: str) -> tuple[tuple[int, str, float], ...]:
         """(cipher, decoded, log-likelihood ratio against the literal reading)."""
         key = (symbol(left), run, symbol(right))
-        if key not in self.cache:
+        if key in self.cache:
+            return self.cache[key]
+        got = readings(run)
+        plain = self.log_p(left, run, right) if got else 0.0
+        out = tuple((k, d, self.log_p(left, d, right) - plain + ciphers()[k].valid(run, d)) for k, d in got)
+        if len(run) <= RUN_LIMIT:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            got = readings(run)
-            plain = self.log_p(left, run, right) if got else 0.0
-            self.cache[key] = tuple((k, d, self.log_p(left, d, right) - plain + ciphers()[k].valid(run, d)) for k, d in got)
-        return self.cache[key]
+            self.cache[key] = out
+        return out
 
     def letters(self, source: str, left: str, run: str, right: str) -> list[tuple[str, float, float]]:
         """(letter, weight, log-likelihood ratio) of the letters that a run may stand for in a source."""
@@ -296,8 +303,18 @@ class Model:
         return (out, self.log_p(left, out, right) - self.log_p(left, run, right)) if out else None
 
 
+def _whole(text: str) -> Iterator[tuple[int, str, str, str]]:
+    """(start, left, run, right) of each run of non-ASCII characters; runs beyond RUN_LIMIT only part at U+FFFD, as any other
+    cut may fall within a character."""
+    for m in RUN.finditer(text):
+        for part in re.finditer("[^�]+|�+", m[0]) if m.end() - m.start() > RUN_LIMIT else (re.match("(?s).*", m[0]),):
+            i, j = m.start() + part.start(), m.start() + part.end()
+            yield i, text[i - 1 : i], text[i:j], text[j : j + 1]
+
+
 def _pieces(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(start, left, run, right) of each run of non-ASCII characters; runs beyond RUN_LIMIT come in pieces."""
+    """(start, left, run, right) of each run of non-ASCII characters; runs beyond RUN_LIMIT come in pieces, for
+    statistics only."""
     for m in RUN.finditer(text):
         for i in range(m.start(), m.end(), RUN_LIMIT):
             j = min(i + RUN_LIMIT, m.end())
@@ -422,21 +439,26 @@ def _unbyte(body: str) -> str | None:
         return None
 
 
-def judge(text: str, source: str, model: Model, turns: int = 3) -> tuple[str, str | None, bool] | None:
+def judge(text: str, source: str, model: Model) -> tuple[str, str | None, bool] | None:
     """(kind, restored text, whether all of it is restored) of a damaged text, else None."""
     m = BYTES.match(text)
     if m and not re.search(r"(?<!\\)(?:\\\\)*" + m[1], m[2]):
         back = _unbyte(m[2])
-        inner = judge(back, source, model, turns) if back is not None else None
+        inner = judge(back, source, model) if back is not None else None
         return ("bytes", inner[1] if inner else back, back is not None and (inner is None or inner[2]))
     lost = "�" in text
     kinds: list[str] = []
-    for _ in range(turns):
+    seen: set[str] = set()
+    used: set[int] = set()
+    settled = False
+    while text not in seen:
+        seen.add(text)
         by: dict = defaultdict(float)
-        parts = list(_pieces(text))
+        parts = list(_whole(text))
         options = []
         for i, left, run, right in parts:
-            got = {k: (d, g + math.log(model.weight(source, k))) for k, d, g in model.gains(left, run, right) if "�" not in run}
+            # a row that was read as a page before may have been so again, whatever the cipher's weight
+            got = {k: (d, g + (0.0 if k in used and len(d) < len(run) else math.log(model.weight(source, k)))) for k, d, g in model.gains(left, run, right) if "�" not in run}
             if not any(g > 0 for _, g in got.values()) and (more := model.learned(source, left, run, right)) and more[1] > 0:
                 got[LEARNED] = more
             options.append(got)
@@ -444,6 +466,7 @@ def judge(text: str, source: str, model: Model, turns: int = 3) -> tuple[str, st
                 if g > 0:
                     by[k] += g
         if not by:
+            settled = True
             break
         best = max(by, key=lambda k: (by[k], -k))
         out, at = [], 0
@@ -454,12 +477,15 @@ def judge(text: str, source: str, model: Model, turns: int = 3) -> tuple[str, st
             k = best if best in got and got[best][1] > -1.0 else max(got, key=lambda x: got[x][1], default=None)
             out.append(got[k][0] if k is not None and (got[k][1] > 0 or k == best and got[k][1] > -1.0) else run)
         text = "".join(out) + text[at:]
+        if text in seen:  # nothing more is settled
+            break
+        used.add(best)
         kinds.append("learned" if best == LEARNED else ciphers()[best].name)
     if not kinds and not lost:
         return None
     # beside learned runs, one that no entry explains may be damaged as well
-    unsure = "learned" in kinds and any(learnable(left, run, right) for _, left, run, right in _pieces(text))
-    return ("+".join(kinds) or "lost", text, not lost and not unsure)
+    unsure = "learned" in kinds and any(learnable(left, run, right) for _, left, run, right in _whole(text))
+    return ("+".join(kinds) or "lost", text, settled and not lost and not unsure)
 
 
 _OUT = "row_id long, kind string, restored string, complete boolean"

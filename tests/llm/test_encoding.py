@@ -89,3 +89,19 @@ def test_table_of_an_unknown_page_is_learned(spark):
     got = found(spark.createDataFrame(clean + bad + right, "row_id long, t string, src string"))
     assert {k: r.restored for k, r in got.items()} == {i: f"El {words[i - 1000]} de la carta." for i, *_ in bad}
     assert {r.kind for r in got.values()} == {"learned"}
+
+
+@pytest.mark.parametrize("page", ["latin_1", "mac_roman"])
+def test_long_runs_are_not_cut_within_characters(spark, page):
+    text = "これは銀行の請求書についての苦情です" * 12
+    got = found(corpus(spark, [text.encode("utf-8").decode(page), "�" + text.encode("utf-8").decode(page)]))
+    assert got[1000].restored == text and got[1000].complete
+    assert got[1001].restored == "�" + text and not got[1001].complete
+
+
+def test_five_turns(spark):
+    text = CLEAN[3]
+    for _ in range(5):
+        text = text.encode("utf-8").decode("latin_1")
+    r = found(corpus(spark, [text]))[1000]
+    assert r.restored == CLEAN[3] and r.complete
