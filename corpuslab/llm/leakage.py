@@ -159,12 +159,10 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     stage = Stage(docs.sparkSession, "leakage")
     it = items.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     named = it.select("text").mapInArrow(_names, "h long, cap long, low long").groupBy("h").agg(F.sum("cap").alias("cap"), F.sum("low").alias("low"))
-    got = named.filter("cap > 0 and low = 0").select("h").limit(BROADCAST_WINDOWS).toPandas()
-    names = np.sort(got["h"].to_numpy(np.int64).view(U))
-    got = named.select("h").limit(MAX_WORDS + 1).toPandas()
+    got = named.select("h", F.expr("cap > 0 and low = 0").alias("name")).limit(MAX_WORDS + 1).toPandas()
     if len(got) > MAX_WORDS:
         raise ValueError(f"items have more than {MAX_WORDS} distinct words")
-    known = np.sort(got["h"].to_numpy(np.int64).view(U))
+    known, names = (np.sort(x["h"].to_numpy(np.int64).view(U)) for x in (got, got[got["name"]]))
     own = stage.put(it.mapInArrow(_scan(k, names, known, None), _WIN).distinct(), "items")
     count = own.count()
     bits = _bits_of(own, count)

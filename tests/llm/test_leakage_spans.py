@@ -66,6 +66,17 @@ def test_windows_are_counted_once_over_readings(spark):
     assert [tuple(r) for r in find_leaks(d, "doc_id", "text", d, "doc_id", "text").collect()] == [(1, 1, "verbatim", 5)]
 
 
+def test_names_are_not_cut(spark, monkeypatch):
+    from corpuslab.llm import leakage
+
+    item, doc = "we told Anna and Berg that Zelmax and Orlo went home by bus", "we told berg and zelmax that orlo and anna went home by bus"
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 1)
+    assert leaks(spark, [(1, doc)], [(7, item)]) == {(1, 7): "template"}
+    monkeypatch.setattr(leakage, "MAX_WORDS", 3)
+    with pytest.raises(ValueError, match="distinct words"):
+        leaks(spark, [(1, doc)], [(7, item)])
+
+
 def brute_leaks(docs, items, k=13):
     idx = {}
     for i, t in items:
