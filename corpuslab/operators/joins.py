@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.session import Stage
+
 #: A key is hot when it has more than 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 500
 
@@ -22,6 +24,25 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int, count_
     return a.unionByName(b)
 
 
-def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def salted(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, count_col: str, rows: int, by: Column) -> DataFrame:
+    """Inner join of ``left`` with ``right``, in which a key may have any number of rows. ``counts`` has in ``count_col`` how many
+    rows of ``left`` bear a key. Keys with more than rows / HOT_SHARE rows, at most HOT_SHARE, are parted by a hash of
+    ``by``, a column of ``left``; the rows of ``right`` with such a key go to each part, twice HOT_SHARE parts at most together."""
+    floor = max(1000, rows // HOT_SHARE)
+    hot = F.broadcast(counts.filter(F.col(count_col) > floor).select(*keys, F.ceil(F.col(count_col) / floor).cast("int").alias("_parts")))
+    a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return a.join(b, [*keys, "_salt"]).drop("_salt")
+
+
+#: A side may be broadcast up to this size, as text.
+SMALL_BYTES = 16 << 20
+
+
+def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its values take at most ``limit`` bytes, written as text; otherwise as it is, for a shuffled
+    join. It is written once, so that neither the measurement nor the join computes it again."""
+    kept = Stage(df.sparkSession, "small").put(df)
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in kept.columns), F.lit(0))
+    n = kept.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(kept) if n <= limit else kept

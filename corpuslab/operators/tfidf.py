@@ -76,7 +76,7 @@ def clusters(docs: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
 def max_similarity(queries: DataFrame, index: DataFrame, exclude_self: bool = False) -> DataFrame:
     """``(doc, best)``: the highest cosine of each query document to any index document, 0 without a common term.
     Both sides are postings of one model."""
-    q = small(queries.select(F.col("doc").alias("q"), "term", F.col("w").alias("wq")), 2_000_000)
+    q = small(queries.select(F.col("doc").alias("q"), "term", F.col("w").alias("wq")))
     met = index.select("doc", "term", "w").join(q, "term")
     if exclude_self:
         met = met.filter("q <> doc")
