@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from corpuslab.llm import leakage
 from corpuslab.llm.leakage import find_leaks
 from corpuslab.llm.spans import shared_share, shared_spans
 
@@ -67,8 +68,6 @@ def test_windows_are_counted_once_over_readings(spark):
 
 
 def test_names_are_not_cut(spark, monkeypatch):
-    from corpuslab.llm import leakage
-
     item, doc = "we told Anna and Berg that Zelmax and Orlo went home by bus", "we told berg and zelmax that orlo and anna went home by bus"
     monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 1)
     assert leaks(spark, [(1, doc)], [(7, item)]) == {(1, 7): "template"}
@@ -77,6 +76,54 @@ def test_names_are_not_cut(spark, monkeypatch):
         leaks(spark, [(1, doc)], [(7, item)])
 
 
+def test_slots_alone_are_no_template(spark):
+    numbers = lambda seed: " ".join(str(x) for x in random.Random(seed).sample(range(10**6), 13))
+    table = " ".join(map(str, range(100_000)))
+    got = leaks(spark, [(1, numbers(1)), (2, numbers(2)), (3, table), (4, "XXXX " * 30), (5, table[:300] + " end " + numbers(2))], [(7, numbers(2)), (8, table[-400:]), (9, "XX " * 13)])
+    assert got == {(2, 7): "verbatim", (5, 7): "verbatim", (3, 8): "verbatim"}
+
+
+@pytest.mark.parametrize("to,kind", [("weeks", "template"), ("quarters", "template"), ("euros", None), ("kilograms", None), ("monday", None), ("months", "verbatim")])
+def test_units_keep_their_dimension(spark, to, kind):
+    item = "we waited for the answer of the bank for 12 months and then went home"
+    assert leaks(spark, [(1, item.replace("months", to))], [(7, item)]).get((1, 7)) == kind
+
+
+def test_counted_things_are_learned(spark):
+    item = "the clerk said that i have 5 apples and 7 apples in the box that came by mail"
+    doc = item.replace("5 apples", "8 grapes").replace("7 apples", "2 grapes")
+    assert leaks(spark, [(1, doc), (2, item.replace("5 apples", "8 of those").replace("7 apples", "2 grapes"))], [(7, item)]) == {(1, 7): "template"}
+
+
+@pytest.mark.parametrize("few", [1, 10**6])
+def test_templates_against_brute_force(spark, monkeypatch, few):
+    """Numbers alone as slots, against all pairs of windows."""
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", few)
+    rng = random.Random(9)
+    words = [f"w{'abcdefgh'[i]}" for i in range(8)]
+    text = lambda n: " ".join(rng.choice([*words, str(rng.randrange(4))]) for _ in range(n))
+    items = [(i, text(12)) for i in range(20)]
+    docs = [(i, re.sub(r"\d", lambda m: str(9 - int(m[0])), items[i % 20][1]) if i % 3 else text(30)) for i in range(40)] + [(50, items[3][1]), (51, text(4) + " " + items[5][1])]
+
+    def windows(t):
+        w = t.split()
+        return [w[p : p + 8] for p in range(len(w) - 7)]
+
+    want = {}
+    for d, t in docs:
+        for i, u in items:
+            for x in windows(u):
+                for y in windows(t):
+                    slots = [(a, b) for a, b in zip(x, y) if a.isdigit()]
+                    same = all(a == b or a.isdigit() and b.isdigit() for a, b in zip(x, y))
+                    one = len(set(slots)) == len({a for a, _ in slots}) == len({b for _, b in slots})
+                    if x == y:
+                        want[d, i] = "verbatim"
+                    elif same and one and 2 * len(slots) <= 8:
+                        want.setdefault((d, i), "template")
+    assert "template" in want.values() and leaks(spark, docs, items, 8) == want
+
+
 def brute_leaks(docs, items, k=13):
     idx = {}
     for i, t in items:
