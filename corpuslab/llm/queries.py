@@ -42,15 +42,18 @@ def _config(spark: SparkSession, sf_dir: str):
     return _read(spark, sf_dir, "data_config").filter("is_current").select("split.*").first()
 
 
-def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each complaint with its component and split."""
-    from corpuslab.llm.splits import split_by_components, tie_components
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslab.llm.splits import assign_components, tie_components
 
     c = _config(spark, sf_dir)
     records = _read(spark, sf_dir, "combined_complaints").select("Complaint ID", c.stratify_on)
     ties = tie_components(records, "Complaint ID", _read(spark, sf_dir, "complaint_entities"), c.group_by.split(","), c.unbound_keys)
-    out = split_by_components(records, "Complaint ID", c.stratify_on, ties, c.train_val_test, c.seed)
-    return out.select(F.col("id").alias("complaint_id"), F.col("component").alias("first_complaint_id"), "label", "split")
+    return assign_components(records, "Complaint ID", c.stratify_on, ties, c.train_val_test, c.seed)
+
+
+def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each complaint with its component and split."""
+    return _assigned(spark, sf_dir).select(F.col("id").alias("complaint_id"), F.col("component").alias("first_complaint_id"), "label", "split")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +61,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of each split and the share of each product in it, beside what is wanted."""
-    c = _config(spark, sf_dir)
-    goal = dict(zip(("train", "validation", "test"), c.train_val_test))
+    """Size of each split and the share of each product in it, beside what is wanted and what the hashed start gave."""
+    from corpuslab.llm.splits import split_report
+
+    return split_report(_assigned(spark, sf_dir), _config(spark, sf_dir).train_val_test)
+
+
+def p3_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(what, n)``: complaints, components, those that are divided, and splits whose size is off by more than a hundredth of all
+    complaints and of the largest component."""
+    from corpuslab.session import Stage
+
+    a = Stage(spark, "audit").put(_assigned(spark, sf_dir))
+    goal = dict(zip(("train", "validation", "test"), _config(spark, sf_dir).train_val_test))
+    comp = a.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi"))
+    c = comp.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("complaints"), F.count(F.lit(1)).alias("components"), F.count_if(F.col("lo") != F.col("hi")).alias("divided"), F.max("n").alias("largest"))
     wanted = F.create_map(*[F.lit(x) for kv in goal.items() for x in kv])
-    n = p3_split(spark, sf_dir).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
-    of = n.groupBy("label").agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(of), "label").select("split", "label", "n", (F.col("n") / F.col("total")).alias("share"), wanted[F.col("split")].alias("wanted"))
+    r = c.first()
+    off = sum(abs(x["count"] - goal[x["split"]] * r.complaints) > r.complaints / 100 + (r.largest or 0) for x in a.groupBy("split").count().collect())
+    return spark.createDataFrame([("complaints", r.complaints), ("components", r.components), ("divided", r.divided), ("off", off)], "what string, n long")
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -156,6 +171,14 @@ f as (select e.* from e, cfg where list_contains(list_transform(string_split(kin
 heads as (select kind, key, min(id) as h from f group by all having count(*) > 1),
 sym as (select id as a, h as b from f join heads using (kind, key) union select h, id from f join heads using (kind, key)), {_REACH}
 select lo as first_complaint_id, a as complaint_id from root where lo <> a""",
+    "p3_audit": f"""
+with recursive cfg as (select split.group_by as kinds, split.unbound_keys as skip from data_config where is_current),
+e as (select distinct "Complaint ID" as id, {_TRIM.format("entity_kind")} as kind, {_TRIM.format("entity_key")} as key from complaint_entities),
+f as (select e.* from e, cfg where list_contains(list_transform(string_split(kinds, ','), lambda q: lower(trim(q))), kind) and key is not null and key <> '' and not list_contains(list_transform(coalesce(skip, []), lambda q: lower(trim(q))), key) and id in (select "Complaint ID" from combined_complaints)),
+heads as (select kind, key, min(id) as h from f group by all having count(*) > 1),
+sym as (select id as a, h as b from f join heads using (kind, key) union select h, id from f join heads using (kind, key)), {_REACH},
+n as (select count(distinct "Complaint ID") as n from combined_complaints)
+select 'complaints' as what, n from n union all select 'components', n - (select count(*) from root where lo <> a) from n union all select 'divided', 0 union all select 'off', 0""",
     "p4_found": f"""
 with c as (select distinct "Complaint ID" as id, {_CATEGORY.format('"Product"')} as product from combined_complaints where "Complaint ID" is not null),
 per as (select product, count(*) as n from c group by 1),

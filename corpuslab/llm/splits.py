@@ -6,6 +6,10 @@ over (signature, split) counts alone: parallel annealing chains, spread over the
 components between splits so that split sizes and the labels' shares come nearer to their targets. The best
 state of all chains is kept, and which components of a signature move is decided by hash without sorting a signature.
 
+All signatures take part. They are parted by hash into shards of about SEARCHED, each of which is annealed towards the wanted shares of
+its own records; if there are several, the signatures with the most components, mostly single records, are then annealed once more
+against all the rest as it stands, which evens out what the shards left.
+
 Defined cases: null, blank and unbound keys tie nothing; kinds and keys compare without case and surrounding white
 space. Records without an id are left out; an id with several rows is one record, labelled by its smallest label.
 Ties to absent records are ignored. An empty table gives an empty result.
@@ -13,12 +17,12 @@ Ties to absent records are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.components import connected_components
@@ -26,11 +30,13 @@ from corpuslab.operators.joins import lookup
 from corpuslab.operators.quota import take_quota
 from corpuslab.session import Stage
 
-CHAINS = 16
-STEPS = 20_000
-#: Signatures that take part in the search, by the number of their components and then by size. Components of other
-#: signatures keep their hashed split, which the search takes into account as fixed.
+#: Chains for each shard of signatures, and steps of a chain: so many, and so many more per signature.
+CHAINS = 12
+STEPS, STEPS_EACH = 20_000, 20
+#: Signatures that one chain holds. With more of them they are parted into shards by hash, which are searched side by side.
 SEARCHED = 2000
+#: More labels than this are an error: a chain holds counts by label.
+MAX_LABELS = 10_000
 SPLITS = ("train", "validation", "test")
 
 
@@ -109,87 +115,145 @@ def anneal(sig: np.ndarray, counts: np.ndarray, fixed: np.ndarray, shares: np.nd
     return best, kept
 
 
-def split_by_components(records: DataFrame, id_col: str, label_col: str, ties: DataFrame, shares: list[float], seed: int = 42) -> DataFrame:
-    """``(id, component, label, split)`` of every record; ``ties`` as of ``tie_components``. Reaches the driver: the
-    signatures in the search (at most SEARCHED) and the label counts of the rest."""
-    spark = records.sparkSession
-    stage = Stage(spark, "split")
+#: One row of a pass: what a chain made of a shard.
+_PASS = "shard long, chain long, cost double, have array<double>, sigs array<string>, counts array<long>"
+
+
+def _signature(sig: str, at: dict[str, int]) -> np.ndarray:
+    """Label counts of a signature."""
+    out = np.zeros(len(at))
+    for p in sig.split("\x1f"):
+        label, n = p.rsplit("\x1e", 1)
+        out[at[label]] += int(n)
+    return out
+
+
+def _pass(shards: DataFrame, names: list[str], share: np.ndarray, seed: int, stage: Stage, rest: np.ndarray | None = None) -> DataFrame:
+    """The best of CHAINS chains for each shard, a group of rows (shard, sig, counts), as of _PASS. A shard is annealed towards the
+    wanted shares of itself and ``rest``, label counts by split of what it leaves alone. Chains run on the executors."""
+    at = {x: i for i, x in enumerate(names)}
+    fixed = np.zeros((len(share), len(names))) if rest is None else rest
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("sig")
+        sig = np.array([_signature(x, at) for x in f["sig"]])
+        counts = np.array(f["counts"].tolist(), np.int64)
+        shard, chain = int(f["shard"].iloc[0]), int(f["chain"].iloc[0])
+        cost, best = anneal(sig, counts, fixed, share, (seed * 1000 + shard) * 1000 + chain, STEPS + STEPS_EACH * len(f))
+        have = np.einsum("sk,sl->kl", best, sig)
+        return pd.DataFrame({"shard": [shard], "chain": [chain], "cost": [cost], "have": [have.ravel().tolist()], "sigs": [f["sig"].tolist()], "counts": [best.ravel().tolist()]})
+
+    each = shards.withColumn("chain", F.explode(F.array(*[F.lit(i).cast("long") for i in range(CHAINS)])))
+    done = each.groupBy("shard", "chain").applyInPandas(run, _PASS)
+    cols = ["shard", "chain", "cost", "have", "sigs", "counts"]
+    best = done.groupBy("shard").agg(F.min_by(F.struct(*cols), F.struct("cost", "chain")).alias("b")).select("b.*")
+    return stage.put(best, "pass")
+
+
+def _placed_counts(best: DataFrame, k: int) -> DataFrame:
+    """``(sig, final)``: the components of each signature by split."""
+    x = best.select(F.posexplode("sigs").alias("i", "sig"), "counts")
+    return x.select("sig", F.slice("counts", F.col("i") * k + 1, k).alias("final"))
+
+
+def assign_components(records: DataFrame, id_col: str, label_col: str, ties: DataFrame, shares: list[float], seed: int = 42) -> DataFrame:
+    """``(id, component, label, hashed, split)`` of every record, with the split its component's hash gave it and the one it has after the
+    search; ``ties`` as of ``tie_components``. Reaches the driver: label names and their counts by split."""
+    stage = Stage(records.sparkSession, "split")
     label = F.trim(F.regexp_replace(F.lower(F.col(label_col)), r"[\s\p{Z}]+", " "))
     one = records.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("label"))
-    one = one.withColumn("label", F.coalesce("label", F.lit("")))
+    one = one.withColumn("label", F.translate(F.coalesce("label", F.lit("")), "\x1e\x1f", "  "))
     placed = stage.put(one.join(ties, "id", "left").select("id", "label", F.coalesce("first", "id").alias("component")), "records")
+    names = sorted(r.label for r in placed.select("label").distinct().limit(MAX_LABELS + 1).collect())
+    if len(names) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     share = np.asarray(shares, float) / sum(shares)
+    k = len(share)
     edge = np.cumsum(share)
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("component")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    start = F.when(u < float(edge[0]), 0).when(u < float(edge[1]), 1).otherwise(2)
+    start = F.lit(k - 1)
+    for i in reversed(range(k - 1)):
+        start = F.when(u < float(edge[i]), i).otherwise(start)
     per = placed.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
     sig = per.groupBy("component").agg(F.concat_ws("\x1f", F.array_sort(F.collect_list(F.concat_ws("\x1e", "label", F.col("n").cast("string"))))).alias("sig"), F.sum("n").alias("size"))
     comps = stage.put(sig.withColumn("split", start), "components")
-    by = comps.groupBy("sig", "size", "split").agg(F.count(F.lit(1)).alias("n"))
-    total = by.groupBy("sig", "size").agg(F.sum("n").alias("all"))
-    top = total.orderBy(F.desc("all"), "sig").limit(SEARCHED // 2).unionByName(total.orderBy(F.desc("size"), "sig").limit(SEARCHED // 2)).distinct()
-    rows = by.join(F.broadcast(top.select("sig")), "sig").collect()
-    names = sorted({p.split("\x1e")[0] for r in rows for p in r.sig.split("\x1f")})
-    sums = placed.join(comps.select("component", "split"), "component").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n")).collect()
-    names = sorted({r.label for r in sums} | set(names))
-    at = {x: i for i, x in enumerate(names)}
-    sigs = sorted({r.sig for r in rows})
-    pos = {x: i for i, x in enumerate(sigs)}
-    S = np.zeros((len(sigs), len(names)))
-    for x, i in pos.items():
-        for p in x.split("\x1f"):
-            a, n = p.split("\x1e")
-            S[i, at[a]] += int(n)
-    C = np.zeros((len(sigs), 3), np.int64)
-    for r in rows:
-        C[pos[r.sig], r.split] = r.n
-    fixed = np.zeros((3, len(names)))
-    for r in sums:
-        fixed[r.split, at[r.label]] += r.n
-    fixed -= np.einsum("sk,sl->kl", C, S)
-    best = _search(spark, S, C, fixed, share, seed)
-    flows = []
-    for i, x in enumerate(sigs):
-        give, take = np.maximum(C[i] - best[i], 0), np.maximum(best[i] - C[i], 0)
-        for f, t in itertools.product(range(3), range(3)):
-            if n := int(min(give[f], take[t])):
-                flows.append((x, f, t, n))
-                give[f] -= n
-                take[t] -= n
-    final = _apply(comps.select("component", "sig", "split"), flows, stage, seed)
-    names_ = F.element_at(F.array(*[F.lit(x) for x in SPLITS]), F.col("split") + 1)
-    return placed.join(final, "component").select("id", "component", "label", names_.alias("split"))
-
-
-def _search(spark, S, C, fixed, share, seed) -> np.ndarray:
-    """Independent chains on the executors; the best of them."""
-
-    def run(frames):
-        for f in frames:
-            for c in f["chain"]:
-                cost, counts = anneal(S, C, fixed, share, seed * 1000 + int(c))
-                yield pd.DataFrame({"chain": [int(c)], "cost": [cost], "counts": [counts.astype(np.int64).ravel().tolist()]})
-
-    got = spark.range(0, CHAINS, 1, CHAINS).select(F.col("id").alias("chain")).mapInPandas(run, "chain long, cost double, counts array<long>")
-    best = got.orderBy("cost", "chain").first()
-    return np.asarray(best.counts, np.int64).reshape(C.shape)
-
-
-def _apply(comps: DataFrame, flows: list[tuple[str, int, int, int]], stage: Stage, seed: int) -> DataFrame:
-    """Move, of each signature and split, the wanted number of components to another split, chosen by hash. From one
-    split components go to two others at most, so two passes do."""
-    passes: list[list] = [[], []]
-    seen = set()
-    for x, f, t, n in flows:
-        passes[(x, f) in seen].append((x, f, t, n))
-        seen.add((x, f))
+    by = comps.groupBy("sig").agg(F.array(*[F.count_if(F.col("split") == i) for i in range(k)]).alias("counts"), F.count(F.lit(1)).alias("all"))
+    by = stage.put(by, "signatures")
+    total, rows = by.agg(F.count(F.lit(1)), F.coalesce(F.sum("all"), F.lit(0))).first()
+    shards = -(-total // SEARCHED)
+    best = _pass(by.select(F.pmod(F.xxhash64(F.lit(seed), "sig"), F.lit(max(shards, 1))).alias("shard"), "sig", "counts"), names, share, seed, stage)
+    final = _placed_counts(best, k)
+    if shards > 1:
+        # the shards' remainders are evened out by what is easiest to move: the signatures with the most components
+        final = stage.put(final, "final")
+        have = np.zeros(k * len(names))
+        for r in best.select(F.posexplode("have").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+            have[r.i] = r.n
+        top = by.orderBy(F.desc("all"), "sig").limit(SEARCHED).select("sig")
+        top = stage.put(final.join(F.broadcast(top), "sig").select(F.lit(0).cast("long").alias("shard"), "sig", F.col("final").alias("counts")), "top")
+        at = {x: i for i, x in enumerate(names)}
+        rest = have.reshape(k, len(names)) - sum(np.outer(r.counts, _signature(r.sig, at)) for r in top.toLocalIterator())
+        last = _placed_counts(_pass(top, names, share, seed + 1, stage, rest), k).withColumnRenamed("final", "last")
+        final = final.join(F.broadcast(last), "sig", "left").select("sig", F.coalesce("last", "final").alias("final"))
+    flows = stage.put(by.join(final, "sig").mapInPandas(_flows, "sig string, split int, to int, take long, n long, turn int"), "flows")
+    moved = _apply(comps.select("component", "sig", "split", "size"), flows, stage, seed)
+    moved = moved.join(comps.select("component", F.col("split").alias("hashed")), "component")
+    name = lambda c: F.element_at(F.array(*[F.lit(x) for x in SPLITS]), F.col(c) + 1).alias(c)
+    return lookup(placed, moved, ["component"], placed.count(), "size").select("id", "component", "label", name("hashed"), name("split"))
+
+
+def split_by_components(records: DataFrame, id_col: str, label_col: str, ties: DataFrame, shares: list[float], seed: int = 42) -> DataFrame:
+    """``(id, component, label, split)`` of every record (see ``assign_components``)."""
+    return assign_components(records, id_col, label_col, ties, shares, seed).select("id", "component", "label", "split")
+
+
+def split_report(assigned: DataFrame, shares: list[float]) -> DataFrame:
+    """``(split, label, wanted, total, hashed, n, share, cost_hashed, cost)`` per split and label: the share of the label wanted in the split, the
+    label's records in all, those in the split by the hashed start and after the search; the costs are those of the whole assignment. One
+    aggregation; what follows has a row per split and label."""
+    goal = np.asarray(shares, float) / sum(shares)
+    per = assigned.groupBy("label").agg(
+        F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(c) == s).alias(f"{c}_{s}") for c in ("hashed", "split") for s in SPLITS]
+    )
+    cells = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(float(g)).alias("wanted"), F.col(f"hashed_{s}").alias("hashed"), F.col(f"split_{s}").alias("n")) for s, g in zip(SPLITS, goal)])
+    x = per.select("label", "total", F.explode(cells).alias("x")).select("label", "total", "x.*")
+    every, mine = Window.partitionBy(), Window.partitionBy("split")
+    for c, to in (("hashed", "cost_hashed"), ("n", "cost")):
+        size = (F.sum(c).over(mine) / F.sum("total").over(mine) - F.col("wanted")) / F.count(F.lit(1)).over(mine)
+        # the same for each label of a split, so that its square times the labels adds up to the split's part
+        part = size * size * F.count(F.lit(1)).over(mine) + F.pow(F.col(c) / F.col("total") - F.col("wanted"), F.lit(2)) / F.count(F.lit(1)).over(mine)
+        x = x.withColumn("_p", part).withColumn(to, F.sum("_p").over(every)).drop("_p")
+    return x.select("split", "label", "wanted", "total", "hashed", "n", (F.col("n") / F.col("total")).alias("share"), "cost_hashed", "cost")
+
+
+def _flows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many components of each signature go from one split to another. From one split they go to two others at most, and
+    ``turn`` numbers these."""
+    for f in frames:
+        out = []
+        for sig, a, b in zip(f["sig"], f["counts"], f["final"]):
+            a, b = np.asarray(a), np.asarray(b)
+            give, take = np.maximum(a - b, 0), np.maximum(b - a, 0)
+            for i in np.flatnonzero(give):
+                turn = 0
+                for j in np.flatnonzero(take):
+                    if n := int(min(give[i], take[j])):
+                        out.append((sig, int(i), int(j), n, int(a[i]), turn))
+                        turn += 1
+                        give[i] -= n
+                        take[j] -= n
+        yield pd.DataFrame(out, columns=["sig", "split", "to", "take", "n", "turn"])
+
+
+def _apply(comps: DataFrame, flows: DataFrame, stage: Stage, seed: int) -> DataFrame:
+    """Move, of each signature and split, the wanted number of components to another split, chosen by hash."""
     out = comps.withColumn("moved", F.lit(False))
-    for k, some in enumerate(passes):
-        if not some:
+    for turn in range(len(SPLITS) - 1):
+        quota = flows.filter(F.col("turn") == turn)
+        if quota.isEmpty():
             continue
-        quota = comps.sparkSession.createDataFrame(some, "sig string, split int, to int, take long")
-        gone = take_quota(out.filter(~F.col("moved")).drop("moved"), quota.drop("to"), ["sig", "split"], ["component"], seed + k)
-        gone = gone.join(F.broadcast(quota.drop("take")), ["sig", "split"]).select("component", "to")
-        out = out.join(gone, "component", "left").select("component", "sig", F.coalesce("to", "split").alias("split"), (F.col("moved") | F.col("to").isNotNull()).alias("moved"))
-        out = stage.put(out, f"moved{k}")
-    return out.select("component", "split")
+        gone = take_quota(out.filter(~F.col("moved")).drop("moved"), quota, ["sig", "split"], ["component"], seed + turn, counted="n")
+        gone = lookup(gone, quota.select("sig", "split", "to", "take"), ["sig", "split"], quota.agg(F.sum("take")).first()[0], "take").select("component", "to")
+        out = out.join(gone, "component", "left").select("component", "sig", "size", F.coalesce("to", "split").alias("split"), (F.col("moved") | F.col("to").isNotNull()).alias("moved"))
+        out = stage.put(out, f"moved{turn}")
+    return out.select("component", "size", "split")

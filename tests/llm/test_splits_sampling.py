@@ -1,8 +1,13 @@
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.llm import splits
 from corpuslab.llm.sampling import sample_to_targets, solve
 from corpuslab.llm.splits import anneal, split_by_components, tie_components
+from corpuslab.session import Stage
 
 
 def entities(spark, rows):
@@ -61,6 +66,29 @@ def test_split_edges(spark):
     assert split_by_components(rec.limit(0), "id", "label", none, [0.8, 0.1, 0.1]).count() == 0
 
 
+@pytest.mark.parametrize("searched", [2000, 40])
+def test_all_signatures_take_part(spark, monkeypatch, searched):
+    """Hundreds of signatures, most with one component of free label mixes, in one shard or in many."""
+    monkeypatch.setattr(splits, "SEARCHED", searched)
+    monkeypatch.setattr(splits, "STEPS", 4000)
+    rng = random.Random(4)
+    comps = [[rng.choice("ABCDEF") for _ in range(rng.randrange(8, 60))] for _ in range(300)] + [[rng.choice("ABC")] for _ in range(1500)]
+    rows = [(f"{c:04d}-{i}", x, f"{c:04d}-0") for c, labels in enumerate(comps) for i, x in enumerate(labels)]
+    rec = spark.createDataFrame([r[:2] for r in rows], "id string, label string")
+    ties = spark.createDataFrame([(r[0], r[2]) for r in rows], "id string, first string")
+    a = Stage(spark, "t").put(splits.assign_components(rec, "id", "label", ties, [0.8, 0.1, 0.1]))
+    assert a.count() == len(rows) and a.groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
+    rep = splits.split_report(a, [0.8, 0.1, 0.1]).collect()
+    assert len(rep) == 18 and all(r.cost == rep[0].cost for r in rep) and sum(r.n for r in rep) == sum(r.hashed for r in rep) == len(rows)
+    assert all(abs(r.share - r.wanted) < 0.01 for r in rep) and rep[0].cost < rep[0].cost_hashed / 30
+    # the costs are those that the chains lower
+    have, want = np.zeros((3, 6)), np.zeros((3, 6))
+    for r in rep:
+        at = splits.SPLITS.index(r.split), "abcdef".index(r.label)
+        have[at], want[at] = r.n, r.total * r.wanted
+    assert rep[0].cost == pytest.approx(splits._cost(have, want))
+
+
 def test_annealing_lowers_cost_and_keeps_counts():
     sig = np.array([[1, 0], [0, 1], [3, 2], [40, 10]], float)
     counts = np.array([[50, 30, 40], [60, 20, 5], [9, 9, 9], [0, 1, 0]])
