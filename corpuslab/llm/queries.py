@@ -96,6 +96,15 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampled(spark, sf_dir)[1]
 
 
+def p4_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each plan the rows in its sample, those wanted, and by how many records its categories are off together."""
+    sample, report = _sampled(spark, sf_dir)
+    drawn = sample.groupBy("plan_id").agg(F.count_distinct("id").alias("drawn"))
+    per = report.withColumn("p", F.trim(F.regexp_replace(F.lower("product"), r"[\s\p{Z}]+", " "))).groupBy("plan_id", "p").agg(F.max("sample_size").alias("s"), F.max("wanted").alias("w"), F.max("drawn").alias("d"))
+    plan = per.groupBy("plan_id").agg(F.max("s").alias("sample_size"), F.sum(F.abs(F.col("w") - F.col("d"))).alias("off"))
+    return plan.join(drawn, "plan_id", "left").select("plan_id", "sample_size", F.coalesce("drawn", F.lit(0)).alias("drawn"), "off")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_report(spark, sf_dir).filter("short").select("plan_id", "product")
 
@@ -185,6 +194,15 @@ per as (select product, count(*) as n from c group by 1),
 all_n as (select count(distinct "Complaint ID") as n from combined_complaints),
 t as (select plan_id, product, greatest(min_rows, (all_n.n * sample_bp // 10000) * target_bp // 10000) as wanted from sample_targets, all_n)
 select t.plan_id, t.product from t left join per on per.product = {_CATEGORY.format("t.product")} where coalesce(per.n, 0) < t.wanted""",
+    # the least deviation there can be where a complaint has one product: what is missing, what doesn't fit, and what has to be filled up
+    "p4_audit": f"""
+with c as (select distinct "Complaint ID" as id, {_CATEGORY.format('"Product"')} as product from combined_complaints where "Complaint ID" is not null),
+per as (select product, count(*) as n from c group by 1),
+all_n as (select count(distinct "Complaint ID") as n from combined_complaints),
+t as (select plan_id, {_CATEGORY.format("product")} as p, max(all_n.n * sample_bp // 10000) over (partition by plan_id) as s, min_rows, target_bp from sample_targets, all_n),
+g as (select plan_id, p, max(s) as s, max(greatest(min_rows, s * target_bp // 10000)) as w from t group by 1, 2),
+k as (select plan_id, max(s) as s, sum(w) as w, sum(least(w, coalesce(n, 0))) as fit, sum(coalesce(n, 0)) as named from g left join per on per.product = g.p group by 1)
+select plan_id, s as sample_size, least(s, n) as drawn, (w - fit + greatest(0, fit - s) + greatest(0, s - fit - (n - named)))::bigint as off from k, all_n""",
     "p5_found": f"""
 with recursive c as (select row_id, "{NARRATIVE}" as t, {_WORDS.format(f'"{NARRATIVE}"')} as ws from combined_complaints where "{NARRATIVE}" is not null),
 s as (select distinct row_id, hash(ws[i], ws[i + 1], ws[i + 2]) as g from (select row_id, ws, unnest(range(1, len(ws) - 1)) as i from c)),

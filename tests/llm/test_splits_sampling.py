@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -126,3 +127,50 @@ def test_solver_meets_reachable_targets():
     x = solve(have, member, np.array([50.0, 40.0, 20.0]), np.array([0, 0, 15]), 100, 1)
     assert x.sum() == 100 and (x <= have).all()
     assert abs(member.T @ x - np.array([50, 40, 20])).sum() <= 1
+
+
+def brute_cost(y, member, have, goal, floor):
+    got = member.T @ y
+    return np.abs(got - goal).sum() + 1000 * np.maximum(np.minimum(floor, member.T @ have) - got, 0).sum()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_no_exchange_of_records_improves_a_solution(seed):
+    rng = np.random.default_rng(seed)
+    s, c = 7, 4
+    have, member = rng.integers(0, 60, s), rng.integers(0, 2, (s, c))
+    goal, floor, size = rng.integers(0, 40, c).astype(float), rng.integers(0, 12, c), int(rng.integers(1, have.sum()))
+    x = solve(have, member, goal, floor, size, seed)
+    assert x.sum() == size and (x >= 0).all() and (x <= have).all()
+    now = brute_cost(x, member, have, goal, floor)
+    for a in range(s):
+        for b in range(s):
+            for m in (1, 2, 5):
+                if a != b and x[a] >= m and have[b] - x[b] >= m:
+                    y = x.copy()
+                    y[a] -= m
+                    y[b] += m
+                    assert brute_cost(y, member, have, goal, floor) >= now - 1e-9 or m > 1
+
+
+def test_many_signatures_are_solved_quickly():
+    rng = np.random.default_rng(1)
+    member = (rng.random((1500, 40)) < 0.1).astype(np.int64)
+    have = rng.integers(1, 2000, 1500)
+    goal = (member.T @ have) * rng.uniform(0.05, 0.2, 40)
+    began = time.perf_counter()
+    x = solve(have, member, goal, np.zeros(40), int(have.sum() * 0.1), 1)
+    assert x.sum() == int(have.sum() * 0.1) and time.perf_counter() - began < 60
+    assert np.abs(member.T @ x - goal).sum() < 0.02 * goal.sum()
+
+
+def test_floors_beyond_the_sample_are_reported(spark):
+    rec = spark.createDataFrame([(str(i), "ab"[i % 2]) for i in range(400)], "id string, Product string")
+    t = targets(spark, [(1, "a", 0, 30, 1000), (1, "b", 0, 30, 1000), (2, "a", 0, 20, 1000), (2, "A ", 0, 10, 1000)])
+    sample, report = sample_to_targets(rec, "id", "Product", t)
+    rep = report.collect()
+    assert not any(r.short for r in rep) and sum(r.drawn for r in rep if r.plan_id == 1) == 40
+    assert any(r.unmet for r in rep if r.plan_id == 1) and not any(r.unmet for r in rep if r.plan_id == 2)
+    # what the report says was drawn is what the sample has
+    got = {(r.plan_id, r.Product): r["count"] for r in sample.join(rec, "id").groupBy("plan_id", "Product").count().collect()}
+    assert all(got.get((r.plan_id, r.product.strip().lower()), 0) == r.drawn for r in rep)
