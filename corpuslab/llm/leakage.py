@@ -77,12 +77,9 @@ def _unit_hashes() -> tuple[np.ndarray, np.ndarray]:
 @functools.lru_cache(1)
 def _traits() -> tuple[np.ndarray, np.ndarray]:
     """Whether a code point is a digit, or upper case."""
-    n = 0x110000
-    digit, upper = np.zeros(n, bool), np.zeros(n, bool)
-    for i in range(n):
-        if not 0xD800 <= i < 0xE000:
-            c = chr(i)
-            digit[i], upper[i] = c.isdigit(), c.isupper()
+    c = wordhash.code_point_range()
+    digit, upper = np.strings.isdigit(c), np.strings.isupper(c)
+    digit[0xD800:0xE000] = upper[0xD800:0xE000] = False
     return digit, upper
 
 
@@ -148,9 +145,9 @@ def _after_number(kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(h: np.ndarray, kind: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(h: np.ndarray, kind: np.ndarray, first: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hash, first window of each text and the total, whether half the words are literal) of each window;
-    without enough literal words the hash is that of the words themselves."""
+    without enough literal words the hash is ``own``, that of the words themselves."""
     with np.errstate(over="ignore"):
         canon = np.where(kind > 0, wordhash.mix(kind.astype(U)), h)
         t, off = wordhash.shingles(canon, first, k)
@@ -158,9 +155,7 @@ def _windows(h: np.ndarray, kind: np.ndarray, first: np.ndarray, k: int) -> tupl
         np.cumsum(kind > 0, out=slots[1:])
         at = np.arange(len(t)) + np.repeat(first[:-1] - off[:-1], np.diff(off))
         literal = 2 * (slots[at + k] - slots[at]) <= k
-        if not literal.all():
-            t = np.where(literal, t, wordhash.mix(wordhash.shingles(h, first, k)[0]))
-    return t, off, literal
+        return np.where(literal, t, own), off, literal
 
 
 _WIN = "id long, t long, s long, slots array<string>, kinds array<byte>"
@@ -178,8 +173,10 @@ def _scan(k: int, lex: Lexicon, bits: tuple[np.ndarray, int] | None):
                 ids, texts = all_ids[lo:hi], all_texts[lo:hi]
                 h, readings, a, b, first = classify(texts, lex)
                 rows, seen = {}, []
+                with np.errstate(over="ignore"):
+                    own = wordhash.mix(wordhash.shingles(h, first, k)[0])
                 for kind in readings:
-                    t, off, literal = _windows(h, kind, first, k)
+                    t, off, literal = _windows(h, kind, first, own, k)
                     at = np.arange(len(t)) + np.repeat(first[:-1] - off[:-1], np.diff(off))
                     keep = literal if seen else np.full(len(t), True)
                     if bits is not None:
@@ -213,8 +210,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits_of(windows: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """Bitmap over the low bits of the template hashes."""
-    bits = min(bitmap.MAX_BITS, max(bitmap.MIN_BITS, (16 * max(count, 1)).bit_length()))
+    """Bitmap over the low bits of the template hashes. A window that passes by chance costs its words, hence 256 bits or more each."""
+    bits = min(bitmap.MAX_BITS, max(bitmap.MIN_BITS, (256 * max(count, 1)).bit_length()))
     got = windows.select(F.col("t").bitwiseAND(F.lit((1 << bits) - 1)).alias("p")).distinct().select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)

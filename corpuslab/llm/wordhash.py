@@ -7,46 +7,48 @@ import functools
 import numpy as np
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-BASE_INV = U(pow(int(BASE), -1, 1 << 64))
+#: Bases of the two families of hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Texts are hashed in groups of about this many characters, so that memory does not grow with the batch.
 GROUP_CHARS = 1 << 20
 
 
+def code_point_range() -> np.ndarray:
+    """Every code point as a string of one character."""
+    return np.arange(0x110000, dtype=np.uint32).view("<U1")
+
+
 @functools.lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Whether a code point is a letter or digit, and its lower case (a code point with several is kept apart)."""
-    n = 0x110000
-    word, lower = np.zeros(n, bool), np.arange(n, dtype=np.uint32)
-    for i in range(n):
-        if 0xD800 <= i < 0xE000:
-            continue
-        c = chr(i)
-        if c.isalnum():
-            word[i] = True
-            v = c.lower()
-            if len(v) == 1:
-                lower[i] = ord(v)
+    c = code_point_range()
+    word, lower = np.strings.isalnum(c), np.arange(len(c), dtype=np.uint32)
+    word[0xD800:0xE000] = False  # surrogates
+    at = np.flatnonzero(word)
+    v = np.strings.lower(c[at].astype("<U3"))
+    one = np.strings.str_len(v) == 1
+    lower[at[one]] = np.ascontiguousarray(v[one].astype("<U1")).view(np.uint32)
     return word, lower
 
 
 @functools.lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    base, inverse = U(BASES[family]), U(pow(BASES[family], -1, 1 << 64))
     up, down = np.empty(n, U), np.empty(n, U)
     up[0] = down[0] = U(1)
     with np.errstate(over="ignore"):
         k = 1
         while k < n:
             m = min(k, n - k)
-            up[k : k + m] = up[:m] * (up[k - 1] * BASE)
-            down[k : k + m] = down[:m] * (down[k - 1] * BASE_INV)
+            up[k : k + m] = up[:m] * (up[k - 1] * base)
+            down[k : k + m] = down[:m] * (down[k - 1] * inverse)
             k += m
     return up, down
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     size = max(GROUP_CHARS * 2, 1 << int(n).bit_length())
-    a, b = _powers(size)
+    a, b = _powers(size, family)
     return a[:n], b[:n]
 
 
@@ -82,16 +84,17 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, starts
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """P with (P[j] - P[i]) * BASE_INV**i the hash of values[i:j], one longer than values."""
-    up, _ = powers(len(values) + 1)
+def prefix_hash(values: np.ndarray, family: int = 0) -> np.ndarray:
+    """P with (P[j] - P[i]) / base**i the hash of values[i:j], one longer than values. The families differ in base and in how
+    values are scrambled."""
+    up, _ = powers(len(values) + 1, family)
     p = np.zeros(len(values) + 1, U)
-    np.cumsum(mix(values.astype(U) + U(1)) * up[: len(values)], out=p[1:])
+    np.cumsum(mix(values.astype(U) + U(1 + 0x5851F42D4C957F2C * family)) * up[: len(values)], out=p[1:])
     return p
 
 
-def range_hash(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    _, down = powers(len(p))
+def range_hash(p: np.ndarray, i: np.ndarray, j: np.ndarray, family: int = 0) -> np.ndarray:
+    _, down = powers(len(p), family)
     return mix((p[j] - p[i]) * down[i])
 
 
