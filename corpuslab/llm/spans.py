@@ -6,8 +6,10 @@ equal windows always meet in one bucket. There its windows' 128-bit hashes are s
 marked. Marked windows come back as intervals, which are merged per document.
 
 Before any text moves, minimisers are counted with map-side combine: a minimiser that occurs in one document alone is
-dropped by a bitmap in the scan. Buckets of minimisers with more than HOT super-k-mers, such as those of a footer that a
-third of all documents bear, are not gathered: their windows are counted by a plain aggregation with map-side combine.
+dropped by a bitmap in the scan. A bucket has at most HOT super-k-mers, of less than two spans each, whatever the size of the corpus.
+Minimisers with more, such as those of a footer that a third of all documents bear, are not gathered: a second bitmap names them,
+and their windows are counted by a plain aggregation with map-side combine. Others that the bitmap takes for them by chance go the
+same way, which gives the same result.
 
 Defined cases: null texts and texts shorter than ``span`` have no shared characters. Repetitions within one document don't
 count; rows with one document id are one document. Exact copies are shared as a whole, and equal texts of a batch
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import bitmap, wordhash
 from corpuslab.llm.wordhash import U
+from corpuslab.operators.joins import lookup
 from corpuslab.session import Stage
 
 #: Characters of the grams among which the minimiser is chosen.
@@ -82,7 +85,7 @@ def _window_hashes(texts: list[str], span: int, runs: np.ndarray) -> tuple[np.nd
         which = np.repeat(np.arange(len(runs)), runs)
         at = starts[:-1][which] + np.arange(off[-1]) - off[:-1][which]
         a = wordhash.range_hash(wordhash.prefix_hash(cp), at, at + span)
-        b = wordhash.range_hash(wordhash.prefix_hash(wordhash.mix(cp.astype(U) ^ U(0x5851F42D4C957F2D))), at, at + span)
+        b = wordhash.range_hash(wordhash.prefix_hash(cp, 1), at, at + span, 1)
     return a, b, which
 
 
@@ -99,29 +102,33 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 
 def _count(span: int):
-    """Per minimiser of a batch: smallest and largest document and super-k-mers."""
+    """Per minimiser of a batch: smallest and largest document over all texts, equal ones too, and super-k-mers of different texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _groups(batch):
-                head = np.unique(_heads(ids, texts))
+                head, back = np.unique(_heads(ids, texts), return_inverse=True)
                 text, mini, _, _ = super_kmers([texts[i] for i in head], span)
-                doc = ids[head][text] if len(text) else np.empty(0, np.int64)
-                order = np.lexsort((doc, mini))
-                mini, doc = mini[order], doc[order]
+                lo, hi = ids[head].copy(), ids[head].copy()
+                np.minimum.at(lo, back, ids)
+                np.maximum.at(hi, back, ids)
+                order = np.argsort(mini, kind="stable")
+                mini, text = mini[order], text[order]
                 new = np.flatnonzero(np.append(True, mini[1:] != mini[:-1])) if len(mini) else np.empty(0, np.int64)
-                last = np.append(new[1:], len(mini)) - 1 if len(new) else new
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini[new].view(np.int64)), pa.array(doc[new]), pa.array(doc[last]), pa.array(np.diff(np.append(new, len(mini))).astype(np.int64))], names=["m", "lo", "hi", "n"]
-                )
+                lo, hi = (np.minimum.reduceat(lo[text], new), np.maximum.reduceat(hi[text], new)) if len(new) else (lo[:0], hi[:0])
+                yield pa.RecordBatch.from_arrays([pa.array(mini[new].view(np.int64)), pa.array(lo), pa.array(hi), pa.array(np.diff(np.append(new, len(mini))).astype(np.int64))], names=["m", "lo", "hi", "n"])
 
     return work
 
 
+def _among(bits: tuple[np.ndarray, int], x: np.ndarray) -> np.ndarray:
+    return bitmap.hit(bits[0], x & U((1 << bits[1]) - 1))
+
+
 _PACKED = "m long, doc long, start long, runs long, s string"
 
 
-def _pack(span: int, bits: tuple[np.ndarray, int], hot: np.ndarray):
+def _pack(span: int, bits: tuple[np.ndarray, int], hot: tuple[np.ndarray, int]):
     """Super-k-mers whose minimiser may be shared; m is null for copies within the batch, which are shared whole."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +137,7 @@ def _pack(span: int, bits: tuple[np.ndarray, int], hot: np.ndarray):
                 head = _heads(ids, texts)
                 own = np.flatnonzero(head == np.arange(len(ids)))
                 text, mini, first, runs = super_kmers([texts[i] for i in own], span)
-                keep = bitmap.hit(bits[0], mini & U((1 << bits[1]) - 1)) & ~np.isin(mini, hot)
+                keep = _among(bits, mini) & ~_among(hot, mini)
                 text, mini, first, runs = own[text[keep]] if len(own) else text[keep], mini[keep], first[keep], runs[keep]
                 s = [texts[i][a : a + r - 1 + span] for i, a, r in zip(text, first, runs)]
                 c = np.array([i for i in np.flatnonzero(head != np.arange(len(ids))) if len(texts[i]) >= span and ids[i] != ids[head[i]]], np.int64)
@@ -219,15 +226,15 @@ def _bucket(span: int):
     return work
 
 
-def _hot_windows(span: int, hot: np.ndarray, mode: str, shared: np.ndarray | None = None):
-    """Windows of hot minimisers: ``count`` gives per batch each distinct one with its smallest and largest document,
-    ``mark`` gives the intervals of those in ``shared``, ``list`` gives all with their place."""
+def _hot_windows(span: int, bits: tuple[np.ndarray, int], hot: tuple[np.ndarray, int], mode: str, shared: np.ndarray | tuple[np.ndarray, int] | None = None):
+    """Windows of hot minimisers: ``count`` gives per batch each distinct one with its smallest and largest document and how often
+    it stands there, ``mark`` gives the intervals of those in ``shared``, ``list`` those that a bitmap ``shared`` has, with their place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _groups(batch):
                 text, mini, first, runs = super_kmers(texts, span)
-                keep = np.isin(mini, hot)
+                keep = _among(hot, mini) & _among(bits, mini)
                 text, first, runs = text[keep], first[keep], runs[keep]
                 s = [texts[i][x : x + r - 1 + span] for i, x, r in zip(text, first, runs)]
                 doc = ids[text] if len(text) else np.empty(0, np.int64)
@@ -240,7 +247,8 @@ def _hot_windows(span: int, hot: np.ndarray, mode: str, shared: np.ndarray | Non
                     off = np.zeros(len(runs) + 1, np.int64)
                     np.cumsum(runs, out=off[1:])
                     place = first[which] + np.arange(len(a)) - off[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc[which]), pa.array(place)], names=["a", "b", "doc", "at"])
+                    k = _among(shared, a)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[k].view(np.int64)), pa.array(b[k].view(np.int64)), pa.array(doc[which[k]]), pa.array(place[k])], names=["a", "b", "doc", "at"])
                 else:
                     d = doc[which]
                     order = np.lexsort((d, b, a))
@@ -249,25 +257,30 @@ def _hot_windows(span: int, hot: np.ndarray, mode: str, shared: np.ndarray | Non
                     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                     i = np.flatnonzero(new)
                     j = np.append(i[1:], len(a)) - 1 if len(i) else i
-                    yield pa.RecordBatch.from_arrays([pa.array(a[i].view(np.int64)), pa.array(b[i].view(np.int64)), pa.array(d[i]), pa.array(d[j])], names=["a", "b", "lo", "hi"])
+                    cols = (a[i].view(np.int64), b[i].view(np.int64), d[i], d[j], j - i + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "lo", "hi", "n"])
 
     return work
 
 
-def _hot_spans(base: DataFrame, span: int, hot: np.ndarray, stage: Stage) -> DataFrame:
-    n = base.mapInArrow(_hot_windows(span, hot, "count"), "a long, b long, lo long, hi long").groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    shared = stage.put(n.filter("lo <> hi").select("a", "b"), "hot")
-    if shared.count() <= BROADCAST_WINDOWS:
+def _hot_spans(base: DataFrame, span: int, bits: tuple[np.ndarray, int], hot: tuple[np.ndarray, int], stage: Stage) -> DataFrame:
+    n = base.mapInArrow(_hot_windows(span, bits, hot, "count"), "a long, b long, lo long, hi long, n long")
+    n = n.groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    shared = stage.put(n.filter("lo <> hi").select("a", "b", "n"), "hot")
+    count, places = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count <= BROADCAST_WINDOWS:
         got = shared.toPandas()
         key = np.empty(len(got), [("a", U), ("b", U)])
         key["a"], key["b"] = got["a"].to_numpy(np.int64).view(U), got["b"].to_numpy(np.int64).view(U)
-        return base.mapInArrow(_hot_windows(span, hot, "mark", np.sort(key)), _FOUND)
-    every = base.mapInArrow(_hot_windows(span, hot, "list"), "a long, b long, doc long, at long")
-    return every.join(shared, ["a", "b"]).select("doc", F.col("at").alias("a"), (F.col("at") + span).alias("b"))
+        return base.mapInArrow(_hot_windows(span, bits, hot, "mark", np.sort(key)), _FOUND)
+    every = base.mapInArrow(_hot_windows(span, bits, hot, "list", _bits(shared.select(F.col("a").alias("m")), count)), "a long, b long, doc long, at long")
+    # windows that a large share of the places have are hot keys
+    return lookup(every, shared, ["a", "b"], places, "n").select("doc", F.col("at").alias("a"), (F.col("at") + span).alias("b"))
 
 
-def _bits(minis: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    bits = min(bitmap.MAX_BITS, max(bitmap.MIN_BITS, (16 * max(count, 1)).bit_length()))
+def _bits(minis: DataFrame, count: int, each: int = 16) -> tuple[np.ndarray, int]:
+    """Bitmap over the low bits of ``m``, with ``each`` bits or more per key up to 16 MB in all."""
+    bits = min(bitmap.MAX_BITS, max(bitmap.MIN_BITS, (each * max(count, 1)).bit_length()))
     got = minis.select(F.col("m").bitwiseAND(F.lit((1 << bits) - 1)).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
@@ -281,15 +294,13 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int = 240, h
     base = docs.filter((F.length(text_col) >= span) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
     minis = base.mapInArrow(_count(span), "m long, lo long, hi long, n long").groupBy("m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     minis = stage.put(minis.filter("lo <> hi").select("m", "n"), "minimisers")
-    total = minis.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # at most total / floor of them, so this list is bounded
-    floor = max(hot_above, int(total[1]) // 5000)
-    hot = minis.filter(F.col("n") > floor).select("m").toPandas()["m"].to_numpy(np.int64).view(U)
-    packed = base.mapInArrow(_pack(span, _bits(minis, total[0]), hot), _PACKED)
+    total, many = minis.agg(F.count(F.lit(1)), F.count_if(F.col("n") > hot_above)).first()
+    bits, hot = _bits(minis, total), _bits(minis.filter(F.col("n") > hot_above), many, 256)
+    packed = base.mapInArrow(_pack(span, bits, hot), _PACKED)
     where = F.coalesce(F.col("m"), F.xxhash64("doc"))
     found = packed.repartition(where).sortWithinPartitions("m").mapInArrow(_bucket(span), _FOUND)
-    if len(hot):
-        found = found.unionByName(_hot_spans(base, span, hot, stage))
+    if many:
+        found = found.unionByName(_hot_spans(base, span, bits, hot, stage))
     found = stage.put(found, "intervals")
     w = Window.partitionBy("doc").orderBy("a", "b")
     ends = found.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))

@@ -1,9 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from corpuslab.llm import leakage
+from corpuslab.llm import leakage, spans
 from corpuslab.llm.leakage import find_leaks
 from corpuslab.llm.spans import shared_share, shared_spans
 
@@ -190,14 +191,26 @@ def test_spans_against_brute_force(spark, hot):
 
 
 def test_spans_joined_when_too_many_to_broadcast(spark, monkeypatch):
-    from corpuslab.llm import spans
-
     monkeypatch.setattr(spans, "BROADCAST_WINDOWS", 3)
     docs = fixture(5)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "1 as m", "2 as doc", "3 as a", "4 as b", "5 as s")
     assert {tuple(r) for r in shared_spans(df, "doc_id", "text", 40, 20).collect()} == brute_spans(docs, 40)
 
 
+def test_copies_are_found_however_rows_are_batched(spark):
+    text = fixture(1)[5][1] + "0123456789" * 9
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 9, 3]), pa.array([text, text, text])], names=["doc", "t"])
+    got = pa.Table.from_batches(spans._count(40)(iter([batch]))).to_pylist()
+    assert got and all(r["lo"] == 3 and r["hi"] == 9 for r in got)
+
+
+def test_one_text_in_a_third_of_the_rows(spark):
+    same, own = "the same long footer of all these letters, " * 3, fixture(2)
+    docs = [(i, t) for i, t in own if t] + [(1000 + i, f"{i:05d} " + same) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert {tuple(r) for r in shared_spans(df, "doc_id", "text", 40, 10).collect()} == brute_spans(docs, 40)
+
+
 def test_share(spark):
     docs = [(1, "q" * 30 + "z" * 10), (2, "q" * 30), (3, ""), (4, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
