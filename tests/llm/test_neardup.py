@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuslab.llm import neardup, wordhash
@@ -68,10 +69,12 @@ def test_edges(spark):
     assert near_duplicates(df, "row_id", "t", 3, 0.6).count() == 6
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    """A template that a third of all rows share: buckets far beyond the lag, and links between rows that are not near
-    neighbours in any of them."""
-    monkeypatch.setattr(neardup, "LAG", 2)
+@pytest.mark.parametrize("parts", [1, 9])
+def test_large_buckets_lose_no_link(spark, monkeypatch, parts):
+    """A template that a third of all rows share: buckets far beyond the lag, folded within batches or met after the shuffle, and
+    links between rows that are not near neighbours in any of them."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(60)]
     rows = []
@@ -79,8 +82,28 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         own = [f"{'xy'[i % 2]}{j}" for j in range(45)]
         rows.append(" ".join(base + own[: 45 - i % 3]) + f" {rng.randrange(10**6)}")
     rows += [" ".join(f"r{rng.randrange(10**5)}" for _ in range(80)) for _ in range(200)]
+    rng.shuffle(rows)
     rows = list(enumerate(rows))
-    assert run(spark, rows) == brute(rows, 3, 0.6)
+    df = spark.createDataFrame(rows, "row_id long, t string").repartition(parts)
+    got = {(r.first_row_id, r.row_id) for r in near_duplicates(df, "row_id", "t", 3, 0.6, lag=2).collect() if r.first_row_id != r.row_id}
+    assert got == brute(rows, 3, 0.6)
+
+
+def test_a_group_sends_few_rows_of_a_hot_key():
+    base = " ".join(f"b{i}" for i in range(80))
+    batch = neardup._key_group(np.arange(500), [base + f" x{i}" for i in range(500)], 3, 8)
+    kind = batch.column(2).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    key, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    _, n = np.unique(key[kind == -1], return_counts=True)
+    assert n.max() == 9
+    hot = batch.column(2).filter(pa.array(kind == neardup._LARGE)).flatten().to_numpy()[::3]
+    by = {x: set(row[kind == neardup._LARGE][hot == x]) for x in np.unique(hot)}
+    assert any(len(v) > 300 for v in by.values())
+    # every row of a bucket is tied to its first row
+    ties = set(zip(key[kind == neardup._PAIR], row[kind == neardup._PAIR]))
+    for v in by.values():
+        s = sorted(v)
+        assert all((s[0], j) in ties for j in s[9:])
 
 
 def test_closing_round_finds_the_left_out_pair(spark, monkeypatch):
