@@ -120,10 +120,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_groups(spark, sf_dir).filter("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
-def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpuslab.llm.tokens import encode_corpus
+def p6_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from corpuslab.llm.tokens import DEFAULT_PATH, encode_corpus
 
-    return encode_corpus(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(_read(spark, sf_dir, "documents"), "doc_id", "text", tokenizer or DEFAULT_PATH)
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

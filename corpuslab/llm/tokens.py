@@ -1,12 +1,16 @@
 """Token ids of a public byte-level BPE tokenizer, by a streaming transducer, and text from token ids.
 
-The split into pieces is the tokenizer's own pattern. Within a piece the transducer reads bytes one by one and knows for
+The split into pieces is the tokenizer's own pattern, read from its file; a file that asks for more than such a split, bytes
+and merges is refused. Within a piece the transducer reads bytes one by one and knows for
 each position the last token of the encoding that ends there: the longest token that ends there and is compatible
 with the last token before it, which is the case if the two, merged together from bytes, stay apart. Every encoding of
 a longer input passes through one of the last positions, at most the longest token's length back. So the tokens on
 which all of these agree can't change any more, and are emitted; only positions after them are kept. That bound is
 the sufficient lookahead of the merge list (``Transducer.lookahead``).
 
+Pieces come one by one from the text, and a long piece goes to the transducer in chunks, so what is held besides a text are its ids. A
+piece that a task meets again is looked up.
+
 Defined cases: a null, or empty text has an empty list of ids. Text that looks like a special token is ordinary
 text. Blank text is encoded like any other.
 """
@@ -16,9 +20,12 @@ from __future__ import annotations
 import codecs
 import functools
 import json
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,11 +33,16 @@ from pyspark.sql import functions as F
 
 #: The public pattern that parts text into pieces for this family of tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone.
+PIECES_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\v\f\rA-Za-z0-9]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+"
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: A tokenizer file larger than this isn't sent to the executors.
 MAX_FILE = 64 << 20
 CACHE = 200_000
 CACHED_BYTES = 48
+#: Bytes of a long piece that the transducer gets at once, and characters of a text whose pieces are listed at once.
+CHUNK = 1 << 16
+LISTED = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,10 +53,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids of pieces, encoded when they are first met."""
+
+    def __init__(self, encode: Callable[[bytes], tuple[int, ...]]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        ids = self.encode(raw)
+        if len(raw) <= CACHED_BYTES:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Transducer:
     """Incremental encoder over bytes."""
 
-    def __init__(self, vocab: dict[str, int], merges: list):
+    def __init__(self, vocab: dict[str, int], merges: list, pattern: str = PIECES):
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -55,8 +83,9 @@ class Transducer:
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         self.suffixes = {b[k:] for b in self.id_of for k in range(len(b))}
         self.lookahead = max(map(len, self.id_of))
-        self.pieces = regex.compile(PIECES)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces = regex.compile(pattern)
+        self.ascii = re.compile(PIECES_ASCII) if pattern == PIECES else self.pieces
+        self.known = _Known(lambda raw: tuple(self.stream(raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))))
         self.fits = functools.lru_cache(1 << 20)(self._fits)
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -128,23 +157,12 @@ class Transducer:
             end -= len(self.bytes_of[last[end]])
         return out[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        known = self.known
-        for m in self.pieces.finditer(text):
-            piece = m.group()
-            got = known.get(piece)
-            if got is None:
-                raw = piece.encode("utf-8", "surrogatepass")
-                got = tuple(self.stream((raw,)))
-                if len(raw) <= CACHED_BYTES:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[piece] = got
-            out.extend(got)
-        return out
+    def parts(self, text: str) -> Iterable[str]:
+        p = self.ascii if text.isascii() else self.pieces
+        return p.findall(text) if len(text) <= LISTED else (m.group() for m in p.finditer(text))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.parts(text or ""))), np.int32)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes complete, by an incremental UTF-8 state machine."""
@@ -156,10 +174,26 @@ class Transducer:
             yield s
 
 
+def _pattern(spec: dict) -> str:
+    """The pattern that a tokenizer file splits texts by; anything else that it asks for is an error."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = pre.get("pretokenizers", []) if pre.get("type") == "Sequence" else [pre]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if spec.get("normalizer") or odd or model.get("type", "BPE") != "BPE" or steps[-1].get("type") != "ByteLevel" or steps[-1].get("add_prefix_space"):
+        raise ValueError(f"the tokenizer is not plain byte-level BPE: {odd or spec.get('normalizer') or pre}")
+    if len(steps) == 1 and steps[0].get("use_regex", True):
+        return PIECES
+    split = steps[0]
+    if len(steps) == 2 and split.get("type") == "Split" and split.get("behavior") == "Isolated" and not split.get("invert") and "Regex" in split["pattern"] and not steps[1].get("use_regex", True):
+        # what the pattern leaves out is a piece as well
+        return f"{split['pattern']['Regex']}|(?:(?!{split['pattern']['Regex']})(?s:.))+"
+    raise ValueError(f"unknown split into pieces: {pre}")
+
+
 @functools.lru_cache(2)
 def _build(raw: bytes) -> Transducer:
-    model = json.loads(raw)["model"]
-    return Transducer(model["vocab"], model["merges"])
+    spec = json.loads(raw)
+    return Transducer(spec["model"]["vocab"], spec["model"]["merges"], _pattern(spec))
 
 
 def load(path: str = DEFAULT_PATH) -> Transducer:
@@ -181,7 +215,10 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, path: str = DEFAU
         t = _build(shared.value)
         for b in batches:
             ids = [t.encode(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            ends = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum([len(x) for x in ids], out=ends[1:])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "ids"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return plain.mapInArrow(work, "id long, ids array<int>").withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ def texts():
 def test_ids_of_the_public_library(both):
     mine, ref = both
     for t in texts():
-        assert mine.encode(t) == ref.encode(t, add_special_tokens=False).ids
+        assert mine.encode(t).tolist() == ref.encode(t, add_special_tokens=False).ids
 
 
 def test_round_trip_and_chunks(both):
@@ -40,6 +40,42 @@ def test_round_trip_and_chunks(both):
     assert whole == list(mine.stream(raw[i : i + 7] for i in range(0, len(raw), 7)))
 
 
+def test_ascii_pieces_are_the_same(both):
+    mine, _ = both
+    rng = random.Random(6)
+    for _ in range(300):
+        t = "".join(rng.choice("ab Z09'strvml.-\t\n\r\x0b\x0c\x1c\x1f\x00_") for _ in range(80))
+        assert mine.ascii.findall(t) == mine.pieces.findall(t) and "".join(mine.parts(t)) == t
+
+
+def test_memory_of_a_long_text(both):
+    import tracemalloc
+
+    mine, ref = both
+    text = "the bank's fee of 300 dollars was never explained to me, and I’ve waited since May. " * 60_000  # 5 MB, above LISTED
+    mine.encode(text[:1000])
+    tracemalloc.start()
+    ids = mine.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * ids.nbytes + (4 << 20)
+    assert ids[:500].tolist() == ref.encode(text[:5000], add_special_tokens=False).ids[:500]
+
+
+def test_other_tokenizers_are_refused_or_read():
+    import json
+
+    spec = json.loads(Path(tokens.DEFAULT_PATH).read_text())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"model": spec["model"] | {"end_of_word_suffix": "</w>"}}):
+        with pytest.raises(ValueError):
+            tokens._build(json.dumps(spec | change).encode())
+    pattern = r"\p{L}+|\p{N}{1,3}|\s+"
+    other = spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+    mine, ref = tokens._build(json.dumps(other).encode()), Tokenizer.from_str(json.dumps(other))
+    for t in ("ab12345 -- ü?!x", "don't\n\n4711"):
+        assert mine.encode(t).tolist() == ref.encode(t, add_special_tokens=False).ids
+
+
 def test_stream_keeps_little(both):
     mine, _ = both
     seen = 0
