@@ -77,15 +77,19 @@ class Transducer:
         raw = lambda s: bytes(letters[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.rank = {(vocab[a], vocab[b]): (i, vocab[a + b]) for i, (a, b) in enumerate(pairs)}
-        made = {vocab[a + b] for a, b in pairs}
+        #: Of each token that is made by merging: the rank of the first merge that makes it, and its parts.
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for i, (a, b) in enumerate(pairs):
+            self.made.setdefault(vocab[a + b], (i, vocab[a], vocab[b]))
         self.single = {raw(c): i for c, i in vocab.items() if len(c) == 1 and c in letters}
-        self.bytes_of = {i: raw(s) for s, i in vocab.items() if i in made or len(s) == 1 and s in letters}
+        self.bytes_of = {i: raw(s) for s, i in vocab.items() if i in self.made or len(s) == 1 and s in letters}
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         self.suffixes = {b[k:] for b in self.id_of for k in range(len(b))}
         self.lookahead = max(map(len, self.id_of))
         self.pieces = regex.compile(pattern)
         self.ascii = re.compile(PIECES_ASCII) if pattern == PIECES else self.pieces
         self.known = _Known(lambda raw: tuple(self.stream(raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))))
+        self.whole = functools.lru_cache(1 << 18)(self._whole)
         self.fits = functools.lru_cache(1 << 20)(self._fits)
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -107,23 +111,47 @@ class Transducer:
             ids = out
         return ids
 
+    def letters(self, a: int) -> list[int]:
+        """The tokens of a token's single bytes."""
+        x = self.bytes_of[a]
+        return [self.single[x[k : k + 1]] for k in range(len(x))]
+
+    def _whole(self, a: int) -> bool:
+        """Whether a token's bytes are encoded as that token, which merges of other tools need not grant."""
+        return self.merged(self.letters(a)) == [a]
+
     def _fits(self, a: int, b: int) -> bool:
-        """Whether b can follow a in an encoding."""
-        both = self.bytes_of[a] + self.bytes_of[b]
-        return self.merged([self.single[both[k : k + 1]] for k in range(len(both))]) == [a, b]
+        """Whether b can follow a in an encoding: no merge joins what is left of both at the seam while they are put together.
+        Merges are undone from the last: of the two parts at the seam the one made later is taken apart. A merge over the seam
+        would have come first if it ranks below that one; of equal ranks the leftmost comes first."""
+        if not self.whole(a) or not self.whole(b):
+            return False
+        rank, made, before = self.rank, self.made, len(self.rank) + 1
+        while True:
+            over = rank.get((a, b))
+            if over is not None and over[0] < before:
+                return False
+            x, y = made.get(a), made.get(b)
+            if x is None and y is None:
+                return True
+            if y is None or x is not None and x[0] > y[0]:
+                before, a = x[0], x[2]
+            else:
+                before, b = y[0] + 1, y[1]
 
     def last_token(self, window: bytes, before: list[int]) -> int:
-        """The token that ends the encoding of the window; before[k]: that of what
-        precedes its byte k (-1: nothing)."""
-        n, k, found = len(window), 1, []
-        while k <= n and window[n - k :] in self.suffixes:
-            if (t := self.id_of.get(window[n - k :])) is not None:
-                found.append((k, t))
+        """The token that ends the encoding of the window, the longest compatible one; before[k]: that of what precedes its byte k
+        (-1: nothing)."""
+        n, suffixes, id_of, fits = len(window), self.suffixes, self.id_of, self.fits
+        k = 1
+        while k <= n and window[n - k :] in suffixes:
             k += 1
-        for k, t in reversed(found):
-            a = before[n - k]
-            if a == -1 or a >= 0 and self.fits(a, t):
-                return t
+        for i in range(n - k + 1, n):
+            t = id_of.get(window[i:])
+            if t is not None:
+                a = before[i]
+                if a == -1 and self.whole(t) or a >= 0 and fits(a, t):
+                    return t
         raise ValueError("the vocabulary lacks a byte")
 
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:

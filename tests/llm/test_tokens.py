@@ -40,6 +40,20 @@ def test_round_trip_and_chunks(both):
     assert whole == list(mine.stream(raw[i : i + 7] for i in range(0, len(raw), 7)))
 
 
+def test_seams_follow_the_merge_list(both):
+    mine, _ = both
+    rng = random.Random(8)
+    ids = sorted(mine.bytes_of)
+    short = [i for i in ids if len(mine.bytes_of[i]) <= 3]
+    for _ in range(4000):
+        a, b = rng.choice(short), rng.choice(rng.choice((ids, short)))
+        want = mine.merged(mine.letters(a) + mine.letters(b)) == [a, b]
+        assert mine._fits(a, b) == want
+    for c in "aoe-= ":  # equal ranks at the seam
+        some = [i for i in ids if set(mine.bytes_of[i]) == {ord(c)}]
+        assert all(mine._fits(a, b) == (mine.merged(mine.letters(a) + mine.letters(b)) == [a, b]) for a in some for b in some)
+
+
 def test_ascii_pieces_are_the_same(both):
     mine, _ = both
     rng = random.Random(6)
