@@ -10,7 +10,9 @@ these proportions. A row is damaged if, under some cipher, its runs together are
 
 Swaps among the listed code pages follow by rule, and UTF-8 read as other pages that Python knows. For runs within
 words that none of these explains, the EM also learns a table per source, from the run to the letter it stands for: each
-letter the bigrams know is a candidate, its weight the share of the run's occurrences that it is expected to explain.
+letter the bigrams know is a candidate, its weight the share of the run's occurrences that it is expected to explain. The table's
+M step is an aggregation on the executors and joins the runs for the next E step; entries that are as good as certain
+go out to all tasks at the end, and those of single symbols are applied by ``translate()``.
 
 Defined cases: a null text is never damaged. U+FFFD counts as damage that cannot be undone. Text that is as a whole
 (white space aside) the printed form of a byte string is damaged and restored by evaluating its escapes. Doubly
@@ -23,10 +25,12 @@ import functools
 import math
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +46,10 @@ VALID = math.log(20)
 #: The same where a character may be several bytes; a third of the second bytes would do.
 WIDE_VALID = math.log(3)
 EM_ROUNDS = 5
-SOURCE_BUCKETS = 64
+#: A source that was seen this seldom counts half by what all sources together say of a cipher.
+DRAW = 200
+#: More sources, or more learned entries, are an error: the tables by source go to every task.
+MAX_SOURCES, MAX_LEARNED = 100_000, 1_000_000
 RUN = re.compile(r"[^\x00-\x7f]+")
 BYTES = re.compile(r"(?s)\A\s*b(['\"])(.*)\1\s*\Z")
 BYTES_JAVA = r"(?s)\A[\s\p{Z}]*b(?:'.*'|" + '".*")' + r"[\s\p{Z}]*\z"
@@ -50,8 +57,8 @@ RUN_LIMIT = 64
 #: Pages that UTF-8 may have been read as, besides CODE_PAGES; the whole run must be valid UTF-8 then.
 OTHER_PAGES = ("cp1255", "cp1256", "cp1258", "cp874", "cp737", "cp775", "cp855", "cp857", "cp858", "cp860", "cp861", "cp862", "cp863", "cp864", "cp865", "cp869", "cp1125", "iso8859_3", "iso8859_4", "iso8859_5", "iso8859_6", "iso8859_7", "iso8859_8", "iso8859_9", "iso8859_10", "iso8859_11", "iso8859_13", "iso8859_14", "iso8859_15", "iso8859_16", "koi8_u", "koi8_t", "kz1048", "ptcp154", "hp_roman8", "mac_cyrillic", "mac_greek", "mac_iceland", "mac_latin2", "mac_turkish")
 WIDE_PAGES = ("gb18030", "cp932", "cp949", "cp950", "big5hkscs", "euc_jp", "euc_kr", "johab")
-#: A learned run has at most so many symbols, an entry so many contexts and this weight at least; so many entries are kept.
-LEARNED_LEN, LEARNED_CONTEXTS, LEARNED_WEIGHT, LEARNED_ENTRIES = 6, 2, 0.8, 200_000
+#: A learned run has at most so many symbols, an entry so many contexts and this weight at least.
+LEARNED_LEN, LEARNED_CONTEXTS, LEARNED_WEIGHT = 6, 2, 0.8
 LEARNED = -1
 
 
@@ -197,6 +204,8 @@ def symbol(c: str) -> str:
     """A symbol of a bounded alphabet (fewer than 1,000) for any character; '' stands for either end of the text."""
     if c == "":
         return "^"
+    if len(c) > 1:  # a symbol already
+        return c
     if c < "\x80":
         return c if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else "."
     return c if c in repertoire() else "" + unicodedata.category(c)
@@ -225,8 +234,14 @@ def learnable(left: str, run: str, right: str) -> bool:
 class Model:
     """Bigram counts, smoothed by how many kinds of successors a symbol has (Witten-Bell), and cipher weights."""
 
-    def __init__(self, pairs: dict[tuple[str, str], float], weights: dict[tuple[str, int], float], table: dict[tuple[str, str], dict[str, float]] | None = None):
-        self.pairs, self.weights, self.table = pairs, weights, table
+    def __init__(self, pairs: dict[tuple[str, str], float], base: dict[int, float], seen: dict[str, float], hits: dict[tuple[str, int], float], table: dict[tuple[str, str], str] | None = None):
+        """``base``: each cipher's weight over all sources; ``seen``: runs of a source, ``hits``: those that a cipher explains; ``table``: the
+        letter of a source's learned runs."""
+        self.pairs, self.base, self.seen, self.hits, self.table = pairs, base, seen, hits, table or {}
+        self.pages: dict[str, dict[int, str]] = defaultdict(dict)
+        for (source, run), letter in self.table.items():
+            if len(run) == 1:
+                self.pages[source][ord(run)] = letter
         self.after: dict[str, set] = defaultdict(set)
         self.before: dict[str, set] = defaultdict(set)
         for a, b in pairs:
@@ -262,7 +277,9 @@ class Model:
         return s
 
     def weight(self, source: str, k: int) -> float:
-        return self.weights.get((source, k), PRIOR)
+        """A cipher's weight in a source, drawn towards its weight over all sources."""
+        base = self.base.get(k, PRIOR)
+        return max((self.hits.get((source, k), 0.0) + DRAW * base) / (self.seen.get(source, 0.0) + DRAW), PRIOR / 4)
 
     def gains(self, left: str, run: str, right: str) -> tuple[tuple[int, str, float], ...]:
         """(cipher, decoded, log-likelihood ratio against the literal reading)."""
@@ -278,31 +295,50 @@ class Model:
             self.cache[key] = out
         return out
 
-    def letters(self, source: str, left: str, run: str, right: str) -> list[tuple[str, float, float]]:
-        """(letter, weight, log-likelihood ratio) of the letters that a run may stand for in a source."""
+    def letters(self, source: str, left: str, run: str, right: str, known: dict[str, float] | None) -> list[tuple[str, float, float]]:
+        """(letter, weight, log-likelihood ratio) of the letters that a run may stand for in a source: those it is ``known`` for, at first all
+        that the bigrams know beside its neighbours."""
         if not learnable(left, run, right) or any(self.weight(source, k) * math.exp(min(60.0, g)) > 1 for k, _, g in self.gains(left, run, right)):
             return []
-        if self.table is None:
+        if known is None:
             some = (self.after[symbol(left)] | self.before[symbol(right)]) - set(run)
-            weights = {x: PRIOR / len(some) for x in some}
-        else:
-            weights = self.table.get((source, run), {})
-        plain = self.log_p(left, run, right) if weights else 0.0
-        return [(x, w, self.log_p(left, x, right) - plain) for x, w in weights.items()]
+            known = {x: PRIOR / len(some) for x in some}
+        plain = self.log_p(left, run, right) if known else 0.0
+        return [(x, w, self.log_p(left, x, right) - plain) for x, w in known.items()]
 
     def learned(self, source: str, left: str, run: str, right: str) -> tuple[str, float] | None:
         """The letters a run stands for by the table, whole or in parts, and their log-likelihood ratio."""
-        ways: list[str | None] = ["", *[None] * len(run)]
-        for j in range(1, len(run) + 1):
-            for i in range(max(0, j - LEARNED_LEN), j):
-                x = (self.table or {}).get((source, run[i:j]))
-                if x and ways[i] is not None:
-                    ways[j] = ways[i] + max(x, key=x.get)
-                    break
-        out = ways[-1]
+        page = self.pages.get(source, {})
+        if (source, run) in self.table:
+            out = self.table[source, run]
+        elif all(ord(c) in page for c in run):
+            out = run.translate(page)
+        else:
+            ways: list[str | None] = ["", *[None] * len(run)]
+            for j in range(1, len(run) + 1):
+                for i in range(max(0, j - LEARNED_LEN), j):
+                    x = self.table.get((source, run[i:j]))
+                    if x and ways[i] is not None:
+                        ways[j] = ways[i] + x
+                        break
+            out = ways[-1]
         return (out, self.log_p(left, out, right) - self.log_p(left, run, right)) if out else None
 
 
+_MODELS: dict[str, Model] = {}
+
+
+def _model(shared: Broadcast) -> Model | None:
+    """The model of a broadcast, built once in a worker."""
+    if shared.value is None:
+        return None
+    key, *parts = shared.value
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(*parts)
+    return _MODELS[key]
+
+
 def _whole(text: str) -> Iterator[tuple[int, str, str, str]]:
     """(start, left, run, right) of each run of non-ASCII characters; runs beyond RUN_LIMIT only part at U+FFFD, as any other
     cut may fall within a character."""
@@ -343,19 +379,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _expect(model: Model | None):
-    """The E step over runs, as sums for the M step."""
+def _expect(shared: Broadcast, first: bool):
+    """The E step over runs, as sums for the M step; ``first``: no letters of runs are known yet."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared)
         pairs: dict = defaultdict(float)
         ciph: dict = defaultdict(float)
         learned: dict = defaultdict(float)
         for batch in batches:
-            for s, left, run, right, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, left, run, right, n, entry in zip(*(c.to_pylist() for c in batch.columns)):
+                known = None if first else {e["x"]: e["w"] for e in entry or ()}
                 rest = 1.0
                 if model is not None and "�" not in run:
                     odds = [(k, d, model.weight(s, k) * math.exp(min(60.0, g))) for k, d, g in model.gains(left, run, right)]
-                    table = [(x, w * math.exp(min(60.0, g))) for x, w, g in model.letters(s, left, run, right)]
+                    table = [(x, w * math.exp(min(60.0, g))) for x, w, g in model.letters(s, left, run, right, known)]
                     total = 1.0 + sum(o for *_, o in odds) + sum(o for _, o in table)
                     rest = 1.0 / total
                     for k, d, o in odds:
@@ -377,57 +415,62 @@ def _expect(model: Model | None):
     return work
 
 
-def _table(entries: list) -> dict[tuple[str, str], dict[str, float]]:
-    """The M step of the table: a letter's share in a run's occurrences in a source, drawn towards that over all sources."""
-    here: dict = defaultdict(dict)
-    for r in entries:
-        here[tuple(r.a.split("\t", 1))][r.b] = r.w
-    every: dict = defaultdict(lambda: defaultdict(float))
-    for (_, run), x in here.items():
-        for b, w in x.items():
-            every[run][b] += w
-    out = {}
-    for (s, run), x in here.items():
-        n, of = x.get("all", 0.0), every[run]
-        if n and of["contexts"] >= LEARNED_CONTEXTS:
-            out[s, run] = {b: w for b in of if b not in ("all", "contexts") and (w := (x.get(b, 0.0) + 2 * of[b] / of["all"]) / (n + 2)) > 1e-3}
-    return out
+def _table(stats: DataFrame) -> DataFrame:
+    """The M step of the table, ``(source, run, entry)``: a letter's share in a run's occurrences in a source, drawn towards that over all
+    sources. A run has an entry for each letter at most."""
+    t = stats.filter("kind = 't'").select(F.expr("substring(a, 1, instr(a, '\t') - 1)").alias("source"), F.expr("substring(a, instr(a, '\t') + 1)").alias("run"), F.col("b").alias("x"), "w")
+    every = t.groupBy("run", "x").agg(F.sum("w").alias("e"))
+    whole = every.groupBy("run").agg(F.max(F.when(F.col("x") == "all", F.col("e"))).alias("all"), F.max(F.when(F.col("x") == "contexts", F.col("e"))).alias("contexts"))
+    letters = every.filter("x not in ('all', 'contexts')").join(whole.filter(F.col("contexts") >= LEARNED_CONTEXTS), "run").select("run", "x", (F.col("e") / F.col("all")).alias("share"))
+    here = t.filter("x = 'all'").select("source", "run", F.col("w").alias("n")).join(letters, "run").join(t, ["source", "run", "x"], "left")
+    w = here.withColumn("w", (F.coalesce("w", F.lit(0.0)) + 2 * F.col("share")) / (F.col("n") + 2)).filter("w > 1e-3")
+    return w.groupBy("source", "run").agg(F.array_sort(F.collect_list(F.struct("x", "w"))).alias("entry"))
+
+
+def source_key(source: str | None) -> Column:
+    """A source without case and surrounding blanks, as a hash."""
+    return F.lit("") if source is None else F.xxhash64(F.lower(F.trim(F.coalesce(F.col(source).cast("string"), F.lit(""))))).cast("string")
 
 
-def learn(docs: DataFrame, text: str, source: str | None, stage: Stage, rounds: int = EM_ROUNDS) -> Model:
-    """Fit bigrams and cipher weights over all runs of non-ASCII characters of the corpus. What reaches the driver
-    is at most the square of the symbol alphabet plus ciphers times SOURCE_BUCKETS numbers, and LEARNED_ENTRIES of the table."""
-    src = F.lit("") if source is None else F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(F.col(source).cast("string"), F.lit(""))))), F.lit(SOURCE_BUCKETS)).cast("string")
-    some = docs.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(src.alias("source"), F.col(text).alias("text"))
+def learn(docs: DataFrame, text: str, source: str | None, stage: Stage, rounds: int = EM_ROUNDS) -> Broadcast:
+    """Fit bigrams, cipher weights and tables over all runs of non-ASCII characters of the corpus. What reaches the driver is at
+    most the square of the symbol alphabet, the ciphers that explain runs of each source, and at the end the table's sure entries."""
+    spark = docs.sparkSession
+    some = docs.filter(F.col(text).rlike(r"[^\x00-\x7F]")).select(source_key(source).alias("source"), F.col(text).alias("text"))
     runs = some.mapInArrow(_extract, _RUNS).groupBy("source", "l", "run", "r").agg(F.sum("n").alias("n"))
     runs = stage.put(runs, "runs")
-    model = None
-    for _ in range(rounds + 1):
-        stats = stage.put(runs.mapInArrow(_expect(model), _STATS).groupBy("kind", "a", "b").agg(F.sum("w").alias("w")), "stats")
+    none = F.lit(None).cast("array<struct<x:string,w:double>>").alias("entry")
+    given, shared, table = runs.select("*", none), spark.sparkContext.broadcast(None), None
+    for step in range(rounds + 1):
+        stats = stage.put(given.mapInArrow(_expect(shared, step < 2), _STATS).groupBy("kind", "a", "b").agg(F.sum("w").alias("w")), "stats")
         got = stats.filter("kind <> 't'").collect()
-        entries = stats.filter("kind = 't'").orderBy(F.desc("w"), "a", "b").limit(LEARNED_ENTRIES).collect() if model is not None else []
-        stage.drop(stats)
         pairs = {(r.a, r.b): r.w for r in got if r.kind == "p"}
-        weights = {}
-        table = None if model is None else _table(entries)
-        if model is not None:
-            # a cipher's weight in a source, drawn towards its weight over all sources
-            every: dict = defaultdict(float)
-            total = sum(r.w for r in got if r.kind == "c" and r.b == "all") or 1.0
-            for r in got:
-                if r.kind == "c" and r.b != "all":
-                    every[int(r.b)] += r.w
-            mine = {r.a: r.w for r in got if r.kind == "c" and r.b == "all"}
-            hits = {(r.a, int(r.b)): r.w for r in got if r.kind == "c" and r.b != "all"}
-            for s, n in mine.items():
-                for k in range(len(ciphers())):
-                    base = (every[k] + 100 * PRIOR) / (total + 100)
-                    weights[s, k] = max((hits.get((s, k), 0.0) + 200 * base) / (n + 200), PRIOR / 4)
-        model = Model(pairs, weights, table)
-    if model.table:
-        model.table = {u: x for u, x in model.table.items() if max(x.values()) >= LEARNED_WEIGHT}
+        seen = {r.a: r.w for r in got if r.kind == "c" and r.b == "all"}
+        hits = {(r.a, int(r.b)): r.w for r in got if r.kind == "c" and r.b != "all"}
+        if len(seen) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources; a coarser column is needed")
+        base: dict = {}
+        if step:
+            total, every = sum(seen.values()) or 1.0, defaultdict(float)
+            for (_, k), w in hits.items():
+                every[k] += w
+            base = {k: (every[k] + 100 * PRIOR) / (total + 100) for k in range(len(ciphers()))}
+            if not stats.filter("kind = 't'").isEmpty():
+                table = stage.put(_table(stats), "table")
+            else:
+                table = None
+            given = runs.join(table, ["source", "run"], "left").select("source", "l", "run", "r", "n", "entry") if table is not None else runs.select("*", none)
+        parts = (uuid.uuid4().hex, pairs, base, seen, hits)
+        shared = spark.sparkContext.broadcast(parts)
+        stage.drop(stats)
+    if table is not None:
+        best = F.array_max(F.transform("entry", lambda e: F.struct(e["w"].alias("w"), e["x"].alias("x"))))
+        sure = table.select("source", "run", best.alias("b")).filter(F.col("b.w") >= LEARNED_WEIGHT).select("source", "run", "b.x").limit(MAX_LEARNED + 1).collect()
+        if len(sure) > MAX_LEARNED:
+            raise ValueError(f"more than {MAX_LEARNED} learned entries; a coarser source column is needed")
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *parts[1:], {(r.source, r.run): r.x for r in sure}))
     stage.drop(runs)
-    return model
+    return shared
 
 
 def _unbyte(body: str) -> str | None:
@@ -491,8 +534,9 @@ def judge(text: str, source: str, model: Model) -> tuple[str, str | None, bool]
 _OUT = "row_id long, kind string, restored string, complete boolean"
 
 
-def _judge_all(model: Model):
+def _judge_all(shared: Broadcast):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared)
         for batch in batches:
             ids, src, texts = (batch.column(i).to_pylist() for i in range(3))
             rows = [(i, *v) for i, s, t in zip(ids, src, texts) if (v := judge(t, s, model)) is not None]
@@ -508,8 +552,7 @@ def repair_encoding(docs: DataFrame, id_col: str, text_col: str, source_col: str
     """``(row_id, kind, restored, complete)`` of each damaged row: how it was damaged, its text with the damage
     undone as far as it can be, and whether that is all of it. Rows without damage give no row."""
     stage = Stage(docs.sparkSession, "encoding")
-    model = learn(docs, text_col, source_col, stage)
+    shared = learn(docs, text_col, source_col, stage)
     t = F.col(text_col)
-    src: Column = F.lit("") if source_col is None else F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(F.col(source_col).cast("string"), F.lit(""))))), F.lit(SOURCE_BUCKETS)).cast("string")
-    some = docs.filter(t.rlike(r"[^\x00-\x7F]") | t.rlike(BYTES_JAVA)).select(F.col(id_col).cast("long").alias("row_id"), src.alias("source"), t.alias("text"))
-    return some.mapInArrow(_judge_all(model), _OUT)
+    some = docs.filter(t.rlike(r"[^\x00-\x7F]") | t.rlike(BYTES_JAVA)).select(F.col(id_col).cast("long").alias("row_id"), source_key(source_col).alias("source"), t.alias("text"))
+    return some.mapInArrow(_judge_all(shared), _OUT)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from corpuslab.llm import encoding
@@ -105,3 +107,50 @@ def test_five_turns(spark):
         text = text.encode("utf-8").decode("latin_1")
     r = found(corpus(spark, [text]))[1000]
     assert r.restored == CLEAN[3] and r.complete
+
+
+SENTENCES = {
+    "zh": "我向银行提交了报告和账户材料，但是三个月以来没有人给我任何答复。",
+    "ja": "銀行に何度も電話をしましたが、誰も請求書について説明してくれませんでした。",
+    "th": "ฉันโทรไปที่ธนาคารหลายครั้งแล้วแต่ไม่มีใครอธิบายค่าธรรมเนียมให้ฉันฟังเลย",
+}
+
+
+def misread(text, page):
+    out = text.encode("utf-8").decode(page, "surrogateescape")
+    return "".join(c if not 0xDC80 <= ord(c) < 0xDD00 else chr(ord(c) - 0xDC00) for c in out)
+
+
+def test_scripts_without_blanks_come_back_whole(spark):
+    pages = ("latin_1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r")
+    want = [((t * 20)[:n], p) for t in SENTENCES.values() for n in (30, 64, 170, 500) for p in pages]
+    clean = [(5000 + i, t, "Web") for i, t in enumerate(list(SENTENCES.values()) * 20)]
+    rows = [(i, misread(t, p), "Web") for i, (t, p) in enumerate(want)]
+    got = found(spark.createDataFrame(clean + rows, "row_id long, t string, src string"))
+    assert set(got) == set(range(len(want)))
+    assert [want[i] for i in got if got[i].restored != want[i][0]] == []
+    assert all(r.complete for r in got.values())
+
+
+def test_permuted_page_by_source(spark):
+    """Two sources with tables of their own, permutations of the accented letters' places that no page has."""
+    rng = random.Random(11)
+    letters = "áéíóúñü"
+    words = "está más rápido allí también perdió cerró llamó dañó año señor señora pequeño compañía país día aquí único número último según después inglés café bebé pagué vergüenza bilingüe pingüino".split()
+    pages = {src: dict(zip(map(ord, letters), rng.sample([chr(c) for c in range(first, first + 40)], len(letters)))) for src, first in (("Fax", 0x16A0), ("Post", 0x13A0))}
+    clean = [(i, f"El {w} de la carta {i}.", "Web") for i, w in enumerate(words * 12)]
+    want = {(k + 1) * 1000 + i: f"El {w} y el {words[i * 7 % len(words)]} de la carta." for k in range(2) for i, w in enumerate(words)}
+    bad = [(i, t.translate(pages["Fax" if i < 2000 else "Post"]), "Fax" if i < 2000 else "Post") for i, t in want.items()]
+    got = found(spark.createDataFrame(clean + bad, "row_id long, t string, src string"))
+    assert not any(i < 1000 for i in got)
+    right = sum(i in got and got[i].restored == t for i, t in want.items())
+    assert right >= 0.8 * len(want)
+    # what came out whole and is called complete is right
+    assert all(r.restored == want[i] for i, r in got.items() if r.complete)
+
+
+def test_too_many_sources_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "MAX_SOURCES", 2)
+    df = spark.createDataFrame([(i, "café", f"s{i}") for i in range(5)], "row_id long, t string, src string")
+    with pytest.raises(ValueError, match="sources"):
+        repair_encoding(df, "row_id", "t", "src")
