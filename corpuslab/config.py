@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import platform
 import subprocess
 import sys
@@ -45,6 +46,53 @@ class CorpusConfig:
             raise ValueError("learning_rate must be positive")
 
 
+#: Kinds of embedding layers.
+EMBEDDINGS = ("random", "glove")
+
+
+@dataclass(frozen=True)
+class RecurrentConfig:
+    """Settings of a recurrent model whose predictions are evaluated here. All that is wrong with them is one error."""
+
+    experiment: str
+    vocab_size: int
+    output_classes: int
+    classes: int
+    embedding_dim: int = 100
+    max_len: int = 128
+    units: int = 64
+    embedding: str = "random"
+    learning_rate: float = 1e-3
+    layers: int = 1
+    dropouts: tuple[float, ...] = ()
+    experiments: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        errors = [f"{k} must be positive" for k in ("vocab_size", "embedding_dim", "max_len", "units", "learning_rate") if getattr(self, k) <= 0]
+        if self.experiments and self.experiment not in self.experiments:
+            errors.append(f"experiment {self.experiment} is none of {self.experiments}")
+        if self.output_classes != self.classes:
+            errors.append(f"output_classes must be {self.classes}")
+        if self.embedding not in EMBEDDINGS:
+            errors.append(f"embedding must be one of {EMBEDDINGS}")
+        if not 1 <= self.layers <= 3:
+            errors.append("layers must be 1 to 3")
+        if not all(0 <= d < 1 for d in self.dropouts):
+            errors.append("dropouts must be in [0, 1)")
+        if errors:
+            raise ValueError("; ".join(errors))
+
+
+def run_id(experiment: str, seed: int, at: datetime | None = None) -> str:
+    """Experiment, seed and time in UTC to the second."""
+    return f"{experiment}_seed{seed}_{(at or datetime.now(timezone.utc)).astimezone(timezone.utc):%Y%m%dT%H%M%SZ}"
+
+
+def duration_s(started: str, ended: str) -> float:
+    """Seconds between two times in ISO form."""
+    return round((datetime.fromisoformat(ended) - datetime.fromisoformat(started)).total_seconds(), 2)
+
+
 def from_document(d: dict) -> CorpusConfig:
     if missing := [s for s in SECTIONS if s not in d]:
         raise ValueError(f"missing sections: {missing}")
@@ -92,6 +140,9 @@ def environment(spark: SparkSession) -> dict:
         "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "git_commit": git("rev-parse", "HEAD"),
         "git_dirty": None if dirty is None else bool(dirty),
+        "cpus": os.cpu_count(),
+        "master": spark.sparkContext.master,
+        "settings": dict(spark.sparkContext.getConf().getAll()),
         "packages": {p: version(p) for p in ("pyspark", "pyarrow", "pandas", "numpy")},
     }
 

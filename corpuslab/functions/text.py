@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,12 +77,18 @@ def excerpt(t: Column, n: int = 180) -> Column:
     return F.substring(mask_pii(t), 1, n)
 
 
-def strip_accents(t: Column) -> Column:
-    """Latin letters with accents as plain letters, by a table that follows from Unicode decompositions."""
-    import unicodedata
+@functools.lru_cache(1)
+def accents() -> tuple[str, str]:
+    """Characters below U+3000 that Unicode decomposes into one character with or without accents, and these characters; after them
+    the combining accents themselves, which stand for nothing."""
+    of = {c: d[0] for c in map(chr, range(0x80, 0x3000)) if (d := unicodedata.normalize("NFKD", c)) != c and not unicodedata.combining(d[0]) and all(map(unicodedata.combining, d[1:]))}
+    marks = "".join(c for c in map(chr, range(0x80, 0x3000)) if unicodedata.combining(c))
+    return "".join(of) + marks, "".join(of.values())
 
-    pairs = [(chr(i), d[0]) for i in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(i))) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
-    return F.translate(t, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+def strip_accents(t: Column) -> Column:
+    """Characters with accents as plain ones. Those that decompose into several characters, as ligatures, stay."""
+    return F.translate(t, *accents())
 
 
 def pad(seq: Column, n: int, padding: str = "pre", truncating: str = "post", value: int = 0) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.joins import attach
+
 
 def digest(c: Column) -> Column:
     """128 bits of a text; nulls are equal to one another."""
@@ -26,7 +28,8 @@ def duplicate_groups(df: DataFrame, text: str) -> DataFrame:
 def duplicate_flags(df: DataFrame, text: str, key: str) -> DataFrame:
     """``(key, copies, later)``: how many rows share the text, and whether the row is not the first of them."""
     g = df.groupBy(digest(F.col(text)).alias("_d")).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("_first"))
-    return df.select(key, digest(F.col(text)).alias("_d")).join(g, "_d").select(key, "copies", (F.col(key) > F.col("_first")).alias("later"))
+    d = df.select(key, digest(F.col(text)).alias("_d"))
+    return attach(d, g.withColumn("_n", F.col("copies")), ["_d"], "_n").select(key, "copies", (F.col(key) > F.col("_first")).alias("later"))
 
 
 def label_conflicts(df: DataFrame, text: str, label: str) -> DataFrame:

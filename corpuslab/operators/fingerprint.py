@@ -8,7 +8,7 @@ import struct
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,18 +16,36 @@ def row_digest(cols: list[str]):
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols]).cast("binary"), 256)
 
 
+#: Parts of 32 bits that a digest is summed in.
+PARTS = 8
+
+
+def sums(h: Column) -> list[Column]:
+    """Aggregates of hexadecimal SHA-256 digests: their number and the sum of each of their parts. They don't depend on order or
+    partitioning, repeated digests count as often as they stand, and those of two tables add up to those of their union."""
+    part = lambda i: F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    return [F.count(h).alias("_n"), *[F.coalesce(F.sum(part(i)), F.lit(0).cast("decimal(30,0)")).alias(f"_s{i}") for i in range(PARTS)]]
+
+
+def of_sums() -> Column:
+    """The digest of a multiset from its ``sums``."""
+    return F.sha2(F.concat_ws(",", F.col("_n").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(PARTS)]).cast("binary"), 256)
+
+
+def multiset_digests(df: DataFrame, h: Column, by: list[str]) -> DataFrame:
+    """``(by, n, sha256)``: number and digest of the rows of each group, in one aggregation with map-side combine."""
+    return df.groupBy(*by).agg(*sums(h)).select(*by, F.col("_n").alias("n"), of_sums().alias("sha256"))
+
+
 def content_digest(df: DataFrame, cols: list[str]) -> str:
-    """SHA-256 over the sorted row digests in hexadecimal: independent of row order and partitioning. Rows are hashed and
-    sorted on the executors, and the driver streams digests, a partition at a time, through one hash."""
-    h = hashlib.sha256()
-    for r in df.select(row_digest(cols).alias("h")).orderBy("h").toLocalIterator(prefetchPartitions=True):
-        h.update(r.h.encode())
-    return h.hexdigest()
+    """Digest of the rows as a multiset. Rows are hashed where they are; the driver gets one row."""
+    return multiset_digests(df, row_digest(cols), []).first().sha256
 
 
 def ordered_digest(df: DataFrame, id_col: str | None, cols: list[str], headers: list[str]) -> str:
     """SHA-256 over whole columns, one after the other: a header line, then each value and a line break, rows in the order
-    of their id as text. Streams through the driver once per column; for datasets of a size for that."""
+    of their id as text. This is the form of older manifests: it streams every value through the driver once per column, so it is only for
+datasets of a size for that, to check such a manifest."""
     h = hashlib.sha256()
     order = F.col(f"`{id_col}`").cast("string") if id_col else None
     for name, head in zip(([id_col] if id_col else []) + cols, headers):
@@ -39,7 +57,7 @@ def ordered_digest(df: DataFrame, id_col: str | None, cols: list[str], headers:
 
 
 def index_digest(ids: Iterator[int]) -> str:
-    """SHA-256 of 64-bit little-endian integers in the given order."""
+    """SHA-256 of 64-bit little-endian integers in the given order, the form of older manifests."""
     h = hashlib.sha256()
     for i in ids:
         h.update(struct.pack("<q", i))
@@ -76,9 +94,9 @@ def split(assigned: DataFrame, key: str, label: str, cols: list[str]) -> dict:
         s = out["splits"].setdefault(r["split"], {"rows": 0, "classes": {}})
         s["rows"] += r["n"]
         s["classes"][r[label]] = r["n"]
-    for name, s in out["splits"].items():
-        ids = assigned.filter(F.col("split") == name).select(F.col(key).cast("long").alias("k")).orderBy("k").toLocalIterator()
-        s["index_sha256"] = index_digest(r.k for r in ids)
+    for r in multiset_digests(assigned, row_digest([key]), ["split"]).collect():
+        out["splits"][r.split]["index_sha256"] = r.sha256
+    for s in out["splits"].values():
         s["classes"] = dict(sorted(s["classes"].items(), key=lambda x: str(x[0])))
     return out
 

@@ -39,10 +39,24 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame
 SMALL_BYTES = 16 << 20
 
 
+def text_bytes(df: DataFrame) -> int:
+    """Size of a table's values, written as text."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
 def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its values take at most ``limit`` bytes, written as text; otherwise as it is, for a shuffled
     join. It is written once, so that neither the measurement nor the join computes it again."""
     kept = Stage(df.sparkSession, "small").put(df)
-    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in kept.columns), F.lit(0))
-    n = kept.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(kept) if n <= limit else kept
+    return F.broadcast(kept) if text_bytes(kept) <= limit else kept
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, how: str = "inner", limit: int = SMALL_BYTES) -> DataFrame:
+    """Join with a dictionary: ``right`` is unique on ``keys`` and has in ``count_col`` how often a key stands in ``left``, or in what
+    ``left`` resembles. A dictionary of at most ``limit`` bytes is broadcast, a larger one joined by ``lookup``, so that frequent keys
+    are split."""
+    kept = Stage(right.sparkSession, "dictionary").put(right)
+    if text_bytes(kept) <= limit:
+        return left.join(F.broadcast(kept.drop(count_col)), keys, how)
+    return lookup(left, kept, keys, kept.agg(F.sum(count_col)).first()[0] or 0, count_col, how)

@@ -8,14 +8,15 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from corpuslab.functions import text as T
 from corpuslab.functions.labels import ranked_classes
 from corpuslab.operators import tfidf
-from corpuslab.operators.joins import small
+from corpuslab.operators.joins import attach
 from corpuslab.operators.vocab import ranked
 from corpuslab.session import Stage
 
@@ -23,17 +24,22 @@ from corpuslab.session import Stage
 MAX_FEATURES = 2_000_000
 
 
-def features(text):
-    """Terms and pairs of neighbouring terms."""
-    ts = T.terms(text)
-    return F.concat(ts, T.bigrams(ts))
+def features(text: Column, pairs: bool = True) -> Column:
+    """Terms without accents and, with ``pairs``, pairs of neighbouring terms."""
+    ts = T.terms(T.strip_accents(text))
+    return F.concat(ts, T.bigrams(ts)) if pairs else ts
 
 
 def _vectors(postings: DataFrame, index: DataFrame, docs: DataFrame, key: str, size: int) -> DataFrame:
-    rows = postings.join(small(index), "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("s"))
-    build = F.udf(lambda i, w: SparseVector(size, i or [], w or []), VectorUDT())
-    j = docs.join(rows, F.col(key) == F.col("doc"), "left").drop("doc")
-    return j.withColumn("features", build(F.transform("s", lambda x: x["idx"]), F.transform("s", lambda x: x["w"]))).drop("s")
+    """``docs`` with sparse vectors. They are written in the form in which a vector is stored and read back as such, so no row
+    passes through Python."""
+    rows = attach(postings.select("doc", "term", "w"), index, ["term"], "df").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("s"))
+    j = docs.join(rows, F.col(key) == F.col("doc"), "left").drop("doc").withColumn("s", F.coalesce("s", F.array().cast("array<struct<idx:int,w:double>>")))
+    parts = (F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform("s", lambda x: x["idx"]).alias("indices"), F.transform("s", lambda x: x["w"]).alias("values"))
+    stage = Stage(docs.sparkSession, "vectors")
+    kept = stage.put(j.select(*docs.columns, F.struct(*parts).alias("features")))
+    schema = StructType([f for f in kept.schema.fields if f.name != "features"] + [StructField("features", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(kept._stage_path)
 
 
 @dataclass
@@ -42,10 +48,16 @@ class TextClassifier:
     index: DataFrame
     size: int
     model: LogisticRegressionModel
+    pairs: bool = True
+
+    @property
+    def iterations(self) -> int:
+        """Iterations that the fit took."""
+        return self.model.summary.totalIterations
 
     def vectors(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """Features of documents, by the vocabulary as it was fitted."""
-        counts = tfidf.term_counts(docs.select(key, features(F.col(text)).alias("ts")), key, "ts")
+        counts = tfidf.term_counts(docs.select(key, features(F.col(text), self.pairs).alias("ts")), key, "ts")
         return _vectors(tfidf.weigh(counts, self.vocabulary), self.index, docs, key, self.size)
 
     def predict(self, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,22 +78,23 @@ class TextClassifier:
         m = self.model.coefficientMatrix.toArray()
         best = [(int(c), r + 1, int(i), float(m[c, i])) for c in range(m.shape[0]) for r, i in enumerate(np.argsort(-m[c], kind="stable")[:k])]
         top = spark.createDataFrame(best, "class_id int, rank int, idx int, coef double")
-        return self.index.join(F.broadcast(top), "idx").select("class_id", "rank", "term", "coef")
+        return self.index.drop("df").join(F.broadcast(top), "idx").select("class_id", "rank", "term", "coef")
 
 
-def fit_text_classifier(train: DataFrame, key: str, text: str, label: str, min_df: int = 2, max_df: float = 0.95, c: float = 1.0, max_iter: int = 50) -> TextClassifier:
-    """Vocabulary, weights and coefficients from the training rows alone."""
+def fit_text_classifier(train: DataFrame, key: str, text: str, label: str, min_df: int = 2, max_df: float = 0.95, c: float = 1.0, max_iter: int = 1000, pairs: bool = True, max_features: int | None = None) -> TextClassifier:
+    """Vocabulary, weights and coefficients from the training rows alone. ``pairs``: pairs of terms are features as well; ``max_features``:
+    the most frequent features alone. The fit ends at its tolerance or after ``max_iter`` iterations (``TextClassifier.iterations``)."""
     stage = Stage(train.sparkSession, "classifier")
     n = train.count()
-    counts = stage.put(tfidf.term_counts(train.select(key, features(F.col(text)).alias("ts")), key, "ts"), "counts")
-    vocabulary = stage.put(tfidf.fit(counts, n, min_df, max_df), "vocabulary")
+    counts = stage.put(tfidf.term_counts(train.select(key, features(F.col(text), pairs).alias("ts")), key, "ts"), "counts")
+    vocabulary = stage.put(tfidf.fit(counts, n, min_df, max_df, max_features), "vocabulary")
     size = vocabulary.count()
     if size > MAX_FEATURES:
         raise ValueError(f"{size} features; raise min_df")
-    index = stage.put(ranked(vocabulary.select("term"), [F.asc("term")]).select("term", (F.col("rank") - 1).cast("int").alias("idx")), "index")
-    x = stage.put(_vectors(tfidf.weigh(counts, vocabulary), index, train, key, size).select("features", F.col(label).cast("double").alias("label")), "vectors")
+    index = stage.put(ranked(vocabulary.select("term", "df"), [F.asc("term")]).select("term", "df", (F.col("rank") - 1).cast("int").alias("idx")), "index")
+    x = _vectors(tfidf.weigh(counts, vocabulary), index, train.select(key, F.col(label).cast("double").alias("label")), key, size)
     lr = LogisticRegression(family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
-    return TextClassifier(vocabulary, index, size, lr.fit(x))
+    return TextClassifier(vocabulary, index, size, lr.fit(x), pairs)
 
 
 def shape_probe(train: DataFrame, test: DataFrame, key: str, text: str, label: str, seed: int = 42) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
@@ -124,3 +124,31 @@ def traceability(df: DataFrame, dataset_version: str, checkpoints: DataFrame) ->
         )
     )
     return j.select("experiment", "seed", F.explode(errors).alias("error"))
+
+
+def tracked_comparison(df: DataFrame, order: list[str] = [e for e in LADDER if e not in ("M5", "M6")], descriptions: dict[str, str] | None = None) -> DataFrame:
+    """One formatted row per model of the second registry, by validation scores, in the given order. Differences are to the model before in
+    that order and to the first, and bear a plus only above zero."""
+    places = spark_map({m: i for i, m in enumerate(order)})
+    v = df.withColumn("ord", places[F.col("model_name")]).filter("ord is not null")
+    s = v.groupBy("ord", "model_name").agg(
+        F.avg("best_val_macro_f1").alias("f"), F.stddev_samp("best_val_macro_f1").alias("fs"), F.avg("val_accuracy").alias("a"), F.stddev_samp("val_accuracy").alias("as"), F.count(F.lit(1)).alias("runs")
+    )
+    s = s.filter("f is not null")
+    w = Window.orderBy("ord")  # one row per model
+    s = s.withColumn("p", F.when(F.lag("ord").over(w) == F.col("ord") - 1, F.lag("f").over(w))).withColumn("b", F.max(F.when(F.col("ord") == 0, F.col("f"))).over(Window.partitionBy()))
+    shown = lambda m, d: F.when(F.col(m).isNull(), "—").when(F.col("runs") > 1, F.concat(F.format_string("%.4f", m), F.lit(" ± "), F.format_string("%.4f", F.coalesce(d, F.lit(0.0))))).otherwise(F.format_string("%.4f", m))
+    diff = lambda c: F.when((F.col("ord") == 0) | F.col(c).isNull(), "—").otherwise(F.concat(F.when(F.col("f") > F.col(c), "+").otherwise(""), F.format_string("%.4f", F.col("f") - F.col(c))))
+    name = spark_map(descriptions or {"": ""})[F.col("model_name")]
+    return s.select("ord", F.col("model_name").alias("model"), F.coalesce(name, F.lit("")).alias("configuration"), shown("f", F.col("fs")).alias("macro_f1"), shown("a", F.col("as")).alias("accuracy"), diff("p").alias("vs_previous"), diff("b").alias("vs_baseline"))
+
+
+def spark_map(d: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
+def parameter_counts(weights: DataFrame) -> DataFrame:
+    """``(trainable, non_trainable, total)`` parameters of weights with a ``shape`` (array) and whether they are ``trainable``."""
+    n = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x.cast("long"))
+    one = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("long"))
+    return weights.agg(one(F.col("trainable")).alias("trainable"), one(~F.col("trainable")).alias("non_trainable"), one(F.lit(True)).alias("total"))

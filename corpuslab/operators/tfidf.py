@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.components import connected_components
-from corpuslab.operators.joins import small
+from corpuslab.operators.joins import attach, small
 from corpuslab.session import Stage
 
 
@@ -18,17 +18,21 @@ def term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit(counts: DataFrame, n: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """``(term, df, idf)`` of the terms within the limits."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+def fit(counts: DataFrame, n: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """``(term, df, idf)`` of the terms within the limits, of these the ``max_features`` that occur most."""
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_tf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    if max_features:
+        df = df.orderBy(F.desc("_tf"), "term").limit(max_features)
+    df = df.drop("_tf")
     return df.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
 def weigh(counts: DataFrame, model: DataFrame) -> DataFrame:
-    """Normalised postings of documents by a fitted model; unknown terms are dropped."""
-    raw = counts.join(model, "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+    """Normalised postings of documents by a fitted model; unknown terms are dropped. Frequent terms are split (see ``attach``), and
+    the norm is taken over a document's own terms."""
+    raw = attach(counts, model.withColumn("_n", F.col("df")), ["term"], "_n").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", "df", (F.col("w") / norm).alias("w"))
 
 
 #: Terms in more documents than this are frequent; the join over the others has at most RARE / 2 rows per posting.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators.joins import small
+from corpuslab.operators.joins import attach
 from corpuslab.session import Stage
 
 
@@ -47,7 +47,7 @@ def to_sequences(df: DataFrame, key: str, words: str, index: DataFrame, cap: int
     """``(key, seq)`` of every document, empty ones included. Words beyond the cap or unknown become 1, or are dropped
     without an out-of-vocabulary token."""
     known = index.filter(F.col("idx") < cap) if cap else index
-    hit = exploded(df, key, words).join(small(known.select("word", "idx")), "word", "left")
+    hit = attach(exploded(df, key, words), known.select("word", "idx", F.col("n") if "n" in known.columns else F.lit(1).alias("n")), ["word"], "n", "left")
     hit = hit.withColumn("idx", F.coalesce("idx", F.lit(1 if oov else None).cast("int"))).filter("idx is not null")
     seq = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_s")).select(key, F.transform("_s", lambda x: x["idx"]).alias("seq"))
     return df.select(key).join(seq, key, "left").select(key, F.coalesce("seq", F.array().cast("array<int>")).alias("seq"))

@@ -22,6 +22,10 @@ x as (select d.row_id, d.text, l.label, l.class_id, l.short_name from d join l o
 w as (select row_id, label, class_id, list_filter(string_split(translate(lower(text), '!"#$%&()*+,-./:;<=>?@[\]^_`{|}~' || chr(9) || chr(10), repeat(' ', 34)), ' '), lambda q: q <> '') as words from x)"""
 
 
+#: The digest of a multiset of digests h (see ``operators.fingerprint``), in SQL.
+MULTISET = "sha256(concat_ws(',', count(h)::varchar, " + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint)::varchar" for i in range(8)) + "))"
+
+
 def query(sql: str | None = None, views: bool = True):
     """Register a query under its function's name, with its SQL over the views."""
 

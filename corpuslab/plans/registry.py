@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslab.operators import dynamics, evaluate, fingerprint, runs
-from corpuslab.plans.core import complaints, query, table
+from corpuslab.plans.core import MULTISET, complaints, query, table
 
 _LAST = "with r as (select * from run_registry qualify row_number() over (partition by experiment, seed order by logged_at desc) = 1)"
 _ORD = ", lad as (select * from (values ('M0', 0, null), ('M1', 1, 'M0'), ('M2', 2, 'M1'), ('M3', 3, 'M2'), ('M4', 4, 'M3'), ('M5', 5, 'M4'), ('M6', 6, 'M5'), ('D0', 7, 'M6')) t(experiment, ord, predecessor)), m as (select experiment, avg(macro_f1) as mean, stddev_samp(macro_f1) as std, count(macro_f1) as n, max(macro_f1) - min(macro_f1) as spread from r where not isnan(macro_f1) group by 1)"
@@ -82,6 +82,21 @@ def comparison_table(spark, sf_dir):
     return runs.comparison(_runs(spark, sf_dir))
 
 
+@query(
+    _LAST
+    + """, lad as (select * from (values ('M0', 0), ('M1', 1), ('M2', 2), ('M3', 3), ('M4', 4), ('D0', 5)) t(model, ord)), s as (select ord, model, avg(f) as f, stddev_samp(f) as fs, avg(a) as a, stddev_samp(a) as ds, count(*) as runs from (select experiment as model, case when not isnan(macro_f1) then macro_f1 end as f, case when not isnan(accuracy) then accuracy end as a from r) join lad using (model) group by 1, 2 having avg(f) is not null),
+x as (select s.*, p.f as p, (select f from s where ord = 0) as b from s left join s p on p.ord = s.ord - 1)
+select ord, model, '' as configuration, case when runs > 1 then printf('%.4f ± %.4f', f, coalesce(fs, 0)) else printf('%.4f', f) end as macro_f1, case when a is null then '—' when runs > 1 then printf('%.4f ± %.4f', a, coalesce(ds, 0)) else printf('%.4f', a) end as accuracy,
+case when ord = 0 or p is null then '—' else (case when f > p then '+' else '' end) || printf('%.4f', f - p) end as vs_previous, case when ord = 0 or b is null then '—' else (case when f > b then '+' else '' end) || printf('%.4f', f - b) end as vs_baseline from x""",
+    views=False,
+)
+def tracked_comparison(spark, sf_dir):
+    """The comparison of the second registry, with the scores of this one."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    r = _runs(spark, sf_dir).select(F.concat_ws("-", "experiment", "seed").alias("run_id"), F.col("experiment").alias("model_name"), "seed", number("accuracy").alias("val_accuracy"), number("macro_f1").alias("best_val_macro_f1"))
+    return runs.tracked_comparison(r)
+
+
 @query("with h as (select run, epoch, max(val_macro_f1) as v, max(learning_rate) as lr from epoch_history group by all) select run, epoch as best_epoch, round(v, 9) as best from h where v is not null qualify row_number() over (partition by run order by v desc, epoch) = 1", views=False)
 def best_epoch(spark, sf_dir):
     return dynamics.best_epoch(dynamics.clean(table(spark, sf_dir, "epoch_history"))).withColumn("best", F.round("best", 9))
@@ -112,7 +127,9 @@ def plateau_schedule(spark, sf_dir):
 
 @query(
     """, p as (select "Product" as product, count(*) as n from c group by 1) select count(*) as "rows", count(distinct text) as unique_texts, count(*) - count(distinct text) as duplicate_texts, count(*) filter (text is null) as null_texts, (select count(*) from p) as labels,
-(select sha256(string_agg(h, '' order by h)) from (select sha256(concat_ws(chr(31), coalesce("Complaint ID", ''), coalesce(text, ''), coalesce("Product", ''), row_id::varchar)) as h from c)) as content_sha256 from c"""
+(select """
+    + MULTISET
+    + """ from (select sha256(concat_ws(chr(31), coalesce("Complaint ID", ''), coalesce(text, ''), coalesce("Product", ''), row_id::varchar)) as h from c)) as content_sha256 from c"""
 )
 def dataset_fingerprint(spark, sf_dir):
     c = complaints(spark, sf_dir)

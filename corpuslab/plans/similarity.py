@@ -11,7 +11,8 @@ from corpuslab.plans.core import first_rows, labelled, query, table
 
 THRESHOLD = 0.7
 
-_P = r""", tc as (select row_id as doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from d),
+_BARE = "lower(translate(text, '{}', '{}'))".format(*T.accents())
+_P = rf""", tc as (select row_id as doc, unnest(regexp_extract_all({_BARE}, '[\p{{L}}\p{{N}}_]{{2,}}')) as term from d),
 tf as (select doc, term, count(*) as tf from tc group by 1, 2), nn as (select count(*) as n from d),
 df as (select term, count(*) as df from tf group by 1 having count(*) >= 3),
 wt as (select doc, term, (1 + ln(tf)) * (ln((1.0::double + n) / (1.0::double + df)) + 1) as w from tf join df using (term), nn),
@@ -23,7 +24,7 @@ cl as (select n as row_id, min(r) as root from reach group by 1)"""
 
 def _postings(spark, sf_dir, min_df: int = 3):
     d = first_rows(spark, sf_dir)
-    counts = tfidf.term_counts(d.select("row_id", T.terms(F.col("text")).alias("ts")), "row_id", "ts")
+    counts = tfidf.term_counts(d.select("row_id", T.terms(T.strip_accents(F.col("text"))).alias("ts")), "row_id", "ts")
     return tfidf.weigh(counts, tfidf.fit(counts, d.count(), min_df))
 
 
@@ -56,7 +57,7 @@ def near_dup_clusters(spark, sf_dir):
 
 @query(
     _CL
-    + ", s as (select root, count(*) as n from cl group by 1) select count(*) as clusters, count(*) filter (n = 1) as singletons, count(*) filter (n > 1) as multi, coalesce(sum(n) filter (n > 1), 0)::bigint as multi_rows, round(100.0 * coalesce(sum(n) filter (n > 1), 0) / sum(n), 2) as multi_pct, round(quantile_cont(n, 0.99), 4) as p99, max(n) as largest from s"
+    + ", s as (select root, count(*) as n from cl group by 1) select count(*) as clusters, count(*) filter (n = 1) as singletons, count(*) filter (n > 1) as multi, coalesce(sum(n) filter (n > 1), 0)::bigint as multi_rows, round(100.0 * coalesce(sum(n) filter (n > 1), 0) / sum(n), 2) as multi_pct, floor(quantile_cont(n, 0.5) filter (n > 1))::bigint as median, floor(quantile_cont(n, 0.9) filter (n > 1))::bigint as p90, floor(quantile_cont(n, 0.95) filter (n > 1))::bigint as p95, floor(quantile_cont(n, 0.99) filter (n > 1))::bigint as p99, max(n) as largest from s"
 )
 def cluster_stats(spark, sf_dir):
     s = _clusters(spark, sf_dir).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
@@ -67,7 +68,7 @@ def cluster_stats(spark, sf_dir):
         F.count_if(F.col("n") > 1).alias("multi"),
         multi.alias("multi_rows"),
         F.round(100.0 * multi / F.sum("n"), 2).alias("multi_pct"),
-        F.round(F.percentile("n", F.lit(0.99)), 4).alias("p99"),
+        *[F.floor(F.percentile(F.when(F.col("n") > 1, F.col("n")), F.lit(q))).alias(k) for k, q in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))],
         F.max("n").alias("largest"),
     )
 
@@ -97,7 +98,7 @@ def near_dup_rate(spark, sf_dir):
     return a.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.round(100.0 * F.try_divide(f"t{i}", "n"), 4).alias("rate_pct")) for i, t in enumerate(ts)])).alias("x")).select("x.*")
 
 
-_BENCH = r""", bt as (select item_id as doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from benchmark where text is not null), btf as (select doc, term, count(*) as tf from bt group by 1, 2),
+_BENCH = rf""", bt as (select item_id as doc, unnest(regexp_extract_all({_BARE}, '[\p{{L}}\p{{N}}_]{{2,}}')) as term from benchmark where text is not null), btf as (select doc, term, count(*) as tf from bt group by 1, 2),
 bw as (select doc, term, (1 + ln(tf)) * (ln((1.0::double + n) / (1.0::double + df)) + 1) as w from btf join df using (term), nn), bp as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) as w from bw)"""
 
 
@@ -105,9 +106,9 @@ bw as (select doc, term, (1 + ln(tf)) * (ln((1.0::double + n) / (1.0::double + d
 def max_similarity_benchmark(spark, sf_dir):
     """Each held-out passage and its nearest complaint, by the model fitted on the complaints."""
     d = first_rows(spark, sf_dir)
-    counts = tfidf.term_counts(d.select("row_id", T.terms(F.col("text")).alias("ts")), "row_id", "ts")
+    counts = tfidf.term_counts(d.select("row_id", T.terms(T.strip_accents(F.col("text"))).alias("ts")), "row_id", "ts")
     model = tfidf.fit(counts, d.count(), 3)
-    b = table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", T.terms(F.col("text")).alias("ts"))
+    b = table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", T.terms(T.strip_accents(F.col("text"))).alias("ts"))
     q = tfidf.weigh(tfidf.term_counts(b, "item_id", "ts"), model)
     return tfidf.max_similarity(q, tfidf.weigh(counts, model)).select(F.col("doc").alias("item_id"), F.round("best", 6).alias("best"))
 
@@ -169,3 +170,36 @@ def similarity_bands(spark, sf_dir):
     by = ["experiment", "seed", "band"]
     m = evaluate.macro(evaluate.per_class(evaluate.confusion(e, by, 5), by), by)
     return m.select(*by, "n", F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query(
+    _PAIRS
+    + """, tst as (select distinct test_idx from predictions), near as (select q, max(cos) as best from (select a as q, b as o, cos from pairs union all select b, a, cos from pairs) where q in (from tst) and o not in (from tst) group by 1),
+p0 as (select * from predictions qualify row_number() over (partition by experiment, seed, test_idx order by logged_at desc, y_true desc, y_pred desc nulls last) = 1),
+e as (select p0.experiment, p0.seed, y_true, y_pred, threshold, coalesce(best, 0) >= threshold as hit from p0 join d on d.row_id = test_idx left join near on q = test_idx, (select unnest([0.8, 0.9, 0.95]::double[]) as threshold) where y_pred is not null),
+ids as (select unnest(range(5))::int as i), pc as (select experiment, seed, threshold, hit, i, count(*) filter (y_true = i) as s, count(*) filter (y_pred = i) as q, count(*) filter (y_true = i and y_pred = i) as tp from e, ids group by all),
+m as (select experiment, seed, threshold, hit, sum(s)::bigint as n, avg(2.0::double * tp / (s + q)) filter (s + q > 0) as f from pc group by all)
+select experiment, seed, threshold, coalesce(sum(n) filter (hit), 0)::bigint as contaminated, round(100.0 * coalesce(sum(n) filter (hit), 0) / sum(n), 2) as pct, round(max(f) filter (hit), 9) as f1_contaminated, round(max(f) filter (not hit), 9) as f1_clean from m group by all"""
+)
+def contamination_by_threshold(spark, sf_dir):
+    """Macro-F1 apart for test rows that have a near-duplicate among the rows outside the test set, by the cosine that counts as near."""
+    from corpuslab.operators import evaluate
+    from corpuslab.operators.joins import small
+
+    p = evaluate.latest(table(spark, sf_dir, "predictions"), ["experiment", "seed", "test_idx"], ["logged_at"])
+    test = small(p.select("test_idx").distinct())
+    x = _pairs(spark, sf_dir)
+    x = x.select(F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("b").alias("o")), F.struct(F.col("b").alias("q"), F.col("a").alias("o")))).alias("x"), "cos").select("x.*", "cos")
+    x = x.join(test, F.col("q") == F.col("test_idx"), "left_semi").join(test, F.col("o") == F.col("test_idx"), "left_anti")
+    best = x.groupBy(F.col("q").alias("test_idx")).agg(F.max("cos").alias("best"))
+    e = p.filter("y_pred is not null").join(first_rows(spark, sf_dir).select(F.col("row_id").alias("test_idx")), "test_idx").join(best, "test_idx", "left")
+    e = e.withColumn("threshold", F.explode(F.array(*map(F.lit, (0.8, 0.9, 0.95))))).withColumn("hit", F.coalesce("best", F.lit(0.0)) >= F.col("threshold"))
+    by = ["experiment", "seed", "threshold", "hit"]
+    m = evaluate.macro(evaluate.per_class(evaluate.confusion(e, by, 5), by), by)
+    n = F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0))
+    return m.groupBy("experiment", "seed", "threshold").agg(
+        n.alias("contaminated"),
+        F.round(100.0 * n / F.sum("n"), 2).alias("pct"),
+        F.round(F.max(F.when(F.col("hit"), F.col("macro_f1"))), 9).alias("f1_contaminated"),
+        F.round(F.max(F.when(~F.col("hit"), F.col("macro_f1"))), 9).alias("f1_clean"),
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators import model, split
-from corpuslab.plans.core import first_rows, labelled, query
+from corpuslab.operators import fingerprint, model, split
+from corpuslab.plans.core import MULTISET, first_rows, labelled, query
 from corpuslab.plans.similarity import _CL, _clusters
 from corpuslab.session import Stage
 from corpuslab.streaming import confusion, history
@@ -42,21 +43,12 @@ def split_leakage(spark, sf_dir):
     return split.leakage(rows.join(s.select("row_id", "split"), "row_id"), "text", "root")
 
 
-@query(_SP + "select split, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share, sha256(string_agg(row_id::varchar, ',' order by row_id)) as ids_sha256 from full_ group by 1")
+@query(_SP + f"select split, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share, {MULTISET} as ids_sha256 from (select split, sha256(row_id::varchar) as h from full_) group by 1")
 def split_fingerprint(spark, sf_dir):
-    """Size and digest of the ids of each split. Ids are streamed through one hash in their order."""
-    import hashlib
-
-    s = Stage(spark, "splitting").put(_assigned(spark, sf_dir)[1])
-    n = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
-    out = []
-    for name, k in n.items():
-        h = hashlib.sha256()
-        for i, r in enumerate(s.filter(F.col("split") == name).select("row_id").orderBy("row_id").toLocalIterator()):
-            h.update(f"{',' if i else ''}{r.row_id}".encode())
-        out.append((name, k, h.hexdigest()))
-    df = spark.createDataFrame(out, "split string, n long, ids_sha256 string")
-    return df.withColumn("share", F.round(F.col("n") / F.lit(sum(n.values())), 6))
+    """Size and digest of the ids of each split."""
+    d = fingerprint.multiset_digests(_assigned(spark, sf_dir)[1], fingerprint.row_digest(["row_id"]), ["split"])
+    total = F.sum("n").over(Window.partitionBy())  # one row per split
+    return d.select("split", "n", F.round(F.col("n") / total, 6).alias("share"), F.col("sha256").alias("ids_sha256"))
 
 
 _DEV = """, sn as (select split, count(*) as sn from full_ group by 1), ln as (select pkey, count(*) as ln from full_ group by 1), n as (select split, pkey, count(*) as n from full_ group by all), dv as (select sn.split, ln.pkey, coalesce(n, 0) / sn - ln / (select count(*) from full_) as deviation from sn cross join ln left join n on n.split = sn.split and n.pkey = ln.pkey)"""

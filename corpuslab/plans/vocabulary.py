@@ -104,11 +104,47 @@ def oov_rate(spark, sf_dir):
 @query(_I + _B + "select count(*) as vocab_size, count(*) filter (bw.word is not null) as matched, count(*) - count(*) filter (bw.word is not null) as unmatched, round(100.0 * count(*) filter (bw.word is not null) / count(*), 2) as matched_pct from i left join bw using (word) where idx < 2000")
 def embedding_coverage(spark, sf_dir):
     index = vocab.word_index(_counts(spark, sf_dir)).filter("idx < 2000")
-    vectors = _known(spark, sf_dir).withColumn("vec", F.array_repeat(F.lit(0.5).cast("float"), 4))
-    e = vocab.embedding_rows(index, vectors, 4)
+    e = vocab.embedding_rows(index, _word_vectors(spark, sf_dir), 4)
     return e.agg(F.count(F.lit(1)).alias("vocab_size"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"), F.round(100.0 * F.count_if("matched") / F.count(F.lit(1)), 2).alias("matched_pct"))
 
 
+def _word_vectors(spark, sf_dir):
+    """Vectors of the benchmark's words, four digits of their MD5 each."""
+    digit = lambda i: (F.conv(F.substring(F.md5(F.col("word").cast("binary")), i, 1), 16, 10).cast("int") / 16.0).cast("float")
+    return _known(spark, sf_dir).select("word", F.array(*[digit(i) for i in range(1, 5)]).alias("vec"))
+
+
+@query(_I + _B + "select idx::int as idx, word, list_transform([1, 2, 3, 4], lambda q: (('0x' || substr(md5(word), q, 1))::int / 16.0)::double) as vec from i join bw using (word) where idx < 2000")
+def embedding_matrix(spark, sf_dir):
+    """Rows of the embedding matrix that come from pretrained vectors."""
+    e = vocab.embedding_rows(vocab.word_index(_counts(spark, sf_dir)).filter("idx < 2000"), _word_vectors(spark, sf_dir), 4)
+    return e.filter("matched").select("idx", "word", F.col("vec").cast("array<double>").alias("vec"))
+
+
+@query(_S + ", lens as (select unnest([128, 256]) as max_len) select max_len, count(*) as n, count(*) filter (len(seq) >= max_len) as full_windows, round(100.0 * count(*) filter (len(seq) >= max_len) / count(*), 2) as full_pct, round(100.0 * count(*) filter (len(seq) > max_len) / count(*), 2) as truncated_pct from s, lens group by 1")
+def full_windows(spark, sf_dir):
+    """Rows whose mask is set throughout, a stand-in for truncation where only masks are kept, beside those that are truncated."""
+    s = texts_to_sequences(spark, sf_dir)
+    size = F.size("seq")
+    some = []
+    for n in (128, 256):
+        mask = F.aggregate(F.transform(T.pad(F.col("seq"), n, "post", "post"), lambda x: (x > 0).cast("int")), F.lit(0), lambda a, x: a + x)
+        some.append(F.struct(F.lit(n).alias("max_len"), (mask == n).alias("full"), (size > n).alias("cut")))
+    x = s.select(F.explode(F.array(*some)).alias("x")).select("x.*").groupBy("max_len").agg(F.count(F.lit(1)).alias("n"), F.count_if("full").alias("full_windows"), F.count_if("cut").alias("cut"))
+    return x.select("max_len", "n", "full_windows", F.round(100.0 * F.col("full_windows") / F.col("n"), 2).alias("full_pct"), F.round(100.0 * F.col("cut") / F.col("n"), 2).alias("truncated_pct"))
+
+
+@query(_V + _B + ", parts as (select part as word, sum(n) as n from (select unnest(list_filter(string_split(word, chr(39)), lambda q: len(q) > 0)) as part, n from v) group by 1), both_ as (select 'whole' as words, word, n from v union all select 'split at apostrophes', word, n from parts) select words, round(100.0 * count(*) filter (bw.word is not null) / count(*), 1) as type_pct, round(100.0 * coalesce(sum(n) filter (bw.word is not null), 0) / sum(n), 2) as token_pct from both_ left join bw using (word) group by 1")
+def apostrophe_coverage(spark, sf_dir):
+    """Coverage by known words as they are, and with words split at apostrophes."""
+    c = _counts(spark, sf_dir).select("word", "n")
+    parts = c.select(F.explode(F.filter(F.split("word", "'"), lambda p: p != "")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    both = c.withColumn("words", F.lit("whole")).unionByName(parts.withColumn("words", F.lit("split at apostrophes")))
+    j = both.join(_known(spark, sf_dir).withColumn("hit", F.lit(True)), "word", "left")
+    hit = F.col("hit").isNotNull()
+    return j.groupBy("words").agg(F.round(100.0 * F.count_if(hit) / F.count(F.lit(1)), 1).alias("type_pct"), F.round(100.0 * F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)) / F.sum("n"), 2).alias("token_pct"))
+
+
 _BI = ", g as (select row_id, label, list_transform(range(1, len(words)), lambda q: words[q] || ' ' || words[q + 1]) as gs from w), b as (select row_id, label, unnest(gs) as gram from g)"
 
 
@@ -119,13 +155,14 @@ def bigrams_df(spark, sf_dir):
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).filter("docs >= 20")
 
 
-_LN = ", t as (select row_id, label, unnest(words) as word from w), keep as (select word from t group by 1 having count(distinct row_id) >= 20), n as (select label, word, count(*) as n from t semi join keep using (word) group by 1, 2)"
+_LN = ", t as (select row_id, label, unnest(words) as word from w), keep as (select word from t group by 1 having count(distinct row_id) >= 20 order by count(*) desc, word limit 30000), n as (select label, word, count(*) as n from t semi join keep using (word) group by 1, 2)"
 
 
 def _class_counts(spark, sf_dir):
     per = vocab.exploded(words(spark, sf_dir).withColumn("k", F.struct("row_id", "label")), "k", "words").groupBy(F.col("k.row_id").alias("row_id"), F.col("k.label").alias("label"), "word").agg(F.count(F.lit(1)).alias("n"))
-    keep = per.groupBy("word").agg(F.count(F.lit(1)).alias("docs")).filter("docs >= 20").select("word")
-    return per.groupBy("label", "word").agg(F.sum("n").alias("n")).join(keep, "word", "left_semi")
+    keep = per.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("k")).filter("docs >= 20")
+    keep = keep.orderBy(F.desc("k"), "word").limit(30_000).select("word")  # the feature limit of the bag of words
+    return per.groupBy("label", "word").agg(F.sum("n").alias("n")).join(F.broadcast(keep), "word", "left_semi")
 
 
 @query(

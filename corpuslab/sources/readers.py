@@ -29,6 +29,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, multiline: bool
     return spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').csv(path)
 
 
+def read_tracked_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The second registry, one row per run_id."""
+    return read_csv(spark, path, schemas.TRACKED_RUNS)
+
+
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """Checkpoint records, one JSON document per file."""
+    return read_json(spark, path, schemas.CHECKPOINT)
+
+
 def combine_csv(spark: SparkSession, folder: str, schema: StructType = schemas.RAW_COMPLAINTS) -> DataFrame:
     """All CSV files of a folder under one another, with ``row_id`` by file name and then place in the file. Within a file,
     which a multi-line reader can't divide, the place follows from the order in which its rows are read; only the

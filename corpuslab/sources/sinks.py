@@ -54,15 +54,15 @@ class Registry:
         v = self.version()
         return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
 
-    def upsert(self, rows: DataFrame) -> DataFrame:
-        """Put rows in place of those with their keys, and return the new version. Of rows with one key in one call the
-        last logged counts."""
+    def upsert(self, rows: DataFrame, validate: bool = False) -> DataFrame:
+        """Put rows in place of those with their keys, and return the new version, with ``validate`` only if it is valid. Of rows with one
+        key in one call the last logged counts."""
         old = self.read()
         new = runs.newest(rows, tuple(self.keys)).select(rows.columns) if "logged_at" in rows.columns else rows.dropDuplicates(self.keys)
         full = runs.upsert(old, new, self.keys) if old is not None else new
         target = f"{self.path}/v{self.version() + 1}"
         full.write.mode("overwrite").parquet(target)
-        return self.spark.read.parquet(target)
+        return self.validated() if validate else self.spark.read.parquet(target)
 
     def validated(self) -> DataFrame:
         """The registry, if its columns are complete and no rule is violated."""
@@ -71,8 +71,8 @@ class Registry:
             raise FileNotFoundError(self.path)
         if missing := runs.missing_columns(df):
             raise ValueError(f"missing columns: {missing}")
-        errors = [f"{r.experiment}/{r.seed}: {r.error}" for r in runs.validate(df).orderBy("experiment", "seed", "error").limit(100).collect()]
-        dup = [f"{r.experiment}/{r.seed}: {r.n} rows" for r in runs.duplicate_keys(df).limit(100).collect()]
+        errors = [f"{r.experiment}/{r.seed}: {r.error}" for r in runs.validate(df).orderBy("experiment", "seed", "error").collect()]
+        dup = [f"{r.experiment}/{r.seed}: {r.n} rows" for r in runs.duplicate_keys(df).collect()]
         if errors or dup:
             raise ValueError("; ".join(errors + dup))
         return df

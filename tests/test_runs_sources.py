@@ -3,6 +3,7 @@ import json
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab import config, schemas
 from corpuslab.operators import dynamics, fingerprint, runs
@@ -143,9 +144,9 @@ def test_checkpoint_and_run_errors(tmp_path):
 
     f = tmp_path / "c"
     f.write_bytes(b"w")
-    good = {"monitor_metric": "val_macro_f1", "best_epoch": 2, "best_value": 0.8}
+    good = {"monitor_metric": "val_macro_f1", "best_epoch": 2, "best_metric_value": 0.8}
     assert frozen.checkpoint_errors(good, str(f)) == []
-    assert len(frozen.checkpoint_errors({"monitor_metric": "loss", "best_epoch": 0, "best_value": 2}, str(tmp_path / "no"))) == 4
+    assert len(frozen.checkpoint_errors({"monitor_metric": "loss", "best_epoch": 0, "best_metric_value": 2}, str(tmp_path / "no"))) == 4
     run = {"dataset_version": "v", "best_epoch": 2, "epochs_run": 4, "val_macro_f1": 0.8}
     assert frozen.run_errors(run, {"dataset_content_sha256": "v"}, 0.8005, 10, [str(f)]) == []
     assert len(frozen.run_errors(run, {"dataset_content_sha256": "w"}, 0.9, 3, ["/no"])) == 4
@@ -176,3 +177,89 @@ def test_word_tokenizer_roundtrip(spark, tmp_path):
     u = WordTokenizer.load(spark, str(tmp_path / "t"))
     get = lambda x: {r.k: r.seq for r in x.transform(df, "k", "ws").collect()}
     assert get(t) == get(u) == {0: [2, 2, 1], 1: []} and u.cap == 3
+
+
+def test_checkpoint_record_roundtrip(spark, tmp_path):
+    from corpuslab.operators import frozen
+
+    weights, record = tmp_path / "w.h5", tmp_path / "meta" / "M0_42.json"
+    weights.write_bytes(b"w")
+    kept = frozen.save_checkpoint(str(record), "M0", 42, 7, 0.842, str(weights), {"units": "64"})
+    assert set(kept) == set(schemas.CHECKPOINT.fieldNames()) and frozen.verify_checkpoint(str(record), str(weights)) == []
+    r = readers.read_checkpoints(spark, str(record.parent)).first()
+    assert (r.experiment, r.best_epoch, r.best_metric_value, r.model_architecture) == ("M0", 7, 0.842, {"units": "64"})
+    with pytest.raises(ValueError):
+        frozen.save_checkpoint(str(record), "M0", 42, 7, 0.842, "w", metric="val_loss")
+    weights.write_bytes(b"")
+    assert "empty" in frozen.verify_checkpoint(str(record), str(weights))[0]
+    record.write_text("{")
+    assert "broken" in frozen.verify_checkpoint(str(record), str(weights))[0]
+    record.write_text("{}")
+    assert "lacks" in frozen.verify_checkpoint(str(record), str(weights))[0]
+    assert len(frozen.verify_checkpoint(str(tmp_path / "no.json"), str(tmp_path / "no"))) == 2
+
+
+def test_second_registry(spark, tmp_path):
+    f = schemas.TRACKED_RUNS.fieldNames()
+    rows = [("M0-1", "M0", 1, 0.84, 0.843), ("M0-2", "M0", 2, 0.846, 0.849), ("M1-1", "M1", 1, 0.859, 0.862), ("M3-1", "M3", 1, 0.80, None), ("X-1", "X", 1, 0.9, 0.9)]
+    full = [dict.fromkeys(f) | {"run_id": a, "model_name": b, "seed": c, "best_val_macro_f1": d, "val_accuracy": e} for a, b, c, d, e in rows]
+    df = spark.createDataFrame([tuple(r[c] for c in f) for r in full], schemas.TRACKED_RUNS)
+    df.coalesce(1).write.option("header", True).csv(str(tmp_path / "runs"))
+    back = readers.read_tracked_runs(spark, str(tmp_path / "runs"))
+    assert back.count() == 5 and back.filter("run_id = 'M3-1'").first().val_accuracy is None
+    reg = sinks.Registry(spark, str(tmp_path / "reg"), ("run_id",))
+    reg.upsert(back)
+    reg.upsert(back.filter("run_id = 'M0-1'").withColumn("best_val_macro_f1", F.lit(0.84)))
+    assert reg.read().count() == 5
+    got = {r.model: r for r in runs.tracked_comparison(reg.read()).collect()}
+    assert list(got) == ["M0", "M1", "M3"] or set(got) == {"M0", "M1", "M3"}
+    assert got["M0"].macro_f1 == "0.8430 ± 0.0042" and got["M0"].vs_previous == "—"
+    assert (got["M1"].vs_previous, got["M1"].vs_baseline) == ("+0.0160", "+0.0160")
+    assert (got["M3"].vs_previous, got["M3"].vs_baseline, got["M3"].accuracy) == ("—", "-0.0430", "—")
+
+
+def test_upsert_validates(spark, tmp_path):
+    reg = sinks.Registry(spark, str(tmp_path / "runs"))
+    assert reg.upsert(run_rows(spark, [{}]), validate=True).count() == 1
+    with pytest.raises(ValueError, match="accuracy"):
+        reg.upsert(run_rows(spark, [{"accuracy": 2.0}]), validate=True)
+
+
+def test_parameter_counts(spark):
+    w = spark.createDataFrame([([20, 3], True), ([3], True), ([100, 7], False), ([], True)], "shape array<int>, trainable boolean")
+    assert tuple(runs.parameter_counts(w).first()) == (64, 700, 764)
+    assert tuple(runs.parameter_counts(w.limit(0)).first()) == (0, 0, 0)
+
+
+def test_verify_all_names_every_error(spark, tmp_path):
+    from corpuslab.operators import frozen
+
+    (tmp_path / "a").write_text("")
+    cfg = {"split": {"seed": 42}}
+    frozen.verify_all({"project": lambda: frozen.project_errors(str(tmp_path), ["a"], cfg, {"split.seed": 42}), "registry": lambda: runs.validate(run_rows(spark, [{}]))})
+    with pytest.raises(ValueError) as e:
+        frozen.verify_all({"project": lambda: frozen.project_errors(str(tmp_path), ["a", "b"], cfg, {"split.seed": 1, "x.y": 2}), "registry": lambda: runs.validate(run_rows(spark, [{"accuracy": 7.0}])), "broken": lambda: 1 / 0})
+    assert str(e.value).count("\n") == 4 and "ZeroDivisionError" in str(e.value)
+
+
+def test_multiset_digests(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("a", 1), ("c", 2)], "t string, g int")
+    d = {r.g: (r.n, r.sha256) for r in fingerprint.multiset_digests(df, fingerprint.row_digest(["t"]), ["g"]).collect()}
+    again = {r.g: (r.n, r.sha256) for r in fingerprint.multiset_digests(df.repartition(3), fingerprint.row_digest(["t"]), ["g"]).collect()}
+    assert d == again and d[1][0] == 3
+    # a row that stands twice counts twice
+    once = fingerprint.content_digest(df.dropDuplicates(), ["t", "g"])
+    assert once != fingerprint.content_digest(df, ["t", "g"])
+    assert fingerprint.content_digest(df.limit(0), ["t"]) == hashlib.sha256(b"0,0,0,0,0,0,0,0,0").hexdigest()
+
+
+def test_recurrent_config_and_times():
+    from datetime import datetime, timezone
+
+    ok = {"experiment": "M1", "vocab_size": 100, "output_classes": 5, "classes": 5, "experiments": ("M0", "M1")}
+    config.RecurrentConfig(**ok)
+    with pytest.raises(ValueError) as e:
+        config.RecurrentConfig(**ok | {"experiment": "D0", "vocab_size": 0, "output_classes": 4, "embedding": "x", "layers": 4, "dropouts": (1.0,), "learning_rate": 0})
+    assert str(e.value).count(";") == 6
+    assert config.run_id("M0", 42, datetime(2025, 1, 2, 3, 4, 5, tzinfo=timezone.utc)) == "M0_seed42_20250102T030405Z"
+    assert config.duration_s("2025-01-01T00:00:00+00:00", "2025-01-01T00:01:00.5+00:00") == 60.5

@@ -76,3 +76,13 @@ def test_formats(spark):
     df = spark.createDataFrame([(0.016, None), (-0.0004, 0.002), (None, None)], "d double, s double")
     got = [(r.a, r.b) for r in df.select(T.format_delta(F.col("d")).alias("a"), T.format_metric(F.coalesce("d", F.lit(0.5)), F.col("s")).alias("b")).collect()]
     assert got == [("+0.0160", "0.0160"), ("-0.0004", "-0.0004 ± 0.0020"), ("—", "0.5000")]
+
+
+def test_accents_follow_unicode(spark):
+    import unicodedata
+
+    texts = ["señora Ångström Ÿ й ά ² ½ ﬁ", "e\u0301te\u0301 ñandú", "", None, "中文 😡"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip_accents(F.col("t")).alias("t")).collect()]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    # characters that decompose into several stay
+    assert got == [None if t is None else "".join(c if c in "½ﬁ" else plain(c) for c in t) for t in texts]

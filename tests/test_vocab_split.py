@@ -136,3 +136,47 @@ def test_fold_ratios():
         split.folds_for(0.8, 0.1, 0.2)
     with pytest.raises(ValueError):
         split.folds_for(0.83, 0.1, 0.07)
+
+
+def test_frequent_keys_are_split(spark, monkeypatch):
+    """One word, digest and term in a third of the rows, with a dictionary too large to broadcast."""
+    from corpuslab.operators import dedup, joins, tfidf, vocab
+
+    n = 6000
+    df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"w{i % 700}") for i in range(n)], "k long, t string")
+
+    def results():
+        words = df.withColumn("ws", F.array("t", F.lit("the")))
+        seq = {r.k: tuple(r.seq) for r in vocab.to_sequences(words, "k", "ws", vocab.word_index(vocab.word_counts(words, "k", "ws"))).collect()}
+        flags = {r.k: (r.copies, r.later) for r in dedup.duplicate_flags(df, "t", "k").collect()}
+        counts = tfidf.term_counts(words, "k", "ws")
+        w = {(r.doc, r.term): round(r.w, 9) for r in tfidf.weigh(counts, tfidf.fit(counts, n)).collect()}
+        return seq, flags, w
+
+    first = results()
+    used = []
+    real = joins.lookup
+    monkeypatch.setattr(joins, "SMALL_BYTES", 0)
+    monkeypatch.setattr(joins, "lookup", lambda *a, **k: used.append(a[2]) or real(*a, **k))
+    for f in (joins.attach,):
+        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], 0))
+    assert results() == first and used == [["word"], ["_d"], ["term"]]
+    assert first[1][0] == (2000, False) and first[1][3] == (2000, True)
+
+
+def test_salted_join(spark):
+    from corpuslab.operators import joins
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(9000)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4)], "k string, v long")
+    counts = left.groupBy("k").count()
+    got = sorted(map(tuple, joins.salted(left, right, ["k"], counts, "count", 9000, F.col("i")).select("i", "k", "v").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("i", "k", "v").collect()))
+
+
+def test_small_goes_by_bytes(spark):
+    from corpuslab.operators import joins
+
+    df = spark.createDataFrame([(1, "x" * 5000)], "i int, t string")
+    plan = lambda d: d._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(joins.small(df)) and "broadcast" not in plan(joins.small(df, 4000))
