@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.blocks import best_of_blocks
+
+#: Queries of one block.
 BLOCK = 4096
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1, norm)
+
+
+def _matrix(n: int, place: np.ndarray, columns: dict[str, np.ndarray]) -> np.ndarray:
+    m = np.stack(list(columns["v"])).astype(float)
+    out = np.empty((n, m.shape[1]))
+    out[place] = m
+    return _unit(out).T
+
+
+def _products(block: np.ndarray, columns: list[pa.Array]) -> np.ndarray:
+    flat = columns[0].flatten().to_numpy(zero_copy_only=False)
+    return _unit(flat.reshape(len(columns[0]), -1)) @ block
+
+
 def max_cosine(queries: DataFrame, index: DataFrame, key: str, vec: str) -> DataFrame:
-    """``(key, best)``: the highest cosine of each query to any other index vector. Queries are gathered into blocks of
-    BLOCK vectors, each block meets each partition of the index as one matrix product, and only the maximum of a block
-    and partition moves on. Null vectors are left out; a zero vector has cosine 0."""
-    q = queries.filter(F.col(vec).isNotNull()).select(F.col(key).alias("q"), F.col(vec).cast("array<double>").alias("qv"))
-    n = max(1, -(-q.count() // BLOCK))
-    blocks = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    i = index.filter(F.col(vec).isNotNull()).select(F.col(key).alias("i"), F.col(vec).cast("array<double>").alias("iv"))
-    rows = i.groupBy(F.pmod(F.xxhash64("i"), F.lit(max(1, -(-i.count() // BLOCK)))).alias("p")).agg(F.collect_list(F.struct("i", "iv")).alias("is"))
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norm == 0, 1, norm)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for qs, is_ in zip(f["qs"], f["is"]):
-                qi, ii = np.array([x["q"] for x in qs]), np.array([x["i"] for x in is_])
-                s = unit(np.stack([x["qv"] for x in qs])) @ unit(np.stack([x["iv"] for x in is_])).T
-                s[qi[:, None] == ii[None, :]] = -np.inf
-                yield pd.DataFrame({"q": qi, "best": s.max(axis=1)})
-
-    # blocks of queries against blocks of the index
-    met = rows.join(blocks, F.lit(True)).select("qs", "is").mapInPandas(work, "q long, best double")
-    return met.groupBy("q").agg(F.max("best").alias("best")).filter(F.col("best") > float("-inf")).withColumnRenamed("q", key)
+    """``(key, best)``: the highest cosine of each query to any other index vector, all of one length. Null vectors are left out; a zero vector has
+    cosine 0; a query without any other vector gives no row."""
+    pick = lambda df: df.filter(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(vec).cast("array<double>").alias("v"))
+    found = best_of_blocks(pick(queries).dropDuplicates(["doc"]), pick(index), BLOCK, _matrix, _products, True)
+    return found.withColumnRenamed("q", key)

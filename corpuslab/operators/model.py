@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -15,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 
 from corpuslab.functions import text as T
 from corpuslab.functions.labels import ranked_classes
-from corpuslab.operators import tfidf
+from corpuslab.operators import evaluate, tfidf
 from corpuslab.operators.joins import attach
 from corpuslab.operators.vocab import ranked
 from corpuslab.session import Stage
@@ -57,7 +59,7 @@ class TextClassifier:
 
     def vectors(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """Features of documents, by the vocabulary as it was fitted."""
-        counts = tfidf.term_counts(docs.select(key, features(F.col(text), self.pairs).alias("ts")), key, "ts")
+        counts = tfidf.term_counts(docs.select(key, text), key, features(F.col(text), self.pairs))
         return _vectors(tfidf.weigh(counts, self.vocabulary), self.index, docs, key, self.size)
 
     def predict(self, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -86,8 +88,8 @@ def fit_text_classifier(train: DataFrame, key: str, text: str, label: str, min_d
     the most frequent features alone. The fit ends at its tolerance or after ``max_iter`` iterations (``TextClassifier.iterations``)."""
     stage = Stage(train.sparkSession, "classifier")
     n = train.count()
-    counts = stage.put(tfidf.term_counts(train.select(key, features(F.col(text), pairs).alias("ts")), key, "ts"), "counts")
-    vocabulary = stage.put(tfidf.fit(counts, n, min_df, max_df, max_features), "vocabulary")
+    counts = tfidf.term_counts(train.select(key, text), key, features(F.col(text), pairs))
+    vocabulary = stage.put(tfidf.fit(train, features(F.col(text), pairs), n, min_df, max_df, max_features), "vocabulary")
     size = vocabulary.count()
     if size > MAX_FEATURES:
         raise ValueError(f"{size} features; raise min_df")
@@ -97,19 +99,42 @@ def fit_text_classifier(train: DataFrame, key: str, text: str, label: str, min_d
     return TextClassifier(vocabulary, index, size, lr.fit(x), pairs)
 
 
-def shape_probe(train: DataFrame, test: DataFrame, key: str, text: str, label: str, seed: int = 42) -> DataFrame:
-    """``(key, y_true, y_pred)`` by a forest that sees lengths and redactions only."""
+#: The settings of the classifier in the audit, terms alone and a weaker penalty.
+AUDIT = {"min_df": 3, "max_df": 1.0, "max_features": 60_000, "c": 4.0, "max_iter": 400, "pairs": False}
+
+
+def result_record(fitted: TextClassifier, predictions: DataFrame, k: int, settings: dict, val_macro_f1: float | None = None, **facts: object) -> dict:
+    """What is kept of a finished classifier: settings, size of its vocabulary, scores, classes and confusion matrix on ``predictions`` (y_true,
+    y_pred), and given facts such as the dataset's digest or the runtime."""
+    cm = Stage(predictions.sparkSession, "result").put(evaluate.confusion(predictions, [], k))
+    cells, classes = cm.collect(), evaluate.per_class(cm, [])
+    matrix = [[0] * k for _ in range(k)]
+    for r in cells:
+        matrix[r.y_true][r.y_pred] = r.n
+    m = evaluate.macro(classes, []).first()
+    per = {r.class_id: {c: r[c] for c in ("precision", "recall", "f1", "support")} for r in classes.orderBy("class_id").collect()}
+    scores = {c: m[c] for c in ("macro_f1", "accuracy", "macro_precision", "macro_recall")}
+    return {"settings": settings, "vocabulary_size": fitted.size, "iterations": fitted.iterations, **scores, "per_class": per, "confusion_matrix": matrix, "val_macro_f1": val_macro_f1, "created_at_utc": datetime.now(timezone.utc).isoformat(), **facts}
+
+
+#: What the probe sees, by name.
+PROBES = {"redaction only": ("redactions", "amounts", "dates", "density"), "length only": ("words",), "redaction + length": ("redactions", "amounts", "dates", "density", "words")}
+
+
+def shape_probe(train: DataFrame, test: DataFrame, key: str, text: str, label: str, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """``(probe, key, y_true, y_pred)`` by boosted trees, one model a class, that see lengths and redactions only."""
 
     def shape(df: DataFrame) -> DataFrame:
         t = F.col(text)
-        cols = {
-            "chars": F.length(t),
-            "words": F.size(T.split_words(t)),
-            "redactions": F.regexp_count(t, F.lit(T.ARTIFACTS["XXXX redaction"])),
-            "amounts": F.regexp_count(t, F.lit(T.ARTIFACTS["{$...} amount"])),
-        }
-        f = df.select(key, F.col(label).cast("double").alias("label"), *[v.cast("double").alias(k) for k, v in cols.items()])
-        return VectorAssembler(inputCols=list(cols), outputCol="features").transform(f)
-
-    fitted = RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed).fit(shape(train))
-    return fitted.transform(shape(test)).select(key, F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+        counts = {"words": F.size(T.blank_words(t)), "redactions": F.regexp_count(t, F.lit(T.ARTIFACTS["XXXX redaction"])), "amounts": F.regexp_count(t, F.lit(T.ARTIFACTS["{$...} amount"])), "dates": F.regexp_count(t, F.lit("XX/XX/"))}
+        f = df.select(key, F.col(label).cast("double").alias("label"), *[v.cast("double").alias(k) for k, v in counts.items()])
+        return f.withColumn("density", F.coalesce(F.try_divide("redactions", "words"), F.lit(0.0)))
+
+    stage, out = Stage(train.sparkSession, "probe"), []
+    seen, asked = stage.put(shape(train)), stage.put(shape(test))
+    for name, cols in PROBES.items():
+        pack = VectorAssembler(inputCols=list(cols), outputCol="features")
+        fitted = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed)).fit(pack.transform(seen))
+        got = fitted.transform(pack.transform(asked))
+        out.append(got.select(F.lit(name).alias("probe"), key, F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")))
+    return reduce(DataFrame.unionByName, out)

@@ -5,25 +5,33 @@ Postings are rows ``(doc, term, w)`` with weights normalised per document: (1 +
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators.blocks import best_of_blocks
 from corpuslab.operators.components import connected_components
-from corpuslab.operators.joins import attach, small
+from corpuslab.operators.joins import attach
+from corpuslab.operators.vocab import ranked
 from corpuslab.session import Stage
 
 
-def term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
-    """``(doc, term, tf)``."""
-    return docs.select(F.col(key).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, key: str, terms: str | Column) -> DataFrame:
+    """``(doc, term, tf)``. Texts move to their document's place once, so that neither the counts nor what is later taken over a document
+    shuffle its terms."""
+    t = F.col(terms) if isinstance(terms, str) else terms
+    return docs.repartition(key).select(F.col(key).alias("doc"), F.explode(t).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit(counts: DataFrame, n: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
-    """``(term, df, idf)`` of the terms within the limits, of these the ``max_features`` that occur most."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_tf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+def fit(docs: DataFrame, terms: str | Column, n: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """``(term, df, idf)`` of the terms within the limits, of these the ``max_features`` that occur most. Each document is a row of ``docs``;
+    its distinct terms are found within the row."""
+    t = F.col(terms) if isinstance(terms, str) else terms
+    df = docs.select(F.explode(F.array_distinct(t)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     if max_features:
-        df = df.orderBy(F.desc("_tf"), "term").limit(max_features)
-    df = df.drop("_tf")
+        tf = docs.select(F.explode(t).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_tf"))
+        df = df.join(tf, "term").orderBy(F.desc("_tf"), "term").limit(max_features).drop("_tf")
     return df.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
@@ -77,13 +85,37 @@ def clusters(docs: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return docs.select(key).join(comp, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("root"))
 
 
+#: Size of a block of queries as a matrix, terms by queries.
+BLOCK_BYTES = 64 << 20
+
+
+def _columns_of(n: int, place: np.ndarray, columns: dict[str, np.ndarray]) -> np.ndarray:
+    term = columns["idx"].astype(np.int64)
+    out = np.zeros((int(columns["size"][0]), n))
+    out[term, place] = columns["w"]
+    return out
+
+
+def _dots(block: np.ndarray, columns: list[pa.Array]) -> np.ndarray:
+    ends = columns[0].offsets.to_numpy()
+    term, w = columns[0].flatten().to_numpy().astype(np.int64), columns[1].flatten().to_numpy()
+    ends = ends - ends[0]
+    out = np.empty((len(ends) - 1, block.shape[1]))
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        out[i] = w[a:b] @ block[term[a:b]]
+    return out
+
+
 def max_similarity(queries: DataFrame, index: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """``(doc, best)``: the highest cosine of each query document to any index document, 0 without a common term.
-    Both sides are postings of one model."""
-    q = small(queries.select(F.col("doc").alias("q"), "term", F.col("w").alias("wq")))
-    met = index.select("doc", "term", "w").join(q, "term")
-    if exclude_self:
-        met = met.filter("q <> doc")
-    best = met.groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("cos")).groupBy("q").agg(F.max("cos").alias("best"))
-    every = queries.select(F.col("doc").alias("q")).distinct()
-    return every.join(best, "q", "left").select(F.col("q").alias("doc"), F.coalesce("best", F.lit(0.0)).alias("best"))
+    """``(doc, best)``: the highest cosine of each query document to any (with ``exclude_self``: any other) index document, 0 without a
+    common term. Both sides are postings of one model, whose ``df`` tells frequent terms. Queries go in blocks (see ``blocks``); of the
+    index only the queries' terms are kept."""
+    stage = Stage(queries.sparkSession, "search")
+    q = stage.put(queries.select("doc", "term", "df", "w"), "queries")
+    terms = stage.put(ranked(q.groupBy("term").agg(F.max("df").alias("n")), [F.asc("term")], "idx").select("term", "n", (F.col("idx") - 1).alias("idx")), "terms")
+    size = terms.count()
+    docs = attach(index.select("doc", "term", "w"), terms, ["term"], "n").groupBy("doc").agg(F.collect_list("idx").alias("i"), F.collect_list("w").alias("w"))
+    mine = attach(q.drop("df"), terms, ["term"], "n").select("doc", "idx", "w", F.lit(size).alias("size"))
+    best = best_of_blocks(mine, docs, max(1, BLOCK_BYTES // (8 * max(size, 1))), _columns_of, _dots, exclude_self)
+    every = queries.select("doc").distinct().join(best.withColumnRenamed("q", "doc"), "doc", "left")
+    return every.select("doc", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("best"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.text import split_words
 from corpuslab.operators.joins import attach
 from corpuslab.session import Stage
 
@@ -136,3 +138,29 @@ class WordTokenizer:
         df = spark.read.parquet(path)
         m = df.select("meta.*").first()
         return cls(df.drop("meta"), m.cap if m else None, m.oov if m else True)
+
+
+class SequenceModel(Model):
+    """A fitted tokenizer as a stage of a pipeline: adds ``outputCol`` with the indices of the words in ``inputCol``."""
+
+    def __init__(self, tokenizer: WordTokenizer, key: str, input_col: str, output_col: str):
+        super().__init__()
+        self.tokenizer, self.key, self.input_col, self.output_col = tokenizer, key, input_col, output_col
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        words = dataset.select(self.key, split_words(F.col(self.input_col)).alias("_ws"))
+        return dataset.join(self.tokenizer.transform(words, self.key, "_ws").withColumnRenamed("seq", self.output_col), self.key)
+
+
+class SequenceEstimator(Estimator):
+    """Learns the vocabulary of a text column. ``fit`` is refused on rows that are not all of the training split, if ``split_col`` is given."""
+
+    def __init__(self, key: str, input_col: str, output_col: str, cap: int | None = None, oov: bool = True, split_col: str | None = None):
+        super().__init__()
+        self.key, self.input_col, self.output_col, self.cap, self.oov, self.split_col = key, input_col, output_col, cap, oov, split_col
+
+    def _fit(self, dataset: DataFrame) -> SequenceModel:
+        if self.split_col and not dataset.filter(~F.col(self.split_col).eqNullSafe(F.lit("train"))).isEmpty():
+            raise ValueError("a vocabulary is learned from training rows alone")
+        words = dataset.select(self.key, split_words(F.col(self.input_col)).alias("_ws"))
+        return SequenceModel(WordTokenizer.fit(words, self.key, "_ws", self.cap, self.oov), self.key, self.input_col, self.output_col)

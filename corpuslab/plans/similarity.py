@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as T
 from corpuslab.operators import tfidf
 from corpuslab.plans.core import first_rows, labelled, query, table
+from corpuslab.session import Stage
 
 THRESHOLD = 0.7
 
@@ -22,10 +23,14 @@ _CL = _PAIRS + """, sym as (select a, b from pairs union select b, a from pairs)
 cl as (select n as row_id, min(r) as root from reach group by 1)"""
 
 
+def _terms():
+    """Terms of a text without accents."""
+    return T.terms(T.strip_accents(F.col("text")))
+
+
 def _postings(spark, sf_dir, min_df: int = 3):
-    d = first_rows(spark, sf_dir)
-    counts = tfidf.term_counts(d.select("row_id", T.terms(T.strip_accents(F.col("text"))).alias("ts")), "row_id", "ts")
-    return tfidf.weigh(counts, tfidf.fit(counts, d.count(), min_df))
+    d = Stage(spark, "postings").put(first_rows(spark, sf_dir).select("row_id", "text"))
+    return tfidf.weigh(tfidf.term_counts(d, "row_id", _terms()), tfidf.fit(d, _terms(), d.count(), min_df))
 
 
 @query(_P + "select doc, term, round(w, 9) as w from post")
@@ -105,12 +110,11 @@ bw as (select doc, term, (1 + ln(tf)) * (ln((1.0::double + n) / (1.0::double + d
 @query(_P + _BENCH + ", s as (select bp.doc as q, post.doc, sum(bp.w * post.w) as cos from bp join post using (term) group by 1, 2) select q as item_id, round(max(cos), 6) as best from s group by 1")
 def max_similarity_benchmark(spark, sf_dir):
     """Each held-out passage and its nearest complaint, by the model fitted on the complaints."""
-    d = first_rows(spark, sf_dir)
-    counts = tfidf.term_counts(d.select("row_id", T.terms(T.strip_accents(F.col("text"))).alias("ts")), "row_id", "ts")
-    model = tfidf.fit(counts, d.count(), 3)
-    b = table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", T.terms(T.strip_accents(F.col("text"))).alias("ts"))
-    q = tfidf.weigh(tfidf.term_counts(b, "item_id", "ts"), model)
-    return tfidf.max_similarity(q, tfidf.weigh(counts, model)).select(F.col("doc").alias("item_id"), F.round("best", 6).alias("best"))
+    d = Stage(spark, "postings").put(first_rows(spark, sf_dir).select("row_id", "text"))
+    model = tfidf.fit(d, _terms(), d.count(), 3)
+    b = table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", "text")
+    q = tfidf.weigh(tfidf.term_counts(b, "item_id", _terms()), model)
+    return tfidf.max_similarity(q, tfidf.weigh(tfidf.term_counts(d, "row_id", _terms()), model)).select(F.col("doc").alias("item_id"), F.round("best", 6).alias("best"))
 
 
 @query(
@@ -142,14 +146,9 @@ _BEST = _PAIRS.replace(">= 0.7)", ">= 0.5)") + ", best as (select q, max(cos) as
 
 @query(_BEST + ", e as (select d.row_id, d.pkey as product, coalesce(best, 0) as best from d left join best on q = d.row_id) select product, count(*) as n, round(100.0 * count(*) filter (best >= 0.7) / count(*), 4) as rate_pct from e group by 1")
 def near_dup_rate_by_class(spark, sf_dir):
-    return _best(spark, sf_dir).groupBy(F.col("pkey").alias("product")).agg(F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(F.col("best") >= 0.7) / F.count(F.lit(1)), 4).alias("rate_pct"))
-
-
-def _best(spark, sf_dir):
-    """First rows with the cosine of their nearest other row, 0 if below 0.5."""
-    p = tfidf.similar_pairs(_postings(spark, sf_dir), 0.5, 0.35)
-    best = p.select(F.explode(F.array("a", "b")).alias("row_id"), "cos").groupBy("row_id").agg(F.max("cos").alias("best"))
-    return first_rows(spark, sf_dir).select("row_id", "pkey").join(best, "row_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    p = _pairs(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("row_id")).distinct().withColumn("near", F.lit(True))
+    e = first_rows(spark, sf_dir).select("row_id", F.col("pkey").alias("product")).join(p, "row_id", "left")
+    return e.groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count("near") / F.count(F.lit(1)), 4).alias("rate_pct"))
 
 
 @query(
@@ -160,13 +159,16 @@ ids as (select unnest(range(5))::int as i), pc as (select experiment, seed, band
 select experiment, seed, band, sum(s)::bigint as n, round(avg(2.0::double * tp / (s + q)) filter (s + q > 0), 9) as macro_f1 from pc group by all"""
 )
 def similarity_bands(spark, sf_dir):
-    """Macro-F1 of test rows by the cosine of the nearest other text."""
+    """Macro-F1 of test rows by the cosine of the nearest other text: the test rows are queries against all."""
     from corpuslab.operators import evaluate
 
     b = F.col("best")
     band = F.when(b >= 0.9, "0.9-1.0").when(b >= 0.8, "0.8-0.9").when(b >= 0.7, "0.7-0.8").when(b >= 0.6, "0.6-0.7").when(b >= 0.5, "0.5-0.6").otherwise("below 0.5")
     p = evaluate.latest(table(spark, sf_dir, "predictions"), ["experiment", "seed", "test_idx"], ["logged_at"]).filter("y_pred is not null")
-    e = p.join(_best(spark, sf_dir).select(F.col("row_id").alias("test_idx"), band.alias("band")), "test_idx")
+    posts = Stage(spark, "bands").put(_postings(spark, sf_dir))
+    q = posts.join(p.select(F.col("test_idx").alias("doc")).distinct(), "doc", "left_semi")
+    best = first_rows(spark, sf_dir).select(F.col("row_id").alias("test_idx")).join(tfidf.max_similarity(q, posts, exclude_self=True).withColumnRenamed("doc", "test_idx"), "test_idx", "left")
+    e = p.join(best.withColumn("best", F.coalesce("best", F.lit(0.0))).select("test_idx", band.alias("band")), "test_idx")
     by = ["experiment", "seed", "band"]
     m = evaluate.macro(evaluate.per_class(evaluate.confusion(e, by, 5), by), by)
     return m.select(*by, "n", F.round("macro_f1", 9).alias("macro_f1"))

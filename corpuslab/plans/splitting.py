@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators import fingerprint, model, split
+from corpuslab.operators import evaluate, fingerprint, model, split
 from corpuslab.plans.core import MULTISET, first_rows, labelled, query
 from corpuslab.plans.similarity import _CL, _clusters
 from corpuslab.session import Stage
@@ -103,9 +103,19 @@ def lr_top_features(spark, sf_dir):
 
 @query()
 def redaction_probe(spark, sf_dir):
-    """What length and redactions alone tell of the class."""
+    """What length and redactions alone tell of the class: macro-F1 by what is seen."""
     train, test = _parts(spark, sf_dir)
-    return model.shape_probe(train, test, "row_id", "text", "class_id")
+    p = Stage(spark, "probe").put(model.shape_probe(train, test, "row_id", "text", "class_id"))
+    return evaluate.macro(evaluate.per_class(evaluate.confusion(p, ["probe"], 5), ["probe"]), ["probe"]).select("probe", "n", "accuracy", "macro_f1")
+
+
+@query()
+def audit_classifier(spark, sf_dir):
+    """Scores of each class by the classifier of the audit: terms alone, at most 60,000 of them, and a weaker penalty."""
+    train, test = _parts(spark, sf_dir)
+    fitted = model.fit_text_classifier(train, "row_id", "text", "class_id", **model.AUDIT)
+    p = fitted.predict(test, "row_id", "text").join(test.select("row_id", F.col("class_id").alias("y_true")), "row_id")
+    return evaluate.per_class(evaluate.confusion(p, [], 5), []).select("class_id", "support", "precision", "recall", "f1")
 
 
 @query("select experiment, seed, y_true, y_pred, count(*) as n from predictions where y_pred is not null group by all", views=False)

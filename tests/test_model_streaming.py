@@ -71,3 +71,32 @@ def test_cluster_needs_a_shared_folder(master):
 
     with pytest.raises(ValueError):
         session.shared_dir(Fake())
+
+
+def test_result_record(spark):
+    words = ["checking overdraft", "card interest", "collector debt", "transfer wire", "loan student"]
+    df = spark.createDataFrame([(i, f"{words[i % 5]} case {i}", i % 5) for i in range(100)], "row_id long, text string, class_id int")
+    fitted = model.fit_text_classifier(df, "row_id", "text", "class_id", **model.AUDIT | {"max_features": 12})
+    assert fitted.size == 11 and fitted.vocabulary.filter("term like '% %'").count() == 0  # ten words, and the one they share
+    p = fitted.predict(df, "row_id", "text").join(df.select("row_id", F.col("class_id").alias("y_true")), "row_id")
+    r = model.result_record(fitted, p, 5, model.AUDIT, val_macro_f1=0.9, dataset_content_sha256="x")
+    assert r["macro_f1"] == r["accuracy"] == 1.0 and r["confusion_matrix"] == [[20 * (i == j) for j in range(5)] for i in range(5)]
+    assert r["per_class"][3]["support"] == 20 and r["vocabulary_size"] == 11 and r["dataset_content_sha256"] == "x" and r["iterations"] >= 1
+    best, score = fitted.predict_text(spark, "a student loan")[0]
+    assert best == 4 and score > 0.5
+
+
+def test_vectors_are_those_of_the_postings(spark):
+    df = spark.createDataFrame([(1, "loan card loan fee", 0), (2, "card fee", 1), (3, "", 0)], "row_id long, text string, class_id int")
+    fitted = model.fit_text_classifier(df, "row_id", "text", "class_id", min_df=1, max_df=1.0, max_iter=3)
+    idx = {r.term: r.idx for r in fitted.index.collect()}
+    v = {r.row_id: r.features for r in fitted.vectors(df, "row_id", "text").collect()}
+    assert v[3].numNonzeros() == 0 and v[1].size == len(idx) == fitted.size
+    assert set(v[2].indices) == {idx["card"], idx["fee"], idx["card fee"]}
+    assert v[1].norm(2) == pytest.approx(1.0) and v[1][idx["loan"]] > v[1][idx["fee"]]
+
+
+def test_redaction_probe_sees_shape_only(spark):
+    df = spark.createDataFrame([(i, ("XXXX paid {$5.00} " * (i % 2 * 4)) + "word " * 20, i % 2) for i in range(80)], "row_id long, text string, class_id int")
+    p = model.shape_probe(df.filter("row_id < 60"), df.filter("row_id >= 60"), "row_id", "text", "class_id", rounds=2)
+    assert p.filter("probe = 'redaction only' and y_true <> y_pred").count() == 0 and p.count() == 60

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.operators import dedup, profile, split, tfidf, vocab
+from corpuslab.session import Stage
 
 
 def corpus(spark, texts):
@@ -80,7 +81,7 @@ def test_artifacts_with_null(spark):
 def postings(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").withColumn("ts", T.terms(F.col("text")))
     c = tfidf.term_counts(df, "row_id", "ts")
-    return df, tfidf.weigh(c, tfidf.fit(c, len(texts)))
+    return df, tfidf.weigh(c, tfidf.fit(df, "ts", len(texts)))
 
 
 def test_chain_of_similar_texts_is_one_cluster(spark):
@@ -99,7 +100,7 @@ def test_chain_of_similar_texts_is_one_cluster(spark):
 def test_prefix_filter_is_exact(spark, data):
     d = spark.read.parquet(f"{data}/combined_complaints.parquet").select("row_id", F.col("Consumer complaint narrative").alias("t"))
     c = tfidf.term_counts(d.select("row_id", T.terms(F.col("t")).alias("ts")), "row_id", "ts")
-    p = tfidf.weigh(c, tfidf.fit(c, d.count()))
+    p = tfidf.weigh(c, tfidf.fit(d, T.terms(F.col("t")), d.count()))
     a, b = p.select(F.col("doc").alias("a"), "term", F.col("w").alias("x")), p.select(F.col("doc").alias("b"), "term", F.col("w").alias("y"))
     plain = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("c")).filter("c >= 0.5")
     want = {(r.a, r.b) for r in plain.collect()}
@@ -150,7 +151,7 @@ def test_frequent_keys_are_split(spark, monkeypatch):
         seq = {r.k: tuple(r.seq) for r in vocab.to_sequences(words, "k", "ws", vocab.word_index(vocab.word_counts(words, "k", "ws"))).collect()}
         flags = {r.k: (r.copies, r.later) for r in dedup.duplicate_flags(df, "t", "k").collect()}
         counts = tfidf.term_counts(words, "k", "ws")
-        w = {(r.doc, r.term): round(r.w, 9) for r in tfidf.weigh(counts, tfidf.fit(counts, n)).collect()}
+        w = {(r.doc, r.term): round(r.w, 9) for r in tfidf.weigh(counts, tfidf.fit(words, "ws", n)).collect()}
         return seq, flags, w
 
     first = results()
@@ -180,3 +181,37 @@ def test_small_goes_by_bytes(spark):
     df = spark.createDataFrame([(1, "x" * 5000)], "i int, t string")
     plan = lambda d: d._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(joins.small(df)) and "broadcast" not in plan(joins.small(df, 4000))
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    """Every block size gives what all pairs give, with and without the query itself."""
+    import numpy as np
+
+    from corpuslab.operators import dense, tfidf
+
+    rng = np.random.default_rng(5)
+    docs = [(i, [f"t{x}" for x in rng.integers(0, 60, 12)]) for i in range(80)] + [(900, ["zz", "zz"]), (901, [])]
+    df = spark.createDataFrame(docs, "k long, ts array<string>")
+    p = Stage(spark, "t").put(tfidf.weigh(tfidf.term_counts(df, "k", "ts"), tfidf.fit(df, "ts", len(docs))))
+    q = p.filter("doc % 7 = 0 or doc = 900")
+    by = {}
+    for r in p.collect():
+        by.setdefault(r.doc, {})[r.term] = r.w
+    for bytes_ in (64 << 20, 8 * 60 * 3):
+        monkeypatch.setattr(tfidf, "BLOCK_BYTES", bytes_)
+        for alone in (False, True):
+            got = {r.doc: r.best for r in tfidf.max_similarity(q, p, exclude_self=alone).collect()}
+            assert set(got) == {d for d in by if d % 7 == 0 or d == 900}
+            for d, best in got.items():
+                want = max(sum(w * by[o].get(t, 0) for t, w in by[d].items()) for o in by if not alone or o != d)
+                assert best == pytest.approx(want)
+    assert tfidf.max_similarity(q.limit(0), p).count() == 0
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(50)] + [(60, [0.0] * 6), (61, None), (None, [1.0] * 6)], "k long, e array<float>")
+    one = {r.k: r.best for r in dense.max_cosine(v.filter("k % 5 = 0"), v, "k", "e").collect()}
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    two = {r.k: r.best for r in dense.max_cosine(v.filter("k % 5 = 0"), v, "k", "e").collect()}
+    assert one == pytest.approx(two) and set(one) == {0, 5, 10, 15, 20, 25, 30, 35, 40, 45, 60} and one[60] == 0
+    m = np.array([r.e for r in v.filter("k < 50").orderBy("k").collect()])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    c = m @ m.T - 3 * np.eye(50)
+    assert one[5] == pytest.approx(max(c[5].max(), 0))
