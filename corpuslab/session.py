@@ -50,6 +50,7 @@ class Stage:
         _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._paths: set[str] = set()
 
     def put(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = f"{self.root}/{self._n:03d}-{label}"
@@ -57,13 +58,21 @@ class Stage:
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._stage_path = path  # type: ignore[attr-defined]
+        self._paths.add(path)
         return back
 
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_stage_path", None)
         if path:
+            self._paths.discard(path)
             self._delete(path)
 
+    def only(self, *kept: DataFrame) -> None:
+        """Delete all tables but these, which the result will be read from."""
+        for path in self._paths - {getattr(df, "_stage_path", None) for df in kept}:
+            self._delete(path)
+        self._paths &= {getattr(df, "_stage_path", None) for df in kept}
+
     def _delete(self, path: str) -> None:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
