@@ -469,7 +469,7 @@ def learn(docs: DataFrame, text: str, source: str | None, stage: Stage, rounds:
         if len(sure) > MAX_LEARNED:
             raise ValueError(f"more than {MAX_LEARNED} learned entries; a coarser source column is needed")
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *parts[1:], {(r.source, r.run): r.x for r in sure}))
-    stage.drop(runs)
+    stage.only()
     return shared
 
 

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import bitmap, wordhash
 from corpuslab.llm.wordhash import U
-from corpuslab.operators.joins import salted
+from corpuslab.operators.joins import salted, text_bytes
 from corpuslab.session import Stage
 
-#: Item windows up to this number are broadcast to the join; beyond it the join is shuffled.
-BROADCAST_WINDOWS = 1_000_000
+#: Item windows up to this size, as text, are broadcast to the join; beyond it the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 #: Distinct words of the items, which are collected; more is an error.
 MAX_WORDS = 8_000_000
 NUMBER, NAME, COUNTED = 1, 2, 3
@@ -240,7 +240,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     seen = d.mapInArrow(_scan(k, lex, bits), _WIN).select(F.col("id").alias("doc"), "t", F.col("slots").alias("ds"), F.col("kinds").alias("dk"))
     right = own.select("t", "s", F.col("slots").alias("is"), F.col("kinds").alias("ik")).distinct()
     member = own.select("t", "s", F.col("slots").alias("is"), F.col("kinds").alias("ik"), F.col("id").alias("item"))
-    few = count <= BROADCAST_WINDOWS
+    few = text_bytes(own) <= BROADCAST_BYTES
     if few:
         met = seen.join(F.broadcast(right), "t")
     else:

@@ -9,9 +9,9 @@ accepted, far below (more than four standard deviations) rejected, and those bet
 No bucket is expanded into all of its pairs at once. The first LAG + 1 rows of a bucket all meet one another; rows beyond meet
 the bucket's first row and their NEAR neighbours. The pairs that this leaves out of a larger bucket matter only between
 rows that did not end up in one group; these are compared in further rounds until none is left (see ``_close``). Before anything
-moves, each group of a batch does the same with its own rows: it sends equal texts to the buckets once, and of a key that more
-than LAG + 1 of its rows bear it sends these and ties the others to them. So a bucket that a third of all rows fall into gets a few rows of each
-group. Rows that have many pairs, such as a bucket's first, are parted by salt where pairs meet sketches and texts.
+moves, each group of a batch deals with its own rows: it sends equal texts to the buckets once, and of a key that more
+than LAG + 1 of its rows bear it sends the first and ties the others to it and to their neighbours. So a bucket that a third of all rows fall into
+gets one row of a group, of some thousand. Rows that have many pairs, such as a bucket's first, are parted by salt where pairs meet sketches and texts.
 
 Chance of missing a pair whose similarity is the threshold of 0.6: (1 - 0.6**4)**40 = 0.4 %; at 0.7 0.002 %; a miss
 only shows if no other link joins the two groups.
@@ -121,16 +121,16 @@ _COPY, _SHORT, _PAIR, _LARGE, _SKETCH = 0, 1, 2, 3, SKETCH_BITS // 64
 
 def _fold(key: np.ndarray, row: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a group's rows with their keys: those that travel, those in a bucket of more than lag + 1 (both as indices), and the pairs
-    (i, j) that the others form with the bucket's first row here and their neighbours."""
+    (i, j) that the latter form with the bucket's first row here, which travels for them, and with their neighbours."""
     order = np.lexsort((row, key))
     ks, rs = key[order], row[order]
     new = np.flatnonzero(np.append(True, ks[1:] != ks[:-1])) if len(ks) else np.empty(0, np.int64)
     size = np.diff(np.append(new, len(ks)))
-    place = np.arange(len(ks)) - np.repeat(new, size)
-    far = np.flatnonzero(place > lag)
-    heads = np.repeat(rs[new], size)[far]
-    i = np.concatenate([heads, *(rs[far - n] for n in range(1, min(NEAR, lag) + 1))])
-    return order[place <= lag], order[np.repeat(size > lag + 1, size)], i, np.tile(rs[far], 1 + min(NEAR, lag))
+    place, many = np.arange(len(ks)) - np.repeat(new, size), np.repeat(size > lag + 1, size)
+    tied = np.flatnonzero(many & (place > 0))
+    near = [tied[place[tied] > n] for n in range(1, NEAR + 1)]  # beyond the first row itself
+    i = np.concatenate([np.repeat(rs[new], size)[tied], *(rs[x - n] for n, x in enumerate(near, 1))])
+    return order[~many | (place == 0)], order[many], i, np.concatenate([rs[tied], *(rs[x] for x in near)])
 
 
 def _key_group(ids: np.ndarray, texts: list[str], k: int, lag: int) -> pa.RecordBatch:
@@ -384,4 +384,5 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, k: int = 5, thr
             break
         links = links.unionByName(found)
         comp = stage.put(connected_components(links, "i", "j"), "groups")
+    stage.only(comp)
     return comp.select(F.col("node").alias("row_id"), F.col("component").alias("first_row_id"))

@@ -68,18 +68,9 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(what, n)``: complaints, components, those that are divided, and splits whose size is off by more than a hundredth of all
-    complaints and of the largest component."""
-    from corpuslab.session import Stage
-
-    a = Stage(spark, "audit").put(_assigned(spark, sf_dir))
-    goal = dict(zip(("train", "validation", "test"), _config(spark, sf_dir).train_val_test))
-    comp = a.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi"))
-    c = comp.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("complaints"), F.count(F.lit(1)).alias("components"), F.count_if(F.col("lo") != F.col("hi")).alias("divided"), F.max("n").alias("largest"))
-    wanted = F.create_map(*[F.lit(x) for kv in goal.items() for x in kv])
-    r = c.first()
-    off = sum(abs(x["count"] - goal[x["split"]] * r.complaints) > r.complaints / 100 + (r.largest or 0) for x in a.groupBy("split").count().collect())
-    return spark.createDataFrame([("complaints", r.complaints), ("components", r.components), ("divided", r.divided), ("off", off)], "what string, n long")
+    """Of each component of several complaints how many it has, and over how many splits they are: one, if it is whole."""
+    c = _assigned(spark, sf_dir).groupBy(F.col("component").alias("first_complaint_id")).agg(F.count(F.lit(1)).alias("complaints"), F.count_distinct("split").alias("splits"))
+    return c.filter("complaints > 1")
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -185,9 +176,8 @@ with recursive cfg as (select split.group_by as kinds, split.unbound_keys as ski
 e as (select distinct "Complaint ID" as id, {_TRIM.format("entity_kind")} as kind, {_TRIM.format("entity_key")} as key from complaint_entities),
 f as (select e.* from e, cfg where list_contains(list_transform(string_split(kinds, ','), lambda q: lower(trim(q))), kind) and key is not null and key <> '' and not list_contains(list_transform(coalesce(skip, []), lambda q: lower(trim(q))), key) and id in (select "Complaint ID" from combined_complaints)),
 heads as (select kind, key, min(id) as h from f group by all having count(*) > 1),
-sym as (select id as a, h as b from f join heads using (kind, key) union select h, id from f join heads using (kind, key)), {_REACH},
-n as (select count(distinct "Complaint ID") as n from combined_complaints)
-select 'complaints' as what, n from n union all select 'components', n - (select count(*) from root where lo <> a) from n union all select 'divided', 0 union all select 'off', 0""",
+sym as (select id as a, h as b from f join heads using (kind, key) union select h, id from f join heads using (kind, key)), {_REACH}
+select lo as first_complaint_id, count(*) as complaints, 1::bigint as splits from root group by 1""",
     "p4_found": f"""
 with c as (select distinct "Complaint ID" as id, {_CATEGORY.format('"Product"')} as product from combined_complaints where "Complaint ID" is not null),
 per as (select product, count(*) as n from c group by 1),

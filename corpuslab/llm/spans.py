@@ -302,6 +302,7 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, span: int = 240, h
     if many:
         found = found.unionByName(_hot_spans(base, span, bits, hot, stage))
     found = stage.put(found, "intervals")
+    stage.only(found)
     w = Window.partitionBy("doc").orderBy("a", "b")
     ends = found.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     runs = ends.withColumn("run", F.sum(F.when(F.col("a") <= F.col("reach"), 0).otherwise(1)).over(w))

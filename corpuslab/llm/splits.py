@@ -197,7 +197,8 @@ def assign_components(records: DataFrame, id_col: str, label_col: str, ties: Dat
         final = final.join(F.broadcast(last), "sig", "left").select("sig", F.coalesce("last", "final").alias("final"))
     flows = stage.put(by.join(final, "sig").mapInPandas(_flows, "sig string, split int, to int, take long, n long, turn int"), "flows")
     moved = _apply(comps.select("component", "sig", "split", "size"), flows, stage, seed)
-    moved = moved.join(comps.select("component", F.col("split").alias("hashed")), "component")
+    moved = stage.put(moved.join(comps.select("component", F.col("split").alias("hashed")), "component"), "assigned")
+    stage.only(placed, moved)
     name = lambda c: F.element_at(F.array(*[F.lit(x) for x in SPLITS]), F.col(c) + 1).alias(c)
     return lookup(placed, moved, ["component"], placed.count(), "size").select("id", "component", "label", name("hashed"), name("split"))
 

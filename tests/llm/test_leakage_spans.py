@@ -70,7 +70,7 @@ def test_windows_are_counted_once_over_readings(spark):
 
 def test_names_are_not_cut(spark, monkeypatch):
     item, doc = "we told Anna and Berg that Zelmax and Orlo went home by bus", "we told berg and zelmax that orlo and anna went home by bus"
-    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 1)
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", 1)
     assert leaks(spark, [(1, doc)], [(7, item)]) == {(1, 7): "template"}
     monkeypatch.setattr(leakage, "MAX_WORDS", 3)
     with pytest.raises(ValueError, match="distinct words"):
@@ -96,10 +96,10 @@ def test_counted_things_are_learned(spark):
     assert leaks(spark, [(1, doc), (2, item.replace("5 apples", "8 of those").replace("7 apples", "2 grapes"))], [(7, item)]) == {(1, 7): "template"}
 
 
-@pytest.mark.parametrize("few", [1, 10**6])
+@pytest.mark.parametrize("few", [1, 10**8])
 def test_templates_against_brute_force(spark, monkeypatch, few):
     """Numbers alone as slots, against all pairs of windows."""
-    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", few)
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", few)
     rng = random.Random(9)
     words = [f"w{'abcdefgh'[i]}" for i in range(8)]
     text = lambda n: " ".join(rng.choice([*words, str(rng.randrange(4))]) for _ in range(n))
