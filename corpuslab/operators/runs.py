@@ -12,6 +12,7 @@ from corpuslab.operators.evaluate import latest, seed_statistics
 LADDER = ("M0", "M1", "M2", "M3", "M4", "M5", "M6", "D0")
 # Seeds that an experiment needs.
 REQUIRED_SEEDS = {"M0": 3, "M1": 1, "M2": 1, "M3": 1, "M4": 1, "D0": 3}
+# Scores and columns of the registry's file.
 METRICS = ("macro_f1", "accuracy", "macro_precision", "macro_recall")
 REQUIRED_COLUMNS = ("experiment", "model", "seed", *METRICS, "best_epoch", "epochs_run", "train_time", "parameter_count", "checkpoint_path", "dataset_version")
 

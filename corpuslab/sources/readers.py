@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from corpuslab import schemas
+from corpuslab.operators.joins import small
 
 
 def _exists(spark: SparkSession, path: str) -> None:
@@ -48,7 +49,7 @@ def combine_csv(spark: SparkSession, folder: str, schema: StructType = schemas.R
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_lo"))
     off = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = sizes.withColumn("_off", off).select("_file", "_lo", "_off")
-    return placed.join(F.broadcast(before), "_file").withColumn("row_id", F.col("_off") + F.col("_m") - F.col("_lo")).select("row_id", *schema.fieldNames())
+    return placed.join(small(before), "_file").withColumn("row_id", F.col("_off") + F.col("_m") - F.col("_lo")).select("row_id", *schema.fieldNames())
 
 
 def read_any(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -95,7 +96,7 @@ def read_vectors(spark: SparkSession, path: str, dim: int, words: DataFrame | No
     _exists(spark, path)
     parts = spark.read.text(path).select(F.split("value", " ").alias("p")).select(F.col("p")[0].alias("word"), F.slice("p", 2, 1 << 20).alias("v"))
     if words is not None:
-        parts = parts.join(words.select("word").distinct(), "word", "left_semi")
+        parts = parts.join(small(words.select("word").distinct()), "word", "left_semi")
     checked = F.when(F.size("v") == dim, F.transform("v", lambda x: x.cast("float"))).otherwise(F.raise_error(F.concat(F.lit("wrong number of values: "), "word")).cast("array<float>"))
     return parts.select("word", checked.alias("vec"))
 
