@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.components import connected_components
-from corpuslab.operators.joins import lookup
+from corpuslab.operators.joins import salted
 from corpuslab.session import Stage
 
 OTHER = r"[^\p{L}\p{N}]+"
@@ -89,11 +89,12 @@ def _confirm(base: DataFrame, members: DataFrame, stage: Stage) -> DataFrame:
     full = full.filter(F.unhex(F.md5(F.col("flat").cast("binary"))) == F.col("k1")).dropDuplicates(["row_id", "k1", "k2"])
     n = full.count()
     heads = full.filter("row_id = lo").select("k1", F.col("flat").alias("head_flat"), "n")
-    same = lookup(full, heads, ["k1"], n, "n").withColumn("ok1", F.col("flat") == F.col("head_flat"))
+    # heads carry texts of any length, so hot ones go to parts instead of to all tasks
+    same = salted(full, heads.drop("n"), ["k1"], heads.select("k1", "n"), "n", n, F.col("row_id")).withColumn("ok1", F.col("flat") == F.col("head_flat"))
     trees = full.filter("k2 is not null").groupBy("k2").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n2"))
     trees = trees.join(full.select("row_id", F.col("tree").alias("head_tree")), "row_id").select("k2", "head_tree", "n2")
     ordered = same.filter("k2 is null").withColumn("ok", F.col("ok1"))
-    forms = lookup(same.filter("k2 is not null"), trees, ["k2"], n, "n2").withColumn("ok", F.col("ok1") & (F.col("tree") == F.col("head_tree")))
+    forms = salted(same.filter("k2 is not null"), trees.drop("n2"), ["k2"], trees.select("k2", "n2"), "n2", n, F.col("row_id")).withColumn("ok", F.col("ok1") & (F.col("tree") == F.col("head_tree")))
     both = ordered.select("row_id", "k2", "first_row_id", "copies", "ok").unionByName(forms.select("row_id", "k2", "first_row_id", "copies", "ok"))
     return both.select(
         "row_id",
