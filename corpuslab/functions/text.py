@@ -87,8 +87,8 @@ def accents() -> tuple[str, str]:
 
 
 def strip_accents(t: Column) -> Column:
-    """Characters with accents as plain ones. Those that decompose into several characters, as ligatures, stay."""
-    return F.translate(t, *accents())
+    """Characters with accents as plain ones. Those that decompose into several characters, as ligatures, stay. ASCII texts are not searched."""
+    return F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, *accents()))
 
 
 def pad(seq: Column, n: int, padding: str = "pre", truncating: str = "post", value: int = 0) -> Column:

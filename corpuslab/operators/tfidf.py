@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators import cosine
 from corpuslab.operators.blocks import best_of_blocks
 from corpuslab.operators.components import connected_components
 from corpuslab.operators.joins import attach
@@ -43,40 +44,10 @@ def weigh(counts: DataFrame, model: DataFrame) -> DataFrame:
     return raw.select("doc", "term", "df", (F.col("w") / norm).alias("w"))
 
 
-#: Terms in more documents than this are frequent; the join over the others has at most RARE / 2 rows per posting.
-RARE = 400
-
-
-def similar_pairs(postings: DataFrame, threshold: float, epsilon: float = 0.5, rare: int = RARE) -> DataFrame:
-    """``(a, b, cos)`` of all pairs a < b with cosine of at least ``threshold``; exact.
-
-    Let s be the norm of a document's frequent terms. Two documents' frequent terms add at most the product of their s to the
-    cosine, so a pair with a product below the threshold must make up the rest by shared rare terms: these are
-    joined, and a pair stays if its rare part and the product reach the threshold. Where the product reaches it by
-    itself, one of the two has s of at least the threshold's root. Such a document's prefix, its terms by rising document
-    frequency until the norm of the rest falls below ``epsilon``, is joined with all documents; the rest adds less
-    than epsilon. What passes either way is computed in full."""
-    stage = Stage(postings.sparkSession, "cosine")
-    p = stage.put(postings, "postings")
-    norms = p.groupBy("doc").agg(F.sqrt(F.sum(F.when(F.col("df") > rare, F.col("w") * F.col("w")).otherwise(0.0))).alias("s"))
-    norms = stage.put(norms, "norms")
-    few = p.filter(F.col("df") <= rare).select("doc", "term", "w")
-    x, y = few.toDF("a", "term", "wa"), few.toDF("b", "term", "wb")
-    shared = x.join(y, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    shared = shared.join(norms.toDF("a", "sa"), "a").join(norms.toDF("b", "sb"), "b")
-    by_rare = shared.filter(F.col("dot") + F.col("sa") * F.col("sb") >= threshold - 1e-9).select("a", "b")
-    heavy = norms.filter(F.col("s") >= threshold**0.5 - 1e-9)
-    w = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term"))
-    prefix = p.join(heavy, "doc").withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(w))).filter(F.col("rest") >= epsilon)
-    prefix = prefix.select(F.col("doc").alias("h"), "term", F.col("w").alias("wh"), F.col("s").alias("sh"))
-    other = p.join(norms, "doc").filter(F.col("s") >= threshold - 1e-9).select(F.col("doc").alias("o"), "term", F.col("w").alias("wo"), F.col("s").alias("so"))
-    met = prefix.join(other, "term").filter((F.col("h") != F.col("o")) & (F.col("sh") * F.col("so") >= threshold - 1e-9))
-    by_prefix = met.groupBy("h", "o").agg(F.sum(F.col("wh") * F.col("wo")).alias("dot")).filter(F.col("dot") >= threshold - epsilon - 1e-9)
-    by_prefix = by_prefix.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"))
-    cand = stage.put(by_rare.unionByName(by_prefix).distinct(), "candidates")
-    left = cand.join(p.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")), "a")
-    full = left.join(p.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
-    return full.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).filter(F.col("cos") >= threshold)
+def similar_pairs(postings: DataFrame, threshold: float, epsilon: float | None = None, rare: int | None = None) -> DataFrame:
+    """``(a, b, cos)`` of all pairs a < b with cosine of at least ``threshold``; exact (see ``cosine``). ``doc`` is a long. ``epsilon`` and ``rare``
+    tuned a former join and change nothing."""
+    return cosine.pairs(cosine.of_postings(postings), threshold)
 
 
 def clusters(docs: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

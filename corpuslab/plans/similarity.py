@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
-from corpuslab.operators import tfidf
+from corpuslab.operators import cosine, tfidf
 from corpuslab.plans.core import first_rows, labelled, query, table
 from corpuslab.session import Stage
 
@@ -39,7 +39,15 @@ def tfidf_weights(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return tfidf.similar_pairs(_postings(spark, sf_dir), THRESHOLD)
+    stage = Stage(spark, "vectors")
+    d = stage.put(first_rows(spark, sf_dir).select("row_id", _terms().alias("terms")))
+    model = stage.put(tfidf.fit(d, "terms", d.count(), 3))
+    v = cosine.of_terms(d, "row_id", "terms", model)
+    if v is None:
+        v = cosine.of_postings(tfidf.weigh(tfidf.term_counts(d, "row_id", "terms"), model))
+    found = cosine.pairs(v, THRESHOLD)
+    stage.only()
+    return found
 
 
 @query(_PAIRS + "select a, b, round(cos, 6) as cos from pairs")
