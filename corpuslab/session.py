@@ -52,10 +52,10 @@ class Stage:
         self._n = 0
         self._paths: set[str] = set()
 
-    def put(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, label: str = "t", codec: str | None = None) -> DataFrame:
         path = f"{self.root}/{self._n:03d}-{label}"
         self._n += 1
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=codec)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._stage_path = path  # type: ignore[attr-defined]
         self._paths.add(path)
