@@ -253,7 +253,7 @@ def _apply(comps: DataFrame, flows: DataFrame, stage: Stage, seed: int) -> DataF
         quota = flows.filter(F.col("turn") == turn)
         if quota.isEmpty():
             continue
-        gone = take_quota(out.filter(~F.col("moved")).drop("moved"), quota, ["sig", "split"], ["component"], seed + turn, counted="n")
+        gone = take_quota(out.filter(~F.col("moved")).drop("moved"), quota, ["sig", "split"], ["component"], seed + turn, counted="n", stage=stage)
         gone = lookup(gone, quota.select("sig", "split", "to", "take"), ["sig", "split"], quota.agg(F.sum("take")).first()[0], "take").select("component", "to")
         out = out.join(gone, "component", "left").select("component", "sig", "size", F.coalesce("to", "split").alias("split"), (F.col("moved") | F.col("to").isNotNull()).alias("moved"))
         out = stage.put(out, f"moved{turn}")

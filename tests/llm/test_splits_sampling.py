@@ -174,3 +174,19 @@ def test_floors_beyond_the_sample_are_reported(spark):
     # what the report says was drawn is what the sample has
     got = {(r.plan_id, r.Product): r["count"] for r in sample.join(rec, "id").groupBy("plan_id", "Product").count().collect()}
     assert all(got.get((r.plan_id, r.product.strip().lower()), 0) == r.drawn for r in rep)
+
+
+def test_plans_of_a_split_stay_small(spark, monkeypatch):
+    """The plan of a move repeated the rows in each of several joins, which took the driver's memory."""
+    put, joins = Stage.put, {}
+
+    def counted(self, df, label="t", *more):
+        joins[label] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return put(self, df, label, *more)
+
+    monkeypatch.setattr(Stage, "put", counted)
+    rec = spark.range(300).select(F.col("id"), F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("label"))
+    ties = spark.range(300).filter("id % 7 < 3").select(F.col("id"), (F.col("id") - F.col("id") % 7).alias("first"))
+    a = splits.assign_components(rec, "id", "label", ties, [0.8, 0.1, 0.1])
+    assert a.count() == 300 and a.groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
+    assert "moved0" in joins and max(joins.values()) <= 20, joins
