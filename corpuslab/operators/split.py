@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.vocab import ranked
+from corpuslab.session import Stage
 
 SPLITS = ("train", "validation", "test")
 TOLERANCE = 0.015
@@ -66,12 +67,14 @@ def class_deviation(df: DataFrame, label: str) -> DataFrame:
 
 
 def validate(assigned: DataFrame, base: DataFrame, key: str, text: str, group: str, label: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), tolerance: float = TOLERANCE) -> DataFrame:
-    """``(check, violations)`` of every invariant. ``assigned``: (key, split); ``base``: all rows with text, group and label."""
+    """``(check, violations)`` of every invariant. ``assigned``: (key, split); ``base``: all rows with text, group and label. Of a text
+    only a digest is moved, and the rows with their splits are written once."""
+    base = base.select(key, F.unhex(F.md5(F.col(text).cast("binary"))).alias(text), group, label)
     j = base.join(assigned.select(key, "split").withColumn("_in", F.lit(1)), key, "full_outer")
     rows = j.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("k"), F.count(F.coalesce(F.col(text), F.lit(""))).alias("b"), F.max(F.col(text).isNotNull() | F.col(label).isNotNull()).alias("base"))
     a = rows.agg(F.count_if(F.col("k") > 1).alias("row_in_several_splits"), F.count_if(F.col("k") == 0).alias("row_without_split"), F.count_if(~F.coalesce("base", F.lit(False))).alias("unknown_row"))
     counts = a.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in a.columns])).alias("x")).select("x.*")
-    full = base.join(assigned.select(key, "split"), key)
+    full = Stage(base.sparkSession, "checked").put(base.join(assigned.select(key, "split"), key))
     dup = full.groupBy(F.md5(F.col(text).cast("binary")).alias("h")).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("violations")).select(F.lit("duplicate_text").alias("check"), "violations")
     leak = leakage(full, text, group).select(F.concat(F.col("kind"), F.lit(" in "), F.col("pair")).alias("check"), F.col("shared").alias("violations"))
     want = F.create_map(*[F.lit(x) for kv in zip(SPLITS, ratios) for x in kv])

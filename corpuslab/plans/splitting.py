@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators import evaluate, fingerprint, model, split
-from corpuslab.plans.core import MULTISET, first_rows, labelled, query
+from corpuslab.operators.dedup import keep_first
+from corpuslab.plans.core import MULTISET, complaints, labelled, query
 from corpuslab.plans.similarity import _CL, _clusters
 from corpuslab.session import Stage
 from corpuslab.streaming import confusion, history
@@ -17,12 +18,15 @@ full_ as (select sp.*, d.text, d.pkey from sp join d using (row_id))"""
 
 
 def _rows(spark, sf_dir):
-    return first_rows(spark, sf_dir).join(_clusters(spark, sf_dir), "row_id")
+    """First rows with their clusters and, for a text, its digest: what follows asks only which texts are equal."""
+    short = complaints(spark, sf_dir).select("row_id", F.md5(F.col("text").cast("binary")).alias("text"), "pkey")
+    return keep_first(short, "text", "row_id").join(_clusters(spark, sf_dir), "row_id")
 
 
 def _assigned(spark, sf_dir):
-    rows = Stage(spark, "splitting").put(_rows(spark, sf_dir))
-    return rows, split.group_split(rows, "row_id", "root", "pkey")
+    stage = Stage(spark, "splitting")
+    rows = stage.put(_rows(spark, sf_dir))
+    return rows, stage.put(split.group_split(rows, "row_id", "root", "pkey"))
 
 
 @query(_SP + "select row_id, root, split from sp")

@@ -215,3 +215,21 @@ def test_search_in_blocks(spark, monkeypatch):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     c = m @ m.T - 3 * np.eye(50)
     assert one[5] == pytest.approx(max(c[5].max(), 0))
+
+
+def test_validation_does_not_move_texts(spark):
+    """The checks joined and grouped whole texts, which were shuffled again for each of them."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    long = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda k: F.md5(F.concat_ws("-", "row_id", k).cast("binary"))))
+    df = Stage(spark, "t").put(spark.range(40).select(F.col("id").alias("row_id"), F.col("id").alias("grp"), F.lit("x").alias("label")).withColumn("text", long))
+    s = Stage(spark, "t").put(split.group_split(df, "row_id", "grp", "label"))
+    before = written()
+    got = {r.check: r.violations for r in split.validate(s, df, "row_id", "text", "grp", "label").collect()}
+    assert written() - before < 500_000
+    assert got["duplicate_text"] == got["row_without_split"] == got["text in train/test"] == 0
