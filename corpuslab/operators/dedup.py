@@ -13,11 +13,15 @@ def digest(c: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(c, F.lit("\0null")).cast("binary")))
 
 
+def first_keys(df: DataFrame, text: str, key: str) -> DataFrame:
+    """The smallest ``key`` of each text, in one aggregation."""
+    return df.groupBy(digest(F.col(text)).alias("_d")).agg(F.min(key).alias(key)).select(key)
+
+
 def keep_first(df: DataFrame, text: str, key: str) -> DataFrame:
     """The row with the smallest ``key`` of each text. Digests are grouped with map-side combine and rows are kept by a
     semi-join on the unique key, so a text with a third of all rows gathers nowhere."""
-    first = df.groupBy(digest(F.col(text)).alias("_d")).agg(F.min(key).alias(key)).select(key)
-    return df.join(first, key, "left_semi")
+    return df.join(first_keys(df, text, key), key, "left_semi")
 
 
 def duplicate_groups(df: DataFrame, text: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import cosine
 from corpuslab.operators.blocks import best_of_blocks
-from corpuslab.operators.components import connected_components
+from corpuslab.operators.components import components_of_pairs
 from corpuslab.operators.joins import attach
 from corpuslab.operators.vocab import ranked
 from corpuslab.session import Stage
@@ -33,6 +33,17 @@ def fit(docs: DataFrame, terms: str | Column, n: int, min_df: int = 1, max_df: f
     if max_features:
         tf = docs.select(F.explode(t).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_tf"))
         df = df.join(tf, "term").orderBy(F.desc("_tf"), "term").limit(max_features).drop("_tf")
+    return _with_idf(df, n)
+
+
+def fit_coded(groups: DataFrame, min_df: int = 1) -> DataFrame:
+    """The model of ``fit`` from ``cosine.coded`` documents: what moves are the terms of groups, not of documents."""
+    n = (groups.agg(F.sum(F.octet_length("docs"))).first()[0] or 0) // 8
+    per = groups.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
+    return _with_idf(per.filter(F.col("df") >= min_df), n)
+
+
+def _with_idf(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
@@ -52,7 +63,7 @@ def similar_pairs(postings: DataFrame, threshold: float, epsilon: float | None =
 
 def clusters(docs: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """``(key, root)`` of every document: the smallest document of its cluster, itself if it is alone."""
-    comp = connected_components(pairs, "a", "b")
+    comp = components_of_pairs(pairs)
     return docs.select(key).join(comp, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("root"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
-from corpuslab.operators.dedup import keep_first
+from corpuslab.operators.dedup import first_keys, keep_first
 from corpuslab.operators.joins import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(complaints(spark, sf_dir).select("row_id", "text", "pkey"), "text", "row_id")
 
 
+def first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id) of the first row of each narrative; no row is looked up."""
+    return first_keys(complaints(spark, sf_dir).select("row_id", "text"), "text", "row_id")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, text, label, class_id, short_name) of first rows in one of the five classes."""
     names = table(spark, sf_dir, "labels").filter("class_id is not null").withColumn("pkey", T.label_key(F.col("label")))

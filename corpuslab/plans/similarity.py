@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.operators import cosine, tfidf
-from corpuslab.plans.core import first_rows, labelled, query, table
+from corpuslab.plans.core import complaints, first_ids, first_rows, labelled, query, table
 from corpuslab.session import Stage
 
 THRESHOLD = 0.7
@@ -40,9 +40,10 @@ def tfidf_weights(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     stage = Stage(spark, "vectors")
-    d = stage.put(first_rows(spark, sf_dir).select("row_id", _terms().alias("terms")))
-    model = stage.put(tfidf.fit(d, "terms", d.count(), 3))
-    v = cosine.of_terms(d, "row_id", "terms", model)
+    d = first_rows(spark, sf_dir).select("row_id", _terms().alias("terms"))
+    groups = stage.put(cosine.coded(d, "row_id", "terms"), "coded", "zstd")
+    model = stage.put(tfidf.fit_coded(groups, 3))
+    v = cosine.of_coded(groups, model)
     if v is None:
         v = cosine.of_postings(tfidf.weigh(tfidf.term_counts(d, "row_id", "terms"), model))
     found = cosine.pairs(v, THRESHOLD)
@@ -56,7 +57,7 @@ def near_dup_pairs(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    return tfidf.clusters(first_rows(spark, sf_dir), "row_id", _pairs(spark, sf_dir))
+    return tfidf.clusters(first_ids(spark, sf_dir), "row_id", _pairs(spark, sf_dir))
 
 
 @query(_CL + "select row_id, root, dense_rank() over (order by root) - 1 as cluster_id from cl")
@@ -94,7 +95,7 @@ def cluster_histogram(spark, sf_dir):
 
 @query(_CL + "select root, count(distinct d.pkey) as labels, count(*) as n from cl join d using (row_id) group by 1 having count(distinct d.pkey) > 1")
 def mixed_clusters(spark, sf_dir):
-    c = _clusters(spark, sf_dir).join(first_rows(spark, sf_dir).select("row_id", "pkey"), "row_id")
+    c = _clusters(spark, sf_dir).join(complaints(spark, sf_dir).select("row_id", "pkey"), "row_id")
     return c.groupBy("root").agg(F.count_distinct("pkey").alias("labels"), F.count(F.lit(1)).alias("n")).filter("labels > 1")
 
 
@@ -105,7 +106,7 @@ def mixed_clusters(spark, sf_dir):
 def near_dup_rate(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     best = p.select(F.explode(F.array("a", "b")).alias("row_id"), "cos").groupBy("row_id").agg(F.max("cos").alias("best"))
-    every = first_rows(spark, sf_dir).select("row_id").join(best, "row_id", "left")
+    every = first_ids(spark, sf_dir).join(best, "row_id", "left")
     ts = [0.7, 0.8, 0.9]
     a = every.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("best") >= t).alias(f"t{i}") for i, t in enumerate(ts)])
     return a.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.round(100.0 * F.try_divide(f"t{i}", "n"), 4).alias("rate_pct")) for i, t in enumerate(ts)])).alias("x")).select("x.*")
@@ -202,7 +203,7 @@ def contamination_by_threshold(spark, sf_dir):
     x = x.select(F.explode(F.array(F.struct(F.col("a").alias("q"), F.col("b").alias("o")), F.struct(F.col("b").alias("q"), F.col("a").alias("o")))).alias("x"), "cos").select("x.*", "cos")
     x = x.join(test, F.col("q") == F.col("test_idx"), "left_semi").join(test, F.col("o") == F.col("test_idx"), "left_anti")
     best = x.groupBy(F.col("q").alias("test_idx")).agg(F.max("cos").alias("best"))
-    e = p.filter("y_pred is not null").join(first_rows(spark, sf_dir).select(F.col("row_id").alias("test_idx")), "test_idx").join(best, "test_idx", "left")
+    e = p.filter("y_pred is not null").join(first_ids(spark, sf_dir).withColumnRenamed("row_id", "test_idx"), "test_idx").join(best, "test_idx", "left")
     e = e.withColumn("threshold", F.explode(F.array(*map(F.lit, (0.8, 0.9, 0.95))))).withColumn("hit", F.coalesce("best", F.lit(0.0)) >= F.col("threshold"))
     by = ["experiment", "seed", "threshold", "hit"]
     m = evaluate.macro(evaluate.per_class(evaluate.confusion(e, by, 5), by), by)

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators import evaluate, fingerprint, model, split
-from corpuslab.operators.dedup import keep_first
 from corpuslab.plans.core import MULTISET, complaints, labelled, query
 from corpuslab.plans.similarity import _CL, _clusters
 from corpuslab.session import Stage
@@ -20,7 +19,7 @@ full_ as (select sp.*, d.text, d.pkey from sp join d using (row_id))"""
 def _rows(spark, sf_dir):
     """First rows with their clusters and, for a text, its digest: what follows asks only which texts are equal."""
     short = complaints(spark, sf_dir).select("row_id", F.md5(F.col("text").cast("binary")).alias("text"), "pkey")
-    return keep_first(short, "text", "row_id").join(_clusters(spark, sf_dir), "row_id")
+    return short.join(_clusters(spark, sf_dir), "row_id")
 
 
 def _assigned(spark, sf_dir):

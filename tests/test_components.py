@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from corpuslab.operators import joins
+from corpuslab.operators import components, joins
 from corpuslab.operators.components import connected_components
 from corpuslab.operators.quota import take_quota
 
@@ -85,3 +85,19 @@ def test_stages_can_be_dropped(spark):
     where = pathlib.Path(st.root.removeprefix("file://"))
     assert t.count() == 3 and where.exists()
     assert drop_stages(spark) >= 1 and not where.exists()
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_pairs_in_one_task_or_in_many(spark, monkeypatch, limit):
+    rng = random.Random(4)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(280)] + [(i, i + 1) for i in range(1000, 1090)] + [(1090, 7), (5, 5), (None, 3), (4, None)]
+    monkeypatch.setattr(components, "SMALL_BYTES", limit)
+    df = spark.createDataFrame(edges, "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup(f"pairs{limit}", "pairs")
+    got = [(r.node, r.component) for r in components.components_of_pairs(df).collect()]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert dict(got) == brute([e for e in edges if None not in e]) and len(got) == len(dict(got))
+    if limit:
+        assert len(sc.statusTracker().getJobIdsForGroup(f"pairs{limit}")) <= 5
+    assert components.components_of_pairs(df.filter("a is null")).collect() == []
